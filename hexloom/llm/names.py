@@ -54,7 +54,7 @@ def fold(word: str) -> str:
 
 
 _KINDS = frozenset(map(fold, KIND_WORDS))
-_LONG_KINDS = tuple(sorted(k for k in _KINDS if len(k) >= 6))
+_LONG_KINDS = tuple(sorted(k for k in _KINDS if len(k) >= 8))
 _TITLES = frozenset(map(fold, TITLES)) - {"a"}
 
 
@@ -80,7 +80,7 @@ def distance(a: str, b: str, most: int = 3) -> int:
 
 
 def is_kind(folded: str) -> bool:
-    return folded in _KINDS or (len(folded) >= 6 and any(distance(folded, k, 1) <= 1 for k in _LONG_KINDS))
+    return folded in _KINDS or (len(folded) >= 7 and any(distance(folded, k, 1) <= 1 for k in _LONG_KINDS))
 
 
 def words_of(name: str | None) -> list[str]:
@@ -147,10 +147,11 @@ def soft_likeness(a: tuple[str, ...], b: tuple[str, ...], weight=lambda w: 1.0)
 
 def _paired(a: tuple[str, ...], b: tuple[str, ...], weight) -> float:
     found = sorted(((word_likeness(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), key=lambda t: (-t[0], t[1], t[2]))
-    total = max(sum(map(weight, a)), sum(map(weight, b)))
-    got, ai, bj = 0.0, set(), set()
+    got, total, ai, bj = 0.0, 0.0, set(), set()
     for s, i, j in found:
         if s and i not in ai and j not in bj:
             ai.add(i), bj.add(j)
-            got += s * (weight(a[i]) + weight(b[j])) / 2
+            load = min(weight(a[i]), weight(b[j]))  # a misspelling is rarer than its word and must not weigh more
+            got, total = got + s * load, total + load
+    total += max(sum(weight(w) for i, w in enumerate(a) if i not in ai), sum(weight(w) for j, w in enumerate(b) if j not in bj))
     return got / total if total else 0.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexloom.llm import matching
+from hexloom.llm import matching, variants
 from hexloom.runtime import table
 
 
@@ -21,5 +21,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_pairs(spark, d).filter(sure).select("place_id_1", "place_id_2")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs)}
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    entries = variants.typed_entries(table(spark, d, "dup_triage_sample"))
+    return variants.same_entries(entries, table(spark, d, "name_aliases"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every named entry with its group."""
+    entries = variants.typed_entries(table(spark, d, "dup_triage_sample"))
+    return variants.groups(entries, table(spark, d, "name_aliases")).select(F.col("block").alias("batch"), "entry", "group")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p6_found, p6_groups)}
 ORACLE: dict[str, str] = {}
