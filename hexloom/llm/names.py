@@ -79,6 +79,7 @@ def distance(a: str, b: str, most: int = 3) -> int:
     return min(last[-1], most + 1)
 
 
+@lru_cache(200_000)
 def is_kind(folded: str) -> bool:
     return folded in _KINDS or (len(folded) >= 7 and any(distance(folded, k, 1) <= 1 for k in _LONG_KINDS))
 
