@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexloom.llm import matching, variants
+from hexloom.llm import leaks, matching, tokens, variants
 from hexloom.runtime import table
 
 
@@ -32,5 +32,18 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return variants.groups(entries, table(spark, d, "name_aliases")).select(F.col("block").alias("batch"), "entry", "group")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p6_found, p6_groups)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, d, "documents"), key="doc_id", text="text")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the items they leak and the share of the item's words they hold."""
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_shares(spark, d).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p6_found, p6_groups, p8_ids, p9_found, p9_shares)}
 ORACLE: dict[str, str] = {}
