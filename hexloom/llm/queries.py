@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexloom.llm import leaks, matching, tokens, variants
+from hexloom.llm import leaks, matching, quality, tokens, variants
 from hexloom.runtime import table
 
 
@@ -45,5 +45,16 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_shares(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p6_found, p6_groups, p8_ids, p9_found, p9_shares)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.prose_outliers(table(spark, d, "documents")).filter(F.col("kind").isNotNull()).select("doc_id", "kind").dropDuplicates()
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Every statistic of each document, its distance from prose and the statistic that adds most to it."""
+    got = quality.prose_outliers(table(spark, d, "documents"))
+    most = F.element_at(F.array(*[F.lit(s) for s in quality.STATS]), F.array_position("parts", F.array_max("parts")).cast("int"))
+    return got.select("doc_id", "language", *[F.col("x")[i].alias(s) for i, s in enumerate(quality.STATS)], "d2", most.alias("most_unusual"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p6_found, p6_groups, p8_ids, p9_found, p9_shares, p10_found, p10_statistics)}
 ORACLE: dict[str, str] = {}
