@@ -8,6 +8,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Arabic letters and their Latin stand-ins, one character each.
 _FROM = "ابتجحدرزسصضطفقكلمنهويةىأإآؤئ"
@@ -113,6 +114,6 @@ def likeness(a: str, b: str) -> float:
     return full if own >= 0.62 else min(full, own)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([likeness(x, y) if isinstance(x, str) and isinstance(y, str) else 0.0 for x, y in zip(a, b)])
