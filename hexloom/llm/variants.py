@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from hexloom.llm.names import core_words, distance, fold, grams, is_kind, soft_likeness, word_likeness, words_of
 from hexloom.operators.graph import components
+from hexloom.operators.similarity import prefix_pairs
 from hexloom.runtime import bounded_collect, cut
 
 LEAST_JACCARD = 0.3
@@ -129,17 +130,7 @@ def links(entries: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]
 
     rows = cut(names.mapInPandas(parse, "block bigint, id bigint, given string, words array<string>, grams array<string>"))
     total = rows.count()
-    # Grams from rare to common over all names.
-    held = rows.select("block", "id", F.explode("grams").alias("gram"))
-    often = held.groupBy("gram").agg(F.count("*").alias("n"))
-    ordered = held.join(often, "gram").groupBy("block", "id").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).getField("gram").alias("g"))
-    size = F.size("g")
-    first = ordered.withColumn("prefix", F.slice("g", F.lit(1), size - F.ceil(F.lit(LEAST_JACCARD) * size).cast("int") + 1))
-    probe = first.select("block", "id", "g", F.explode("prefix").alias("gram"))
-    left, right = probe.select("block", "gram", F.col("id").alias("a"), F.col("g").alias("ga")), probe.select("block", "gram", F.col("id").alias("b"), F.col("g").alias("gb"))
-    met = left.join(right, ["block", "gram"]).filter("a < b")
-    same = F.size(F.array_intersect("ga", "gb"))
-    near = met.filter(same >= F.lit(LEAST_JACCARD) * (F.size("ga") + F.size("gb") - same)).select("a", "b").dropDuplicates()
+    near = prefix_pairs(rows, LEAST_JACCARD)
     # Rare words count more: inverse document frequency over all names.
     words = rows.select("id", F.explode("words").alias("w"))
     idf = words.join(words.dropDuplicates().groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("w", F.log1p(F.lit(float(total)) / F.col("n"))))).alias("idf"))
