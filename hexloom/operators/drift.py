@@ -208,7 +208,8 @@ def unified_records(lines: DataFrame, canonical_paths: dict = CANONICAL, id_path
                 cols["rec_id"].append(canonical(x[id_path]) if id_path in x else None)
                 for c, paths in canonical_paths.items():
                     got = [(p, convert(x[p], c in _NUMBERS)) for p in paths if p in x]
-                    other and other.update({p: x[p] for p, v in got if v is None})
+                    if other is not None:
+                        other.update({p: x[p] for p, v in got if v is None})
                     cols[c].append(next((v for _, v in got if v is not None), None))
                 cols["other_fields"].append(None if other is None else json.dumps(other, ensure_ascii=False, sort_keys=True))
             out = b[list(keep)].copy()

@@ -11,20 +11,25 @@ from hexloom.runtime import cut
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(id, component) of every vertex on an edge; component is the least id in it.
 
-    Contraction: each vertex takes the least id among itself and its neighbours,
-    edges move to the new ids, equal ones melt, until none joins two ids. Loops and
-    repeated edges change nothing; edges with a null end are ignored; no edges, no rows.
-    Every round's tables are cut off by a checkpoint.
+    Contraction: in every round each vertex moves to one of itself and its neighbours,
+    the one with the least hash of that round; edges move along, equal ones melt, until
+    none joins two ids. The hash changes from round to round, so a long chain shrinks by
+    a constant share each time, whatever its ids. Loops and repeated edges change
+    nothing; edges with a null end are ignored; no edges, no rows. Every round's tables
+    are cut off by a checkpoint.
     """
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
-    labels = cut(e.select(F.explode(F.array("a", "b")).alias("id")).dropDuplicates().withColumn("component", F.col("id")))
-    e = cut(e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates())
-    for _ in range(rounds):
+    e = cut(e.dropDuplicates())
+    labels = e.select(F.explode(F.array("a", "b")).alias("id")).dropDuplicates().withColumn("label", F.col("id"))
+    e = e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates()
+    for k in range(rounds):
         if e.isEmpty():
-            return labels
+            least = labels.groupBy("label").agg(F.min("id").alias("component"))
+            return labels.join(least, "label").select("id", "component")
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
-        labels = cut(labels.join(least, labels["component"] == least["a"], "left").select("id", F.coalesce("m", "component").alias("component")))
-        e = e.join(least.withColumnRenamed("m", "ma"), "a").join(least.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b").filter("ma <> mb")
+        rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
+        move = cut(both.groupBy("a").agg(F.min(rank("b")).alias("n")).select("a", F.least(rank("a"), F.col("n"))["id"].alias("m")))
+        labels = cut(labels.join(move, labels["label"] == move["a"], "left").select("id", F.coalesce("m", "label").alias("label")))
+        e = e.join(move.withColumnRenamed("m", "ma"), "a").join(move.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b").filter("ma <> mb")
         e = cut(e.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).dropDuplicates())
     raise RuntimeError(f"components: edges left after {rounds} rounds")

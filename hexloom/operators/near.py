@@ -36,15 +36,31 @@ def _cross(o, a, b) -> float:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
 
+def _crosses_itself(ring: list[tuple[float, float]]) -> bool:
+    """Two edges that are no neighbours share a point."""
+    n = len(ring)
+    side = lambda a, b, c: (_cross(a, b, c) > 0) - (_cross(a, b, c) < 0)
+    on = lambda a, b, c: min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
+    for i in range(n):
+        a, b = ring[i], ring[(i + 1) % n]
+        for j in range(i + 2, n - (i == 0)):
+            c, d = ring[j], ring[(j + 1) % n]
+            s = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+            if s[0] != s[1] and s[2] != s[3] or not s[0] and on(a, b, c) or not s[1] and on(a, b, d) or not s[2] and on(c, d, a) or not s[3] and on(c, d, b):
+                return True
+    return False
+
+
 def ear_clip(ring: list[tuple[float, float]]) -> list[tuple]:
-    """Triangles of a ring of (x, y). A ring that has no ear left (it crosses
-    itself) gives the two halves of its box for the rest: candidates for the exact test."""
+    """Triangles of a ring of (x, y). A ring that crosses or touches itself gives the
+    two halves of its box: candidates, on which the exact test decides."""
     pts = [p for k, p in enumerate(ring) if p != ring[k - 1]] if len(ring) > 1 else list(ring)
     if len(pts) < 3:
         return []
     area = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(pts, pts[1:] + pts[:1]))
     rest, out = pts if area > 0 else pts[::-1], []
-    while len(rest) > 3:
+    simple = not _crosses_itself(rest)
+    while simple and len(rest) > 3:
         for k in range(len(rest)):
             a, b, c = rest[k - 1], rest[k], rest[(k + 1) % len(rest)]
             turn = _cross(a, b, c)
@@ -57,10 +73,12 @@ def ear_clip(ring: list[tuple[float, float]]) -> list[tuple]:
             rest = rest[:k] + rest[k + 1 :]
             break
         else:
-            x, y = [p[0] for p in rest], [p[1] for p in rest]
-            sw, se, ne, nw = (min(x), min(y)), (max(x), min(y)), (max(x), max(y)), (min(x), max(y))
-            return [*out, (sw, se, ne), (sw, ne, nw)]
-    return [*out, tuple(rest)]
+            simple = False  # no ear by rounding
+    if simple:
+        return [*out, tuple(rest)]
+    x, y = [p[0] for p in rest], [p[1] for p in rest]
+    sw, se, ne, nw = (min(x), min(y)), (max(x), min(y)), (max(x), max(y)), (min(x), max(y))
+    return [*out, (sw, se, ne), (sw, ne, nw)]
 
 
 def even_odd(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:

@@ -202,6 +202,7 @@ def latest_valid(df: DataFrame, *, group: str, key: str, snapshot: str, version:
     The filter on the latest snapshots is made of literals, so that the scan skips
     the others. Ties on the version: the row whose values have the largest hash.
     """
+    df = df.select(group, key, snapshot, version, *values)
     last = df.groupBy(group).agg(F.max(snapshot).alias("_last")).dropna()
     rows = bounded_collect(last)
     if rows is None:
