@@ -30,7 +30,12 @@ def write_json(spark: SparkSession, path: str, content: dict) -> None:
 
 
 def read_json(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+    fs, p = _path(spark, path)  # not spark.read: it passes over names that begin with _
+    f = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8"))
+    finally:
+        f.close()
 
 
 def archive_snapshot(df: DataFrame, base: str, source: str, snapshot: str, least_rows: int = 0) -> dict:
