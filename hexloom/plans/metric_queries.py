@@ -59,14 +59,14 @@ def population_apportion(spark: SparkSession, d: str) -> DataFrame:
     return got.select("h3_res9", "h3_res8", F.round("population", 4).alias("population"), F.lit(8).alias("native_res"))
 
 
-@query(f"""SELECT h3_index, builtup_pct, round(builtup_pct * coverage_ratio, 6) presence_pct, round(least(builtup_pct, builtup_pct * coverage_ratio) / nullif(greatest(builtup_pct, builtup_pct * coverage_ratio), 0), 6) agreement_ratio,
+@query(f"""SELECT h3_index, builtup_pct, builtup_pct * coverage_ratio presence_pct, least(builtup_pct, builtup_pct * coverage_ratio) / nullif(greatest(builtup_pct, builtup_pct * coverage_ratio), 0) agreement_ratio,
 {conf.sql_of_counts('builtup_pct', '(builtup_pct * coverage_ratio)')} confidence FROM h3_cell""")
 def builtup_corroboration(spark: SparkSession, d: str) -> DataFrame:
     """SCL-24"""
     c = table(spark, d, "h3_cell").select("h3_index", "builtup_pct", (F.col("builtup_pct") * F.col("coverage_ratio")).alias("p"))
     a, b = F.col("builtup_pct"), F.col("p")
     both = F.when(b.isNotNull(), conf.agreement(a, b)).otherwise(conf.agreement(a, a))
-    return c.select("h3_index", "builtup_pct", F.round("p", 6).alias("presence_pct"), F.round(both, 6).alias("agreement_ratio"), conf.of_counts(a, b).alias("confidence"))
+    return c.select("h3_index", "builtup_pct", b.alias("presence_pct"), both.alias("agreement_ratio"), conf.of_counts(a, b).alias("confidence"))
 
 
 @query(f"WITH {_COUNTS} SELECT pq, pr, metric, sum(value) AS value, count(*) AS cells, {conf.sql_label('min(' + conf.sql_rank('confidence') + ')')} AS confidence FROM m JOIN cell USING (q, r) GROUP BY ALL")

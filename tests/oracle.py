@@ -17,7 +17,7 @@ def connect(d: str) -> duckdb.DuckDBPyConnection:
 
 
 def text(x) -> str:
-    if x is None or x != x:
+    if x is None or type(x).__name__ in ("NAType", "NaTType") or x != x:
         return "null"
     if isinstance(x, bool):
         return str(x)
