@@ -11,6 +11,7 @@ exactly, in the item's order, in a few stretches.
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -34,9 +35,10 @@ EDGE_SHARE = 0.06
 ALTERED = 1 / 7
 LEAST_STRETCH, MOST_STRETCHES = 4, 8
 ITEMS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 2_000_000
 
 _TAG = regex.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>|\[/?[A-Za-z_]{1,12}\](?=\W|$)|&(?:[a-z]{2,8}|#\d{1,6});")
-_BROKEN = regex.compile(r"(?<=\p{L})[-‐­]\r?\n\s*(?=\p{Ll})")
+_PLAIN = re.compile("[a-z0-9]+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Mn}ـ]")
 
@@ -47,9 +49,9 @@ def plain_words(text: str | None) -> list[str]:
         return []
     if "&" in text or "<" in text or "[" in text:
         text = _TAG.sub(lambda m: html.unescape(m[0]) if m[0][0] == "&" else " ", text)
-    if not text.isascii():
-        text = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
-    return _WORD.findall(text.lower())
+    if text.isascii():
+        return _PLAIN.findall(text.lower())
+    return _WORD.findall(_HIDDEN.sub("", unicodedata.normalize("NFKC", text)).lower())
 
 
 @lru_cache(500_000)
@@ -82,14 +84,27 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
+_HIGH = np.uint64(32)
+_LOW = np.uint64(0xFFFFFFFF)
+
+
 def sketch(block: np.ndarray, value: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """One-permutation MinHash of many blocks at once: (block, key) of the least value in each bin; key holds bin and value."""
-    at = value % np.uint64(bins)
-    order = np.lexsort((value, at, block))
-    block, at, value = block[order], at[order], value[order]
-    first = np.ones(len(block), dtype=bool)
-    first[1:] = (block[1:] != block[:-1]) | (at[1:] != at[:-1])
-    return block[first], value[first]
+    """One-permutation MinHash of many blocks at once: (block, key) of the least value in each bin.
+
+    The low bits of a hash name its bin, the high half is its value; key holds both.
+    bins is a power of two. One sort of whole numbers does for all blocks.
+    """
+    group = block.astype(np.uint64) * np.uint64(bins) + (value & np.uint64(bins - 1))
+    packed = np.sort((group << _HIGH) | (value >> _HIGH))
+    group = packed >> _HIGH
+    first = np.ones(len(packed), dtype=bool)
+    first[1:] = group[1:] != group[:-1]
+    packed, group = packed[first], group[first]
+    return (group // np.uint64(bins)).astype(np.int64), ((group % np.uint64(bins)) << _HIGH) | (packed & _LOW)
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key >> np.uint64(29)) ^ key) & np.uint64((1 << 22) - 1)
 
 
 def size_class(n: int) -> int:
@@ -116,10 +131,22 @@ class ItemIndex:
             value = np.concatenate([v for v, _ in own])
             item = np.concatenate([np.full(len(v), i) for v, i in own])
             order = np.argsort(value, kind="stable")
-            self.by_class[size] = value[order], item[order]
+            there = np.zeros(1 << 22, dtype=bool)
+            there[_slot(value)] = True  # tells most keys of a document apart from the items' at once
+            self.by_class[size] = value[order], item[order], there
 
     def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         """(document number, item) whose sketches agree in a bin of some block."""
+        found: set[tuple[int, int]] = set()
+        start, words = 0, 0
+        for k, h in enumerate(docs):  # in parts of bounded size
+            words += len(h)
+            if words > WORDS_AT_ONCE or k == len(docs) - 1:
+                found.update((start + d, i) for d, i in self._candidates(docs[start : k + 1]))
+                start, words = k + 1, 0
+        return found
+
+    def _candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
         found: set[tuple[int, int]] = set()
         sh = [shingles(h) for h in docs]
         length = np.array([len(s) for s in sh])
@@ -128,10 +155,12 @@ class ItemIndex:
         value = np.concatenate(sh)
         doc = np.repeat(np.arange(len(docs)), length)
         place = np.arange(len(value)) - np.repeat(np.cumsum(length) - length, length)
-        for size, (known, item) in self.by_class.items():
+        for size, (known, item, there) in self.by_class.items():
             blocks = -(-length // size)
             block = np.repeat(np.cumsum(blocks) - blocks, length) + place // size
             b, v = sketch(block, value, size * BINS_PER_SHINGLE)
+            may = there[_slot(v)]
+            b, v = b[may], v[may]
             owner = np.repeat(np.arange(len(docs)), blocks)[b]
             lo, hi = np.searchsorted(known, v, "left"), np.searchsorted(known, v, "right")
             for k in np.flatnonzero(hi > lo):
@@ -139,6 +168,12 @@ class ItemIndex:
         return found
 
 
+def may_hold(item: np.ndarray, doc_words: set[int], share: float) -> bool:
+    """Whether enough of the item's words are in the document at all, in any order: of what is held at most a share is altered."""
+    equal = share * (1 - 1.5 * ALTERED) * len(item) - 1
+    return sum(w in doc_words for w in item.tolist()) >= equal
+
+
 def held_share(item: np.ndarray, doc: np.ndarray) -> float:
     """Share of the item's words that the document holds in the item's order, in up to MOST_STRETCHES stretches.
 
@@ -217,7 +252,12 @@ def leaked_items(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", item
             for b in batches:
                 hashes = [word_hashes(plain_words(t)) for t in b["_t"]]
                 ids = b["_d"].to_numpy()
-                rows = [(ids[k], i, held_share(index.value.words[i], hashes[k])) for k, i in sorted(index.value.candidates(hashes))]
+                rows, last, own = [], -1, set()
+                for k, i in sorted(index.value.candidates(hashes)):
+                    if k != last:
+                        last, own = k, set(hashes[k].tolist())
+                    if may_hold(index.value.words[i], own, share):
+                        rows.append((ids[k], i, held_share(index.value.words[i], hashes[k])))
                 yield pd.DataFrame([r for r in rows if r[2] >= share], columns=["_d", "_i", "share"])
 
         return rows.mapInPandas(look, "_d bigint, _i bigint, share double")
