@@ -14,6 +14,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,17 +48,39 @@ _COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
 _ANY = frozenset().union(*_COMMON.values())
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_TOKEN = re.compile(r"\S+")
 _TAG = re.compile(r"<[^<>]{0,300}>")
 _MARK = re.compile(r"^\s*(?:[-*•·–—+▪◦‣●○■□✓]|\[[ xX✓]?\]|\(?\d{1,3}[.)\]]|\(?[A-Za-z][.)]|[ء-ي][.)])\s+\S")
 _END = re.compile(r"[.!?؟…。:]['\"”’)\]]*\s*$")
 _SPLITS = {"|": re.compile(r"\|"), "│": re.compile(r"│"), "\t": re.compile(r"\t"), ";": re.compile(r";(?=\S)"), ",": re.compile(r",(?=\S)"), " ": re.compile(r"(?<=\S) {2,}(?=\S)")}
 
 
-def language_of(text: str, words: list[str]) -> str:
+#: Bits of what a character is.
+_SPACE, _DIGIT, _ALNUM, _ALPHA, _ASCII, _VOWEL, _ARABIC, _LATIN, _ODD = (1 << k for k in range(9))
+
+
+@lru_cache(1)
+def _character_bits() -> np.ndarray:
+    """Bits of every character of the basic plane; those beyond count as symbols."""
+    out = np.zeros(0x10000 + 1, dtype=np.uint16)
+    for k in range(0x10000):
+        c = chr(k)
+        ascii_letter = c.isascii() and c.isalpha()
+        out[k] = (
+            _SPACE * c.isspace() | _DIGIT * c.isdigit() | _ALNUM * c.isalnum() | _ALPHA * c.isalpha() | _ASCII * ascii_letter | _VOWEL * (c.lower() in "aeiouy")
+            | _ARABIC * (0x600 <= k <= 0x6FF) | _LATIN * (ascii_letter or 0xC0 <= k <= 0x24F) | _ODD * (0x80 <= k <= 0xDF or k == 0xFFFD)
+        )
+    return out
+
+
+def _counts(text: str) -> dict[int, int]:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    bits = _character_bits()[np.minimum(codes, 0x10000)]
+    return {b: int(np.count_nonzero(bits & b)) for b in (_SPACE, _DIGIT, _ALNUM, _ALPHA, _ASCII, _VOWEL, _ARABIC, _LATIN, _ODD)}
+
+
+def language_of(has: dict[int, int], words: list[str]) -> str:
     """ar, en, fr or mixed, by script and common words; what has no letters counts with en."""
-    arabic = sum("؀" <= c <= "ۿ" for c in text)
-    latin = sum(c.isascii() and c.isalpha() or "À" <= c <= "ɏ" for c in text)
+    arabic, latin = has[_ARABIC], has[_LATIN]
     if arabic and latin and min(arabic, latin) > 0.15 * (arabic + latin):
         return "mixed"
     if arabic > latin:
@@ -78,6 +101,8 @@ def _fields(lines: list[str]) -> float:
     best = 0.0
     if len(lines) >= 3:
         for name, sep in _SPLITS.items():
+            if not any(("  " if name == " " else name) in x for x in lines):
+                continue
             counts = [len(sep.findall(x.strip())) for x in lines]
             (often, n), *_ = Counter(c for c in counts if c).most_common(1) or [(0, 0)]
             if not often or n < 3:
@@ -91,13 +116,10 @@ def _fields(lines: list[str]) -> float:
 
 def statistics(text: str) -> tuple[str, list[float]]:
     """Language and the vector of STATS of a text that is not blank."""
-    low = text.lower()
-    words, tokens = _WORD.findall(low), _TOKEN.findall(text)
+    words, tokens = _WORD.findall(text.lower()), text.split()
     lines = [x for x in text.splitlines() if x.strip()]
-    n, k = max(1, len(text)), max(1, len(lines))
-    letters = [c for c in low if c.isalpha()]
-    latin = [c for c in letters if c.isascii()]
-    bare = sum(not c.isspace() for c in text) or 1
+    n, k, has = max(1, len(text)), max(1, len(lines)), _counts(text)
+    bare = len(text) - has[_SPACE] or 1
     common = sum(w in _ANY for w in words)
     marked = [bool(_MARK.match(x)) and len(x.split()) <= 10 for x in lines]
     entries = []
@@ -109,8 +131,8 @@ def statistics(text: str) -> tuple[str, list[float]]:
         np.log1p(len(words)),
         sum(map(len, words)) / max(1, len(words)),
         min(60.0, bare / max(1, len(tokens))),
-        sum(not c.isalnum() and not c.isspace() and c != "ـ" for c in text) / bare,
-        sum(c.isdigit() for c in text) / bare,
+        (len(text) - has[_SPACE] - has[_ALNUM]) / bare,
+        has[_DIGIT] / bare,
         sum(bool(_END.search(x)) for x in lines) / k,
         common / max(1, len(words)),
         np.log1p(len(tokens) / k),
@@ -119,11 +141,11 @@ def statistics(text: str) -> tuple[str, list[float]]:
         _fields(lines),
         (Counter(lines).most_common(1)[0][1] - 1) / k if k > 3 else 0.0,
         min(1.0, (len(zlib.compress(raw, 6)) - 8) / (40 + len(raw) * 0.9)) if len(raw) > 150 else 0.5,
-        sum(c in "aeiouy" for c in latin) / len(latin) if len(latin) > 20 and len(latin) > 0.5 * len(letters) else 0.4,
-        sum("\x80" <= c <= "\xdf" or c == "�" for c in text) / n,
-        1 - len(_TAG.sub("", text)) / n,
+        has[_VOWEL] / has[_ASCII] if has[_ASCII] > 20 and has[_ASCII] > 0.5 * has[_ALPHA] else 0.4,
+        has[_ODD] / n,
+        1 - len(_TAG.sub("", text)) / n if "<" in text else 0.0,
     ]
-    return language_of(text, words), [float(v) for v in values]
+    return language_of(has, words), [float(v) for v in values]
 
 
 def kind_of(x: dict[str, float]) -> str | None:
