@@ -126,6 +126,21 @@ SELECT 'places' AS tbl, source || ':' || place_id AS record_id, snapshot, change
 UNION ALL SELECT 'h3_metric_history', h3_index || ':' || metric, snapshot_id, 'added' FROM h a WHERE before IS NOT NULL AND NOT EXISTS (FROM h b WHERE b.h3_index = a.h3_index AND b.metric = a.metric AND b.snapshot_id = a.before)
 UNION ALL SELECT 'h3_metric_history', h3_index || ':' || metric, after, 'removed' FROM h a WHERE after IS NOT NULL AND NOT EXISTS (FROM h b WHERE b.h3_index = a.h3_index AND b.metric = a.metric AND b.snapshot_id = a.after)""",
     "p1_values": _CHANGES + " SELECT * FROM ch",
+    "p2_found": """WITH r AS (SELECT h3_index, metric, snapshot_id, arg_max(value, (written_at, value)) FILTER (value IS NOT NULL) AS value FROM h3_metric_history GROUP BY ALL),
+f AS (SELECT *, value IS NOT NULL AND NOT isnan(value) AS known, coalesce(value < 0 OR isinf(value) OR (metric = 'builtup_pct' AND value > 100) OR (starts_with(metric, 'business_count') AND value <> floor(value)), false) AS bad FROM r),
+s AS (SELECT h3_index, metric, list(value ORDER BY snapshot_id) v, list(snapshot_id ORDER BY snapshot_id) t FROM f WHERE known AND NOT bad GROUP BY ALL),
+u AS (SELECT *, len(v) n, list_aggregate([abs(v[i + 1] - v[i]) for i in range(1, len(v)) if v[i + 1] <> v[i]], 'median') AS unit FROM s),
+w AS (SELECT h3_index, metric, v, t, n, unit, a, a + k AS b, list_aggregate(v[greatest(1, a - 4):a - 1], 'median') lo, list_aggregate(v[a + k + 1:a + k + 4], 'median') hi
+  FROM (SELECT *, unnest(range(1, n + 1)) a FROM u WHERE unit > 0), (SELECT unnest([0, 1]) k) WHERE a > 3 AND a + k + 3 <= n),
+x AS (SELECT *, CASE WHEN v[a] > lo THEN 1 ELSE -1 END sg FROM w),
+y AS (SELECT * FROM x WHERE sg * (v[a] - lo) > 10 * unit AND sg * (v[a] - hi) > 10 * unit AND sg * (v[b] - lo) > 10 * unit AND sg * (v[b] - hi) > 10 * unit
+  AND NOT (sg * (v[a - 1] - lo) > 10 * unit AND sg * (v[a - 1] - hi) > 10 * unit) AND NOT (sg * (v[b + 1] - lo) > 10 * unit AND sg * (v[b + 1] - hi) > 10 * unit)),
+p AS (SELECT h3_index, metric, t[i] snapshot_id, v[i] AS value, i, n, i - row_number() OVER (PARTITION BY h3_index, metric, v[i] ORDER BY i) AS island FROM (SELECT *, unnest(range(1, n + 1)) i FROM u WHERE metric IN ('population', 'builtup_pct'))),
+g AS (SELECT *, count(*) OVER (PARTITION BY h3_index, metric, value, island) len, min(i) OVER (PARTITION BY h3_index, metric, value, island) st FROM p),
+q AS (SELECT h3_index, metric, sum(len - 1) same FROM (SELECT DISTINCT h3_index, metric, value, island, len FROM g) GROUP BY ALL)
+SELECT h3_index, metric, snapshot_id FROM f WHERE known AND bad
+UNION SELECT h3_index, metric, t[a] FROM y UNION SELECT h3_index, metric, t[b] FROM y
+UNION SELECT h3_index, metric, snapshot_id FROM g JOIN q USING (h3_index, metric) WHERE len >= 5 AND n - len >= 5 AND (same - (len - 1)) / (n - len)::DOUBLE <= 0.34""",
     "p4_found": "SELECT h3_res9 FROM places WHERE h3_res9 IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.025 * (SELECT count(*) FROM places)",
     "p4_cells": """SELECT h3_res9, count(*) n_rows, count(DISTINCT source || ':' || place_id) n_places, sum(dup_suspected::INT) n_suspected, sum((source = 'fsq')::INT) n_fsq, any_value(density_distorted) density_distorted
 FROM places LEFT JOIN (SELECT h3_index h3_res9, max(density_distorted) density_distorted FROM h3_cell GROUP BY 1) USING (h3_res9) WHERE h3_res9 IS NOT NULL GROUP BY 1""",
