@@ -140,7 +140,7 @@ def statistics(text: str) -> tuple[str, list[float]]:
         _share(lines, entries),
         _fields(lines),
         (Counter(lines).most_common(1)[0][1] - 1) / k if k > 3 else 0.0,
-        min(1.0, (len(zlib.compress(raw, 6)) - 8) / (40 + len(raw) * 0.9)) if len(raw) > 150 else 0.5,
+        min(1.0, (len(zlib.compress(raw, 6)) - 8) / (40 + len(raw) * 0.9)) if len(raw) > 40 else 0.5,
         has[_VOWEL] / has[_ASCII] if has[_ASCII] > 20 and has[_ASCII] > 0.5 * has[_ALPHA] else 0.4,
         has[_ODD] / n,
         1 - len(_TAG.sub("", text)) / n if "<" in text else 0.0,
@@ -153,7 +153,7 @@ def kind_of(x: dict[str, float]) -> str | None:
     words = np.expm1(x["log_words"])
     if x["field_lines"] >= 0.7:
         return "table"
-    if x["tags"] >= 0.6 or x["odd_letters"] >= 0.2 or x["top_line"] >= 0.5 or x["packed_size"] <= 0.12:
+    if x["tags"] >= 0.6 or x["odd_letters"] >= 0.2 or x["top_line"] >= 0.5 or x["packed_size"] <= 0.08:
         return "junk"
     if x["marked_lines"] >= 0.6 and x["entry_lines"] >= 0.5 or x["entry_lines"] >= 0.75 and x["symbol_ratio"] < 0.25 and x["vowels"] > 0.2 and x["token_length"] < 12:
         return "list"
