@@ -23,7 +23,7 @@ from hexloom.operators.similarity import prefix_pairs
 from hexloom.runtime import bounded_collect, cut
 
 LEAST_JACCARD = 0.3
-LEAST_LIKENESS = 0.84
+LEAST_LIKENESS = 0.8
 INITIAL_LIKENESS = 0.95
 
 
