@@ -16,8 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hexloom.runtime import cut
+
 CHUNK_ROWS = 1 << 17
-UNIT_ROWS = 1 << 20
+UNIT_ROWS = 1 << 18
 _LANES = 64
 
 
@@ -54,7 +56,7 @@ def offsets(counts: DataFrame, key: str) -> DataFrame:
 
 def chunked(rows: DataFrame, key: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """`rows` (with _unit and _row) with _pos, its place in the order by key, and _chunk."""
-    counts = rows.groupBy("_unit", key).agg(F.count("*").alias("n"))
+    counts = cut(rows.groupBy("_unit", key).agg(F.count("*").alias("n")))  # small, and used three times
     rank = F.row_number().over(Window.partitionBy("_unit", key).orderBy("_row")) - 1
     placed = rows.join(offsets(counts, key), ["_unit", key]).withColumn("_pos", F.col("_from") + rank)
     return placed.withColumn("_chunk", F.floor(F.col("_pos") / F.lit(chunk_rows))).drop("_from")
