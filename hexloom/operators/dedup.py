@@ -70,9 +70,13 @@ def alike_pairs(places: DataFrame, metres: float, least: float, across: bool, ov
     """
     reps = spots(named(places), ["source", "norm", "grams"])
     width = metres * SLACK
-    # In each square the records of it and, marked, those around it.
-    own = _blocks(reps, width, True).select(F.concat_ws(":", "bx", "by").alias("block"), F.col("rep").alias("id"), "grams")
-    pairs = prefix_pairs(own, overlap)
+    # The square's name holds the source, so that only sources meet that are to be compared.
+    near = _blocks(reps, width, True)
+    if across:
+        sources = F.array(*[F.lit(r[0]) for r in reps.select("source").distinct().collect()] or [F.lit("")])  # a handful
+        near = near.withColumn("source", F.explode(F.filter(sources, lambda s: s < F.col("source"))))
+    square = lambda df: df.select(F.concat_ws(":", "source", "bx", "by").alias("block"), F.col("rep").alias("id"), "grams")
+    pairs = prefix_pairs(square(_blocks(reps, width, False)), overlap, around=square(near))
     side = lambda p: reps.select(F.col("rep").alias(f"{p}_rep"), F.col("norm").alias(f"{p}_norm"), F.col("source").alias(f"{p}_source"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
     pairs = pairs.select(F.col("a").alias("l_rep"), F.col("b").alias("r_rep")).join(side("l"), "l_rep").join(side("r"), "r_rep")
     if across:

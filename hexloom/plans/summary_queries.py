@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexloom.functions import grid
-from hexloom.plans.base import CELLS_SQL, ORACLE, PLACES_SQL, POINTS_SQL, cells, points, query, valid_places
+from hexloom.plans.base import ORACLE, PLACES_SQL, POINTS_SQL, points, query, valid_places
 from hexloom.plans.metric_queries import report_context
 from hexloom.plans.quality_queries import carrier_check, coordinate_collapse, density_distortion, storefront_filter
 from hexloom.plans.serving_queries import search_gate_counts
@@ -82,10 +82,3 @@ def pair_space(spark: SparkSession, d: str) -> DataFrame:
     n = valid_places(spark, d).join(cell, "h3_res9").groupBy("governorate").agg(F.count_if(F.col("source") == "overture").alias("o"), F.count_if(F.col("source") == "fsq").alias("f"))
     o, f = F.col("o"), F.col("f")
     return n.select("governorate", (o * f).alias("cross_pairs"), ((o * (o - 1) + f * (f - 1)) / 2).cast("bigint").alias("intra_pairs"), F.round(F.try_divide(o.cast("double"), f), 6).alias("ratio"))
-
-
-@query(f"""WITH {CELLS_SQL}, k AS (SELECT pq, pr, round(sum(population), 4) AS population, count(*) AS cells FROM cell WHERE population IS NOT NULL GROUP BY 1, 2) SELECT pq, pr, population, cells, row_number() OVER (ORDER BY population DESC, pq, pr) AS place FROM k""")
-def parent_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """SR-02: parents by people, ties by cell"""
-    k = cells(spark, d).filter(F.col("population").isNotNull()).groupBy("pq", "pr").agg(F.round(F.sum("population"), 4).alias("population"), F.count("*").alias("cells"))
-    return k.withColumn("place", F.row_number().over(Window.orderBy(F.desc("population"), "pq", "pr")))  # a row for each parent
