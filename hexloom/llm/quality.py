@@ -179,22 +179,49 @@ def document_statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "te
     return rows.mapInPandas(measure, f"`{key}` {kind}, language string, x array<double>")
 
 
-def _sums(core: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
-    """Count, sums and sums of products by language: one row for each language, combined map-side."""
-    d = len(STATS)
-    upper = [(i, j) for i in range(d) for j in range(i, d)]
-    x = [F.col("x")[i] for i in range(d)]
-    rows = core.groupBy("language").agg(F.count("*").alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*[F.sum(x[i] * x[j]) for i, j in upper]).alias("p")).collect()  # four languages
-    out = {}
-    for r in rows:
-        p = np.zeros((d, d))
-        for (i, j), v in zip(upper, r.p):
-            p[i, j] = p[j, i] = v
-        out[r.language] = (float(r.n), np.array(r.s), p)
-    return out
+Models = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _parts(b: pd.DataFrame, models: Models) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of a batch and what each statistic adds to their squared distances."""
+    x = np.stack(b["x"].to_numpy()) if len(b) else np.zeros((0, len(STATS)))
+    parts = np.zeros_like(x)
+    language = b["language"].to_numpy()
+    for k in set(language):
+        own = language == k
+        mean, inv = models[k]
+        z = x[own] - mean
+        parts[own] = z * (z @ inv)
+    return x, parts
+
 
+def _core_sums(stats: DataFrame, models: Models) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
+    """Count, sums and sums of products of the documents near the models, by language.
 
-def prose_models(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    Each task adds up its own documents; what leaves it is one number for each sum.
+    """
+    d = len(STATS)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            x, parts = _parts(b, models)
+            near, language = parts.sum(axis=1) <= OUTLIER, b["language"].to_numpy()
+            for k in set(language):
+                own = np.hstack([np.ones((int((m := near & (language == k)).sum()), 1)), x[m]])
+                sums[k] = sums.get(k, 0) + own.T @ own
+        rows = [(k, i, float(v)) for k, s in sums.items() for i, v in enumerate(s.ravel())]
+        yield pd.DataFrame(rows, columns=["language", "i", "v"])
+
+    added = stats.select("language", "x").mapInPandas(add, "language string, i int, v double").groupBy("language", "i").agg(F.sum("v").alias("v"))
+    flat: dict[str, np.ndarray] = {}
+    for r in added.collect():  # four languages by (d + 1)^2
+        flat.setdefault(r.language, np.zeros((d + 1) ** 2))[r.i] = r.v
+    whole = {k: v.reshape(d + 1, d + 1) for k, v in flat.items()}
+    return {k: (m[0, 0], m[0, 1:], m[1:, 1:]) for k, m in whole.items() if m[0, 0] > 0}
+
+
+def prose_models(stats: DataFrame) -> Models:
     """Robust mean and inverse covariance of prose by language, over all documents.
 
     A language with few documents leans on the covariance of all: its own counts as
@@ -206,8 +233,7 @@ def prose_models(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     floor = np.array(FLOOR)
     models = {k: (v[:, 1], np.diag(1 / np.maximum((v[:, 2] - v[:, 0]) / 1.349, floor) ** 2)) for k, v in start.items()}
     for _ in range(ROUNDS):
-        core = with_distance(stats, models).filter(F.col("d2") <= OUTLIER)
-        sums = _sums(core)
+        sums = _core_sums(stats, models)
         total = sum((n for n, _, _ in sums.values()), 0.0)
         if not total:
             return models
@@ -220,7 +246,7 @@ def prose_models(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return models
 
 
-def with_distance(stats: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def with_distance(stats: DataFrame, models: Models) -> DataFrame:
     """stats with d2 and parts: what each statistic adds to d2."""
     shared = {k: (m.copy(), v.copy()) for k, (m, v) in models.items()}
     names = [f for f in stats.schema.fields]
@@ -228,13 +254,7 @@ def with_distance(stats: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarr
 
     def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.stack(b["x"].to_numpy()) if len(b) else np.zeros((0, len(STATS)))
-            parts = np.zeros_like(x)
-            for k in b["language"].unique():
-                own = (b["language"] == k).to_numpy()
-                mean, inv = shared[k]
-                z = x[own] - mean
-                parts[own] = z * (z @ inv)
+            _, parts = _parts(b, shared)
             b["d2"], b["parts"] = parts.sum(axis=1), list(parts)
             yield b
 
