@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANK = 2
-ROUNDS = 8
+ROUNDS = 5
 OFF_STEPS = 10.0
 #: A candidate's sparse part, in median steps. Far below OFF_STEPS, so that the rule decides and not the fit.
 CANDIDATE_STEPS = 2.0
@@ -77,22 +77,25 @@ def spike_positions(v: np.ndarray, candidates: Sequence[int]) -> set[int]:
     unit, found = median_step(v), set()
     if not unit:
         return found
+    limit, v = OFF_STEPS * unit, v.tolist()
     for i in candidates:
         for a, b in ((i, i), (i, i + 1), (i - 1, i)):
             before, after = v[max(0, a - SIDE) : max(0, a)], v[b + 1 : b + 1 + SIDE]
             if a < 0 or len(before) < LEAST_SIDE or len(after) < LEAST_SIDE:
                 continue
-            levels = np.array([np.median(before), np.median(after)])
-            off = v[a : b + 1, None] - levels
-            sign = np.sign(off[0, 0])
-            if not (off * sign > OFF_STEPS * unit).all():
-                continue
-            beside = (np.array([v[a - 1], v[b + 1]])[:, None] - levels) * sign
-            if not (beside > OFF_STEPS * unit).all(axis=1).any():
+            lo, hi = _median(before), _median(after)
+            up = v[a] > lo
+            off = (lambda x: x - lo > limit and x - hi > limit) if up else (lambda x: lo - x > limit and hi - x > limit)  # noqa: B023
+            if off(v[a]) and off(v[b]) and not off(v[a - 1]) and not off(v[b + 1]):
                 found.update(range(a, b + 1))
     return found
 
 
+def _median(few: list[float]) -> float:
+    few, n = sorted(few), len(few)
+    return (few[(n - 1) // 2] + few[n // 2]) / 2
+
+
 def stuck_positions(v: np.ndarray) -> set[int]:
     """Readings in constant runs of at least five, where the series hardly repeats outside that run."""
     if len(v) < STUCK_RUN:
