@@ -109,7 +109,7 @@ def land_fraction(spark: SparkSession, d: str) -> DataFrame:
     return C.land_fraction(p.withColumn("cell_row", F.floor(F.col("row") / F.lit(50)).cast("bigint")), ["tile", "cell_row"])
 
 
-@query(f"""WITH {_PIX}, w AS (SELECT * FROM px WHERE "row" >= 100 AND "row" < 200 AND col >= 50 AND col < 150 AND value <> 0) SELECT tile, "row", col, value, round(24.0 + (col + 0.5) * 0.001, 9) AS lon, round(29.0 + ("row" + 0.5) * -0.001, 9) AS lat FROM w""")
+@query(f"""WITH {_PIX}, w AS (SELECT * FROM px WHERE "row" >= 100 AND "row" < 200 AND col >= 50 AND col < 150 AND value <> 0) SELECT tile, "row", col, value, round((24.0 + (col + 0.5) * 0.001)::DOUBLE, 9) AS lon, round((29.0 + ("row" + 0.5) * -0.001)::DOUBLE, 9) AS lat FROM w""")
 def raster_window(spark: SparkSession, d: str) -> DataFrame:
     """SRC-09, SRC-10"""
     w = C.pixel_points(C.window(_pixels(spark, d), (100, 200), (50, 150)), a=0.001, c=24.0, e=-0.001, f=29.0)
@@ -178,7 +178,7 @@ def category_mapping_error(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("error_pct", F.round(F.try_divide(100.0 * (F.col("naive") - F.col("mapped")), F.col("mapped")), 4))
 
 
-@query(f"""WITH {POINTS_SQL}, m AS ({M.sql_business_counts('q, r', 'pt')}) SELECT t.t AS tolerance, m.metric, count(*) FILTER (n_sources = 2) AS both, count(*) FILTER (n_sources = 2 AND agreement_ratio >= t.t) AS agreeing
+@query(f"""WITH {POINTS_SQL}, m AS ({M.sql_business_counts('q, r', 'pt')}) SELECT t.t::DOUBLE AS tolerance, m.metric, count(*) FILTER (n_sources = 2) AS both, count(*) FILTER (n_sources = 2 AND agreement_ratio >= t.t) AS agreeing
 FROM m, (SELECT unnest([0.3, 0.5, 0.6, 0.667, 0.8, 0.9]) t) t GROUP BY 1, 2""")
 def tolerance_sweep(spark: SparkSession, d: str) -> DataFrame:
     """AG-24, Q-18: one pass, a column for each tolerance"""
@@ -291,7 +291,7 @@ def loader_census(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {PLACES_SQL}, c AS (SELECT h3_res8, category, count(*) n FROM vp WHERE h3_res8 IS NOT NULL GROUP BY ALL), t AS (SELECT h3_res8, sum(n) total, max(n) FILTER (category IS NOT NULL) top_n, arg_max(category, (n, category)) FILTER (category IS NOT NULL) top FROM c GROUP BY 1),
 s AS (SELECT h3_res8, count(*) FILTER (source = 'overture') o, count(*) FILTER (source = 'fsq') f FROM vp WHERE h3_res8 IS NOT NULL GROUP BY 1)
-SELECT h3_res8, total, top, round(100.0 * top_n / total, 4) AS top_pct, round(o::DOUBLE / nullif(f, 0), 6) AS source_ratio FROM t JOIN s USING (h3_res8)""")
+SELECT h3_res8, total::BIGINT AS total, top, round(100.0 * top_n / total, 4) AS top_pct, round(o::DOUBLE / nullif(f, 0), 6) AS source_ratio FROM t JOIN s USING (h3_res8)""")
 def district_profile(spark: SparkSession, d: str) -> DataFrame:
     """AG-38, AG-41, JN-23"""
     c = valid_places(spark, d).dropna(subset=["h3_res8"]).groupBy("h3_res8", "category").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "overture").alias("o"), F.count_if(F.col("source") == "fsq").alias("f"))

@@ -119,7 +119,7 @@ def report_context(spark: SparkSession, d: str) -> DataFrame:
     return catchment_context(catchment(ring(spark, *ORIGIN, K), cells(spark, d)))
 
 
-@query("SELECT r.radius AS radius_m, arg_min(k, abs((3 * k * k + 3 * k + 1) * 105000.0 - pi() * radius * radius)) AS k FROM (SELECT unnest([0.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0]) radius) r, (SELECT unnest(range(0, 61)) k) GROUP BY 1")
+@query("SELECT r.radius::DOUBLE AS radius_m, arg_min(k, abs((3 * k * k + 3 * k + 1) * 105000.0 - pi() * radius * radius)) AS k FROM (SELECT unnest([0.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0]) radius) r, (SELECT unnest(range(0, 61)) k) GROUP BY 1")
 def k_for_radius(spark: SparkSession, d: str) -> DataFrame:
     """SCL-26"""
     from hexloom.functions.geo import steps_for_radius

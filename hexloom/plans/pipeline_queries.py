@@ -142,7 +142,7 @@ SELECT h3_index, metric, snapshot_id FROM f WHERE known AND bad
 UNION SELECT h3_index, metric, t[a] FROM y UNION SELECT h3_index, metric, t[b] FROM y
 UNION SELECT h3_index, metric, snapshot_id FROM g JOIN q USING (h3_index, metric) WHERE len >= 5 AND n - len >= 5 AND (same - (len - 1)) / (n - len)::DOUBLE <= 0.34""",
     "p4_found": "SELECT h3_res9 FROM places WHERE h3_res9 IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.025 * (SELECT count(*) FROM places)",
-    "p4_cells": """SELECT h3_res9, count(*) n_rows, count(DISTINCT source || ':' || place_id) n_places, sum(dup_suspected::INT) n_suspected, sum((source = 'fsq')::INT) n_fsq, any_value(density_distorted) density_distorted
+    "p4_cells": """SELECT h3_res9, count(*) n_rows, count(DISTINCT source || ':' || place_id) n_places, sum(dup_suspected::INT)::BIGINT n_suspected, sum((source = 'fsq')::INT)::BIGINT n_fsq, any_value(density_distorted) density_distorted
 FROM places LEFT JOIN (SELECT h3_index h3_res9, max(density_distorted) density_distorted FROM h3_cell GROUP BY 1) USING (h3_res9) WHERE h3_res9 IS NOT NULL GROUP BY 1""",
     "p7_found": f"""WITH last AS (SELECT source, max(snapshot) snapshot FROM places GROUP BY 1),
 p AS (SELECT * FROM (SELECT place_id, lat, lon, row_number() OVER (PARTITION BY source, place_id ORDER BY delivered_at DESC) rn FROM places JOIN last USING (source, snapshot)) WHERE rn = 1 AND lat IS NOT NULL AND lon IS NOT NULL),

@@ -134,7 +134,7 @@ def name_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CELLS_SQL}, probe AS (SELECT * FROM ({grid.sql_located('(SELECT * FROM (VALUES (24.5, 25.0), (24.5, 27.0), (10.0, 10.0)) v(lat, lon))')}))
-SELECT probe.lat, probe.lon, cell.q IS NOT NULL AS covered, cell.governorate, cell.land_fraction FROM probe LEFT JOIN cell ON cell.q = probe.q AND cell.r = probe.r""")
+SELECT probe.lat::DOUBLE AS lat, probe.lon::DOUBLE AS lon, cell.q IS NOT NULL AS covered, cell.governorate, cell.land_fraction FROM probe LEFT JOIN cell ON cell.q = probe.q AND cell.r = probe.r""")
 def coverage_probe(spark: SparkSession, d: str) -> DataFrame:
     """Q-07, GEO-01"""
     probe = grid.located(spark.createDataFrame([(24.5, 25.0), (24.5, 27.0), (10.0, 10.0)], "lat double, lon double"))

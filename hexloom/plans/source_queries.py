@@ -90,7 +90,7 @@ def accuracy_circles(spark: SparkSession, d: str) -> DataFrame:
     return c.select("area_id", F.round(box["ymin"], 9).alias("ymin"), F.round(box["ymax"], 9).alias("ymax"), F.round(box["xmin"], 9).alias("xmin"), F.size(circle(F.col("lat"), F.col("lon"), F.col("radius_m"))).alias("corners"))
 
 
-@query("SELECT DISTINCT pair_id, band, row_number() OVER (PARTITION BY band ORDER BY pair_id) - 1 AS turn FROM (SELECT DISTINCT pair_id, band FROM dup_triage_sample)")
+@query("SELECT DISTINCT pair_id, band, (row_number() OVER (PARTITION BY band ORDER BY pair_id) - 1)::INT AS turn FROM (SELECT DISTINCT pair_id, band FROM dup_triage_sample)")
 def interleaving(spark: SparkSession, d: str) -> DataFrame:
     """WN-12, SR-12: a running number in each band, by which bands are shown in turn"""
     p = table(spark, d, "dup_triage_sample").select("pair_id", "band").dropDuplicates()

@@ -71,7 +71,7 @@ def growth_first_last(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_HITS}, s AS (SELECT h3_index, metric, max(n) n, arg_min(ord, (value, ord)) low_at, arg_min(ord, (-value, ord)) high_at, min(value) low, max(value) high FROM hits GROUP BY ALL)
-SELECT h3_index, metric, low_at, high_at, CASE WHEN high - low <= 0.05 * high THEN 'flat' WHEN low_at > 1 AND low_at < n AND NOT (high_at > 1 AND high_at < n) THEN 'dip' WHEN high_at > 1 AND high_at < n AND NOT (low_at > 1 AND low_at < n) THEN 'peak' ELSE 'slope' END shape FROM s""")
+SELECT h3_index, metric, low_at::INT AS low_at, high_at::INT AS high_at, CASE WHEN high - low <= 0.05 * high THEN 'flat' WHEN low_at > 1 AND low_at < n AND NOT (high_at > 1 AND high_at < n) THEN 'dip' WHEN high_at > 1 AND high_at < n AND NOT (low_at > 1 AND low_at < n) THEN 'peak' ELSE 'slope' END shape FROM s""")
 def series_shape(spark: SparkSession, d: str) -> DataFrame:
     """WN-15"""
     return S.shape(S.with_artifacts(_good(spark, d), SERIES, "snapshot_id", "value"), SERIES, "value")
@@ -79,7 +79,7 @@ def series_shape(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {HISTORY_SQL}, o AS (SELECT snapshot_id, row_number() OVER (ORDER BY snapshot_id) ord FROM (SELECT DISTINCT snapshot_id FROM hist)),
 i AS (SELECT h3_index, metric, ord, ord - row_number() OVER (PARTITION BY h3_index, metric ORDER BY ord) g FROM hist JOIN o USING (snapshot_id))
-SELECT h3_index, metric, min(ord) AS start, max(ord) AS stop, count(*) AS length FROM i GROUP BY h3_index, metric, g""")
+SELECT h3_index, metric, min(ord)::INT AS start, max(ord)::INT AS stop, count(*) AS length FROM i GROUP BY h3_index, metric, g""")
 def row_runs(spark: SparkSession, d: str) -> DataFrame:
     """WN-16, SRC-17: unbroken stretches of snapshots"""
     h = history(spark, d)
