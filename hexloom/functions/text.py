@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 # Arabic letters and their Latin stand-ins, one character each.
 _FROM = "ابتجحدرزسصضطفقكلمنهويةىأإآؤئ"
@@ -83,6 +84,10 @@ def _bones(x: str) -> str:
     return "".join(c for c in x if c not in "aeiou ")
 
 
+def _distinct(x: str) -> str:
+    return " ".join(w for w in x.split() if len(w) > 1 and w not in STOP)
+
+
 def _window(a: str, b: str, least: int = 5) -> float:
     """Best ratio of the shorter text with any window of its length in the longer one; 0 for short ones."""
     a, b = sorted((a, b), key=len)
@@ -102,7 +107,7 @@ def likeness(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     full = max(ratio(a, b), ratio(_bones(a), _bones(b)), _window(_bones(a), _bones(b)))
-    da, db = (" ".join(w for w in x.split() if len(w) > 1 and w not in STOP) for x in (a, b))
+    da, db = _distinct(a), _distinct(b)
     if not da and not db:
         return full if a == b else 0.0
     if not da or not db:
@@ -117,3 +122,99 @@ def likeness(a: str, b: str) -> float:
 @F.pandas_udf(DoubleType())
 def name_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([likeness(x, y) if isinstance(x, str) and isinstance(y, str) else 0.0 for x, y in zip(a, b)])
+
+
+# What likeness() accepts must also pass the bounds below: characters that match are
+# common to both texts, however often each has them, and a common subsequence.
+_LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
+_BIT = {x: 1 << i for i, x in enumerate(_LETTERS)}
+_HARD = sum(b for x, b in _BIT.items() if x not in "aeiou ")
+_OWN, _STRICT = 0.62, 0.9
+#: Above the rounding of the products, below any step of a ratio.
+_EPS = 1e-9
+
+
+def _held(x: str) -> list[int]:
+    n = Counter(x)
+    return [sum(b for c, b in _BIT.items() if n[c] >= k) for k in (1, 2, 3)]
+
+
+HELD = ["n1", "n2", "n3", "n", "nb", "d1", "d2", "d3", "d", "db"]
+
+
+@F.pandas_udf(StructType([StructField(k, LongType()) for k in HELD]))
+def letters(norm: pd.Series) -> pd.DataFrame:
+    """Letters that a normalised name and its distinctive words hold once, twice and three times, and their lengths with and without vowels."""
+    rows = []
+    for a in norm:
+        da = _distinct(a)
+        rows.append((*_held(a), len(a), len(_bones(a)), *_held(da), len(da), len(_bones(da))))
+    return pd.DataFrame(rows, columns=HELD)
+
+
+def may_be_alike(l: str, r: str, same: Column, least: float) -> Column:  # noqa: E741
+    """False only where likeness() is below `least` > 0. l, r: prefixes of columns of letters(), without nulls; same: the names are equal."""
+    l, r = ({k: F.col(f"{p}_{k}") for k in HELD} for p in (l, r))  # noqa: E741
+
+    def common(p: str, size: str, of: int | None = None) -> Column:
+        got, rest = None, [l[size], r[size]]
+        for k in "123":
+            a, b = (x[p + k] if of is None else x[p + k].bitwiseAND(F.lit(of)) for x in (l, r))
+            both = F.bit_count(a.bitwiseAND(b))
+            got, rest = both if got is None else got + both, [rest[0] - F.bit_count(a), rest[1] - F.bit_count(b)]
+        return got + F.least(*rest)
+
+    def reaches(p: str, bar) -> Column:
+        b = p + "b"
+        hard, short, both = common(p, b, _HARD), F.least(l[b], r[b]), l[b] + r[b]
+        # Two empty texts have the ratio 1.
+        return (2 * common(p, p) >= bar * (l[p] + r[p])) | (2 * hard >= bar * both) | ((short >= 5) & (hard >= bar * short))
+
+    strict = (F.least(l["db"], r["db"]) < 4) | (F.least(l["d"], r["d"]) < 0.5 * F.greatest(l["d"], r["d"]))
+    own = F.when(strict, F.lit(_STRICT)).otherwise(F.lit(min(_OWN, least)))
+    return F.when((l["d"] == 0) | (r["d"] == 0), same).otherwise(reaches("n", F.lit(least - _EPS)) & reaches("d", own - _EPS))
+
+
+@lru_cache(20_000)
+def _places_of(x: str) -> dict[str, int]:
+    out: dict[str, int] = {}
+    for i, c in enumerate(x):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def _subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by bits."""
+    at, full = _places_of(a), (1 << len(a)) - 1
+    v = full
+    for c in b:
+        u = v & at.get(c, 0)
+        v = (v + u | v - u) & full
+    return len(a) - v.bit_count()
+
+
+def _reaches(a: str, b: str, bar: float) -> bool:
+    x, y = _bones_of(a), _bones_of(b)
+    hard, short = _subsequence(x, y), min(len(x), len(y))
+    return 2 * hard >= bar * (len(x) + len(y)) or short >= 5 and hard >= bar * short or 2 * _subsequence(a, b) >= bar * (len(a) + len(b))
+
+
+_bones_of, _distinct_of = lru_cache(50_000)(_bones), lru_cache(50_000)(_distinct)
+
+
+def _may_be_alike(a: str, b: str, least: float) -> bool:
+    da, db = _distinct_of(a), _distinct_of(b)
+    if not da or not db:
+        return a == b
+    strict = min(len(_bones_of(da)), len(_bones_of(db))) < 4 or min(len(da), len(db)) < 0.5 * max(len(da), len(db))
+    return _reaches(a, b, least - _EPS) and _reaches(da, db, (_STRICT if strict else min(_OWN, least)) - _EPS)
+
+
+def likeness_from(a: Column, b: Column, least: float) -> Column:
+    """The likeness of two normalised names where it may reach `least` > 0, else 0."""
+
+    @F.pandas_udf(DoubleType())
+    def reached(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([likeness(x, y) if _may_be_alike(x, y, least) else 0.0 for x, y in zip(a, b)], dtype=float)
+
+    return reached(a, b)

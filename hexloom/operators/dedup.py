@@ -13,21 +13,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexloom.functions.geo import haversine_m
-from hexloom.functions.text import bigrams, name_likeness, normalize, skeleton
+from hexloom.functions.text import HELD, letters, likeness_from, may_be_alike, normalize
 from hexloom.operators.graph import components
-from hexloom.operators.similarity import prefix_pairs
 from hexloom.runtime import cut
 
 #: The plane's metres are true to a few percent; blocks are wider by this.
 SLACK = 1.2
 
 
-def _blocks(df: DataFrame, width: float, around: bool) -> DataFrame:
+#: Squares around one, with itself; HALF: of two squares one has the other.
+ROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+
+
+def _blocks(df: DataFrame, width: float, around: bool, offsets: Sequence = ROUND) -> DataFrame:
     bx, by = F.floor(F.col("x") / F.lit(width)).cast("bigint"), F.floor(F.col("y") / F.lit(width)).cast("bigint")
     df = df.withColumns({"bx": bx, "by": by})
     if not around:
         return df
-    at = F.array(*[F.struct((F.col("bx") + i).alias("bx"), (F.col("by") + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    at = F.array(*[F.struct((F.col("bx") + i).alias("bx"), (F.col("by") + j).alias("by")) for i, j in offsets])
     return df.withColumn("_b", F.explode(at)).drop("bx", "by").select("*", "_b.bx", "_b.by").drop("_b")
 
 
@@ -57,38 +61,44 @@ def neighbours(places: DataFrame, metres: float, across: bool) -> DataFrame:
 
 
 def named(places: DataFrame) -> DataFrame:
-    """Places with a name that leaves something, with norm and the bigrams of its consonants."""
-    n = places.withColumn("norm", normalize(F.col("name"))).filter(F.coalesce(F.length("norm"), F.lit(0)) > 0)
-    return n.withColumn("grams", bigrams(F.when(F.length(skeleton(F.col("norm"))) > 0, skeleton(F.col("norm"))).otherwise(F.col("norm"))))
+    """Places with a name that leaves something, with norm."""
+    return places.withColumn("norm", normalize(F.col("name"))).filter(F.coalesce(F.length("norm"), F.lit(0)) > 0)
 
 
-def alike_pairs(places: DataFrame, metres: float, least: float, across: bool, overlap: float = 0.3) -> DataFrame:
-    """(l_rep, r_rep, metres, likeness) of representatives near each other whose names are alike.
+def alike_pairs(places: DataFrame, metres: float, least: float, across: bool) -> DataFrame:
+    """(l_rep, r_rep, metres, likeness) of representatives near each other whose names are alike; across: l of the later source.
 
-    A set-similarity join on bigrams within the blocks comes before the costly
-    comparison; `overlap` is the least Jaccard similarity at which it looks.
+    Every two names near each other are compared, `least` > 0. Two bounds that no pair
+    of that likeness fails come before the costly comparison: letters in common within
+    the join, the common subsequence in front of the likeness itself.
     """
-    reps = spots(named(places), ["source", "norm", "grams"])
+    reps = spots(named(places), ["source", "norm"]).drop("n").withColumn("_h", letters("norm"))
+    reps = reps.select("source", "rep", "norm", "lat", "lon", "x", "y", *[F.coalesce(F.col("_h")[k], F.lit(0)).alias(k) for k in HELD])
     width = metres * SLACK
-    # The square's name holds the source, so that only sources meet that are to be compared.
-    near = _blocks(reps, width, True)
-    if across:
-        sources = F.array(*[F.lit(r[0]) for r in reps.select("source").distinct().collect()] or [F.lit("")])  # a handful
-        near = near.withColumn("source", F.explode(F.filter(sources, lambda s: s < F.col("source"))))
-    square = lambda df: df.select(F.concat_ws(":", "source", "bx", "by").alias("block"), F.col("rep").alias("id"), "grams")
-    pairs = prefix_pairs(square(_blocks(reps, width, False)), overlap, around=square(near))
-    side = lambda p: reps.select(F.col("rep").alias(f"{p}_rep"), F.col("norm").alias(f"{p}_norm"), F.col("source").alias(f"{p}_source"), F.col("lat").alias(f"{p}_lat"), F.col("lon").alias(f"{p}_lon"))
-    pairs = pairs.select(F.col("a").alias("l_rep"), F.col("b").alias("r_rep")).join(side("l"), "l_rep").join(side("r"), "r_rep")
+    # Two squares of one source meet once: from one side only.
+    near = _blocks(reps, width, True, ROUND if across else HALF)
     if across:
-        pairs = pairs.filter(F.col("l_source") != F.col("r_source"))
-    else:
-        pairs = pairs.filter(F.col("l_source") == F.col("r_source"))
-    pairs = pairs.withColumn("metres", haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
-    return pairs.withColumn("likeness", name_likeness("l_norm", "r_norm")).filter(F.col("likeness") >= least).select("l_rep", "r_rep", "metres", "likeness")
+        # A record looks for those of each later source.
+        sources = F.array(*[F.lit(r[0]) for r in reps.select("source").distinct().dropna().collect()] or [F.lit("")])  # a handful
+        near = near.withColumn("source", F.explode(F.filter(sources, lambda s: s > F.col("source"))))
+    side = lambda df, p: df.select("source", "bx", "by", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "norm", "lat", "lon", "x", "y", *HELD)])
+    met = side(_blocks(reps, width, False), "l").join(side(near, "r"), ["source", "bx", "by"])
+    if not across:
+        at = lambda c: F.floor(F.col(c) / F.lit(width))
+        met = met.filter((F.col("l_rep") < F.col("r_rep")) | (F.col("bx") != at("r_x")) | (F.col("by") != at("r_y")))
+    met = met.filter((F.abs(F.col("l_x") - F.col("r_x")) <= width) & (F.abs(F.col("l_y") - F.col("r_y")) <= width))
+    met = met.filter(may_be_alike("l", "r", F.col("l_norm") == F.col("r_norm"), least))
+    met = met.withColumn("metres", haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
+    if not across:
+        turn = F.col("l_rep") > F.col("r_rep")
+        swap = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(a)
+        met = met.select(*[swap(f"{p}_{c}", f"{q}_{c}") for c in ("rep", "norm") for p, q in ("lr", "rl")], "metres")
+    met = met.withColumn("likeness", likeness_from(F.col("l_norm"), F.col("r_norm"), least))
+    return met.filter(F.col("likeness") >= least).select("l_rep", "r_rep", "metres", "likeness")
 
 
 def _rep_of(places: DataFrame) -> DataFrame:
-    return named(places).select("source", "place_id", F.xxhash64("source", "norm", "grams", "lat", "lon").alias("rep"))
+    return named(places).select("source", "place_id", F.xxhash64("source", "norm", "lat", "lon").alias("rep"))
 
 
 def flagged(places: DataFrame, metres: float, least: float, across: bool) -> DataFrame:

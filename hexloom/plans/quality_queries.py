@@ -108,13 +108,9 @@ def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     """JN-13, JN-14: one-to-one, the most alike first"""
     p = points(spark, d)
     pairs = D.alike_pairs(p, T.duplicate_m, T.duplicate_similarity, across=True)
-    pairs = pairs.withColumns({"a": F.least("l_rep", "r_rep"), "b": F.greatest("l_rep", "r_rep")})
-    sides = D.spots(D.named(p), ["source", "norm", "grams"]).select("rep", "source")
-    pairs = pairs.join(sides.withColumnRenamed("rep", "l_rep"), "l_rep")
-    o, f = F.when(F.col("source") == "overture", F.col("l_rep")).otherwise(F.col("r_rep")), F.when(F.col("source") == "overture", F.col("r_rep")).otherwise(F.col("l_rep"))
-    pairs = pairs.select(o.alias("o"), f.alias("f"), "metres", "likeness")
+    pairs = pairs.select(F.col("l_rep").alias("o"), F.col("r_rep").alias("f"), "metres", "likeness")
     got = D.greedy_match(pairs, "o", "f", [F.desc("likeness"), "metres", "o", "f"])
-    first = D.named(p).groupBy(F.xxhash64("source", "norm", "grams", "lat", "lon").alias("rep")).agg(F.min("place_id").alias("id"))
+    first = D.named(p).groupBy(F.xxhash64("source", "norm", "lat", "lon").alias("rep")).agg(F.min("place_id").alias("id"))
     got = got.join(first.select(F.col("rep").alias("o"), F.col("id").alias("overture_id")), "o").join(first.select(F.col("rep").alias("f"), F.col("id").alias("fsq_id")), "f")
     return got.select("overture_id", "fsq_id", F.round("metres", 3).alias("metres"), F.round("likeness", 6).alias("likeness"))
 
