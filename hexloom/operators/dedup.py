@@ -130,16 +130,49 @@ def mutual_best(pairs: DataFrame, l: str, r: str, order: Sequence) -> DataFrame:
     return pairs.withColumns({"_l": F.row_number().over(wl), "_r": F.row_number().over(wr)}).filter("_l = 1 and _r = 1").drop("_l", "_r")
 
 
-def greedy_match(pairs: DataFrame, l: str, r: str, order: Sequence, rounds: int = 50) -> DataFrame:  # noqa: E741
+def greedy_match(pairs: DataFrame, l: str, r: str, order: Sequence) -> DataFrame:  # noqa: E741
     """Best-first one-to-one matching: the mutual best of each round are taken and their ends leave.
 
-    With a total order this is what taking pairs one by one from the best would give.
+    This is what taking pairs one by one from the best would give.
     """
-    left, taken = cut(pairs), None
-    for _ in range(rounds):
+    one = pairs.withColumns({"_nl": F.lit(1).cast("bigint"), "_nr": F.lit(1).cast("bigint")})
+    return greedy_deal(one, l, r, order, "_nl", "_nr").drop("_nl", "_nr", "n", "l_from", "r_from")
+
+
+def greedy_deal(pairs: DataFrame, l: str, r: str, order: Sequence, nl: str, nr: str) -> DataFrame:  # noqa: E741
+    """greedy_match where an end stands for nl or nr equal records: pairs taken, with n, l_from and r_from.
+
+    A pair taken deals the n records that both ends still have, from the l_from-th and
+    r_from-th on, counted from 0; what an end has over stays for later rounds.
+    """
+    order = [*order, F.col(l), F.col(r)]
+    zero = F.lit(0).cast("bigint")
+    pairs = cut(pairs.withColumns({"l_from": zero, "r_from": zero}))
+    left, taken = pairs, None
+    for _ in range(50):
         if left.isEmpty():
             break
-        best = cut(mutual_best(left, l, r, order))
+        best = mutual_best(left, l, r, order)
+        best = cut(best.withColumn("n", F.least(F.col(nl) - F.col("l_from"), F.col(nr) - F.col("r_from"))))
         taken = best if taken is None else taken.unionByName(best)
-        left = cut(left.join(best.select(l), l, "left_anti").join(best.select(r), r, "left_anti"))
-    return pairs.limit(0) if taken is None else taken
+        for end, had, at in ((l, nl, "l_from"), (r, nr, "r_from")):
+            left = left.join(best.select(end, F.col("n").alias("_n")), end, "left").withColumn(at, F.col(at) + F.coalesce("_n", zero)).drop("_n").filter(F.col(at) < F.col(had))
+        left = cut(left)
+    return pairs.withColumn("n", zero).limit(0) if taken is None else taken
+
+
+def matched(places: DataFrame, left: str, right: str, metres: float, least: float) -> DataFrame:
+    """(l_id, r_id, metres, likeness): records of two sources one to one, the most alike first, then the nearest."""
+    # alike_pairs() has the later source at its left.
+    own = places.filter(F.col("source").isin(left, right)).withColumn("source", F.when(F.col("source") == left, "b").otherwise("a"))
+    reps = spots(named(own), ["source", "norm"]).select("rep", "n")
+    pairs = alike_pairs(own, metres, least, across=True)
+    for p in "lr":
+        pairs = pairs.join(reps.select(F.col("rep").alias(f"{p}_rep"), F.col("n").alias(f"{p}_n")), f"{p}_rep")
+    got = greedy_deal(pairs, "l_rep", "r_rep", [F.desc("likeness"), "metres"], "l_n", "r_n")
+    got = got.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("place_id")) - 1
+    members = _rep_of(own).select("rep", "place_id", rank.cast("bigint").alias("at"))
+    for p in "lr":
+        got = got.withColumn("at", F.col(f"{p}_from") + F.col("_k")).join(members.select(F.col("rep").alias(f"{p}_rep"), "at", F.col("place_id").alias(f"{p}_id")), [f"{p}_rep", "at"]).drop("at")
+    return got.select("l_id", "r_id", "metres", "likeness")

@@ -105,14 +105,9 @@ def mutual_best_round(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
-    """JN-13, JN-14: one-to-one, the most alike first"""
-    p = points(spark, d)
-    pairs = D.alike_pairs(p, T.duplicate_m, T.duplicate_similarity, across=True)
-    pairs = pairs.select(F.col("l_rep").alias("o"), F.col("r_rep").alias("f"), "metres", "likeness")
-    got = D.greedy_match(pairs, "o", "f", [F.desc("likeness"), "metres", "o", "f"])
-    first = D.named(p).groupBy(F.xxhash64("source", "norm", "lat", "lon").alias("rep")).agg(F.min("place_id").alias("id"))
-    got = got.join(first.select(F.col("rep").alias("o"), F.col("id").alias("overture_id")), "o").join(first.select(F.col("rep").alias("f"), F.col("id").alias("fsq_id")), "f")
-    return got.select("overture_id", "fsq_id", F.round("metres", 3).alias("metres"), F.round("likeness", 6).alias("likeness"))
+    """JN-13: one-to-one, the most alike first"""
+    got = D.matched(points(spark, d), "overture", "fsq", T.duplicate_m, T.duplicate_similarity)
+    return got.select(F.col("l_id").alias("overture_id"), F.col("r_id").alias("fsq_id"), F.round("metres", 3).alias("metres"), F.round("likeness", 6).alias("likeness"))
 
 
 @query(f"""WITH {CELLS_SQL}, m AS ({M.sql_business_counts('q, r', 'pt')}), p AS (SELECT pq, pr, metric, max(value) mx, sum(value) sm FROM m JOIN cell USING (q, r) GROUP BY ALL)

@@ -68,3 +68,10 @@ def test_flags_of_unequal_names(spark):
             want[a[1]] += a[0] != b[0] and metres((0, 0, 0, *a[3:]), (0, 0, 0, *b[3:])) <= 40 and likeness(a[2].lower(), b[2].lower()) >= 0.72
     got = {r.place_id: r.n_alike for r in D.flagged(grid.located(spark.createDataFrame(own, PLACE)), 40.0, 0.72, True).collect()}
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_stacked_records_are_matched_one_to_one(spark):
+    own = [("overture", i, "Rashidi Zumoto", 25.0, 27.0) for i in (1, 2, 3)] + [("fsq", i, "Rashidi Zumoto", 25.0, 27.0) for i in (11, 12)]
+    own += [("fsq", 13, "Rashidi Zumotto", 25.0001, 27.0), ("overture", 4, "Falaki Motors", 25.0, 27.0)]
+    got = D.matched(grid.located(spark.createDataFrame(own, PLACE)), "overture", "fsq", 40.0, 0.72).collect()
+    assert sorted((r.l_id, r.r_id) for r in got) == [(1, 11), (2, 12), (3, 13)]
