@@ -133,7 +133,9 @@ def mutual_best(pairs: DataFrame, l: str, r: str, order: Sequence) -> DataFrame:
 def greedy_match(pairs: DataFrame, l: str, r: str, order: Sequence) -> DataFrame:  # noqa: E741
     """Best-first one-to-one matching: the mutual best of each round are taken and their ends leave.
 
-    This is what taking pairs one by one from the best would give.
+    This is what taking pairs one by one from the best would give; pairs that tie in
+    `order` come in the order of a hash, so that many of them are taken in a round.
+    It ends when no pair is left: every round takes the best one at least.
     """
     one = pairs.withColumns({"_nl": F.lit(1).cast("bigint"), "_nr": F.lit(1).cast("bigint")})
     return greedy_deal(one, l, r, order, "_nl", "_nr").drop("_nl", "_nr", "n", "l_from", "r_from")
@@ -145,13 +147,11 @@ def greedy_deal(pairs: DataFrame, l: str, r: str, order: Sequence, nl: str, nr:
     A pair taken deals the n records that both ends still have, from the l_from-th and
     r_from-th on, counted from 0; what an end has over stays for later rounds.
     """
-    order = [*order, F.col(l), F.col(r)]
+    order = [*order, F.xxhash64(l, r), F.col(l), F.col(r)]
     zero = F.lit(0).cast("bigint")
     pairs = cut(pairs.withColumns({"l_from": zero, "r_from": zero}))
     left, taken = pairs, None
-    for _ in range(50):
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         best = mutual_best(left, l, r, order)
         best = cut(best.withColumn("n", F.least(F.col(nl) - F.col("l_from"), F.col(nr) - F.col("r_from"))))
         taken = best if taken is None else taken.unionByName(best)

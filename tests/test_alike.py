@@ -75,3 +75,10 @@ def test_stacked_records_are_matched_one_to_one(spark):
     own += [("fsq", 13, "Rashidi Zumotto", 25.0001, 27.0), ("overture", 4, "Falaki Motors", 25.0, 27.0)]
     got = D.matched(grid.located(spark.createDataFrame(own, PLACE)), "overture", "fsq", 40.0, 0.72).collect()
     assert sorted((r.l_id, r.r_id) for r in got) == [(1, 11), (2, 12), (3, 13)]
+
+
+def test_ties_beyond_fifty_rounds(spark):
+    n = 60
+    pairs = spark.range(n).withColumnRenamed("id", "o").crossJoin(spark.range(n).withColumnRenamed("id", "f"))
+    got = D.greedy_match(pairs, "o", "f", []).collect()
+    assert len(got) == n and len({r.o for r in got}) == len({r.f for r in got}) == n
