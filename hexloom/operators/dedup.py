@@ -108,6 +108,18 @@ def flagged(places: DataFrame, metres: float, least: float, across: bool) -> Dat
     return _rep_of(places).join(ends, "rep").select("source", "place_id", "n_alike")
 
 
+def flagged_records(places: DataFrame, metres: float, least: float, across: bool) -> DataFrame:
+    """(source, place_id, n_alike): as flagged(), in records: stacked ones count each, and within a source are alike to one another."""
+    pairs = alike_pairs(places, metres, least, across)
+    reps = spots(named(places), ["source", "norm"]).select("source", "rep", "n")
+    ends = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{p}_rep").alias("rep"), F.col(f"{q}_rep").alias("other")) for p, q in ("lr", "rl")])).alias("e")).select("e.*")
+    alike = ends.join(reps.select(F.col("rep").alias("other"), "n"), "other").groupBy("rep").agg(F.sum("n").alias("n_alike"))
+    if not across:
+        stacked = reps.filter((F.col("n") > 1) & F.col("source").isNotNull()).select("rep", (F.col("n") - 1).alias("n_alike"))
+        alike = alike.unionByName(stacked).groupBy("rep").agg(F.sum("n_alike").alias("n_alike"))
+    return _rep_of(places).join(alike, "rep").select("source", "place_id", "n_alike")
+
+
 def clusters(places: DataFrame, metres: float) -> DataFrame:
     """(place_id, cluster): places of one normalised name linked within a distance; alone ones are their own cluster.
 

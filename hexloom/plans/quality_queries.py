@@ -67,13 +67,13 @@ def grid_bucket_links(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def dup_flags_named(spark: SparkSession, d: str) -> DataFrame:
     """JN-08, FLT: near, of the other source and alike in name"""
-    return D.flagged(points(spark, d), T.duplicate_m, T.duplicate_similarity, across=True)
+    return D.flagged_records(points(spark, d), T.duplicate_m, T.duplicate_similarity, across=True)
 
 
 @query()
 def intra_source_dups(spark: SparkSession, d: str) -> DataFrame:
     """JN-09, JN-10: near, of one source and alike in name"""
-    return D.flagged(points(spark, d), T.intra_m, T.duplicate_similarity, across=False)
+    return D.flagged_records(points(spark, d), T.intra_m, T.duplicate_similarity, across=False)
 
 
 _NORM = "trim(regexp_replace(regexp_replace(translate(lower(name), 'ابتجحدرزسصضطفقكلمنهويةىأإآؤئ', 'abtghdrzssdtfqklmnhwyaaaaawy'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"

@@ -69,9 +69,9 @@ def exists_match(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def exists_match_named(spark: SparkSession, d: str) -> DataFrame:
     """JN-24 with names: near and at least 0.82 alike"""
-    from hexloom.operators.dedup import flagged
+    from hexloom.operators.dedup import flagged_records
 
-    return flagged(points(spark, d), 20.0, 0.82, across=True)
+    return flagged_records(points(spark, d), 20.0, 0.82, across=True)
 
 
 @query(f"WITH {POINTS_SQL}, l AS (SELECT round(lat, 6) la, round(lon, 6) lo, min(category) category FROM pt WHERE source = 'overture' GROUP BY 1, 2) SELECT pt.place_id, l.category AS found_category FROM pt JOIN l ON round(pt.lat, 6) = l.la AND round(pt.lon, 6) = l.lo WHERE pt.source = 'fsq'")

@@ -82,3 +82,20 @@ def test_ties_beyond_fifty_rounds(spark):
     pairs = spark.range(n).withColumnRenamed("id", "o").crossJoin(spark.range(n).withColumnRenamed("id", "f"))
     got = D.greedy_match(pairs, "o", "f", []).collect()
     assert len(got) == n and len({r.o for r in got}) == len({r.f for r in got}) == n
+
+
+def test_stacked_records_are_flagged(spark):
+    own = [("fsq", i, "Rashidi Zumoto", 25.0, 27.0) for i in (1, 2, 3)] + [("fsq", 4, "Rashidi Zumotto", 25.0001, 27.0), ("overture", 5, "Rashidi Zumoto", 25.0, 27.0), ("fsq", 6, "Cafe", 25.2, 27.0), ("fsq", 7, "Cafe", 25.2, 27.0)]
+    df = grid.located(spark.createDataFrame(own, PLACE))
+    assert {r.place_id: r.n_alike for r in D.flagged_records(df, 40.0, 0.72, False).collect()} == {1: 3, 2: 3, 3: 3, 4: 3, 6: 1, 7: 1}
+    assert {r.place_id: r.n_alike for r in D.flagged_records(df, 40.0, 0.72, True).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 4}
+
+
+def test_record_flags_against_all_pairs(spark):
+    from tests.test_dedup import norm_of, world
+
+    own = [r[:5] for r in world()]
+    norm = norm_of(spark, world())
+    want = {a[1]: sum(a[1] != b[1] and a[0] == b[0] and bool(norm[a[1]] and norm[b[1]]) and metres(a, b) <= 60 and likeness(norm[a[1]], norm[b[1]]) >= 0.72 for b in own) for a in own}
+    got = {r.place_id: r.n_alike for r in D.flagged_records(grid.located(spark.createDataFrame(own, PLACE)), 60.0, 0.72, False).collect()}
+    assert got == {k: v for k, v in want.items() if v}
