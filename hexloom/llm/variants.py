@@ -2,7 +2,9 @@
 
 Candidates come from a prefix-filtered set-similarity join on the q-grams of the
 folded words: grams are ordered from rare to common over all names, and two sets
-as similar as asked share one of their first few. Candidates are verified by a
+as similar as asked share one of their first few. Persons, whose initials share no
+grams with the names they stand for, meet by first letter of the given name and number
+of words as well. Candidates are verified by a
 soft weighted token similarity in which rare words count more; a given name that
 differs, an initial that does not fit or a further distinctive word says no.
 Links are closed to groups.
@@ -106,6 +108,25 @@ def likeness(a: tuple[str, list[str]], b: tuple[str, list[str]], weight) -> floa
     return (0.5 * g + sum(s * v for s, v in zip(parts, load))) / (0.5 + sum(load))
 
 
+def person_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: persons of one block whose words may all fit, initials too; no pair that likeness() accepts is left out.
+
+    Given names that agree share their first letter. Words that fit share it where one
+    is an initial, and are two edits apart at most where none is: four in Levenshtein's
+    count, in which a swap is two.
+    """
+    own = rows.filter("given <> ''").select("block", F.substring("given", 1, 1).alias("first"), F.size("words").alias("n"), "id", "words")
+    side = lambda p: own.select("block", "first", "n", F.col("id").alias(p), F.col("words").alias(f"w{p}"))
+
+    def may_fit(x, y):
+        initial = (F.length(x) == 1) | (F.length(y) == 1)
+        close = (F.abs(F.length(x) - F.length(y)) <= 2) & (F.levenshtein(x, y) <= 4)
+        return F.when(initial, F.substring(x, 1, 1) == F.substring(y, 1, 1)).otherwise(close)
+
+    met = side("a").join(side("b"), ["block", "first", "n"]).filter("a < b")
+    return met.filter(F.forall(F.zip_with("wa", "wb", may_fit), lambda ok: ok)).select("a", "b")
+
+
 def links(entries: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reps, edges): reps (block, name, id, entry) gives each entry's representative (the
     least entry with that name in the block), edges (a, b) links representatives.
@@ -130,7 +151,7 @@ def links(entries: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]
 
     rows = cut(names.mapInPandas(parse, "block bigint, id bigint, given string, words array<string>, grams array<string>"))
     total = rows.count()
-    near = prefix_pairs(rows, LEAST_JACCARD)
+    near = prefix_pairs(rows, LEAST_JACCARD).unionByName(person_pairs(rows)).dropDuplicates()
     # Rare words count more: inverse document frequency over all names.
     words = rows.select("id", F.explode("words").alias("w"))
     idf = words.join(words.dropDuplicates().groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("w", F.log1p(F.lit(float(total)) / F.col("n"))))).alias("idf"))
