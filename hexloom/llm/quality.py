@@ -4,8 +4,8 @@ All statistics of a document form a vector. For each language the robust mean an
 covariance of prose are estimated over all documents: from medians and quartiles a
 first core of documents is taken, then mean and covariance of the core are computed
 again while the core is what lies near them. A document's squared Mahalanobis
-distance is the sum of what each statistic adds to it; documents far out are told
-apart by the statistics that put them there.
+distance is the sum of what each statistic adds to it: the distance tells prose from
+the rest, and the parts tell the rest apart.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.runtime import cut, spread
@@ -27,11 +27,17 @@ STATS = (
     "log_words", "word_length", "token_length", "symbol_ratio", "digit_ratio", "end_punctuation", "common_words", "words_per_line",
     "marked_lines", "entry_lines", "field_lines", "top_line", "packed_size", "vowels", "odd_letters", "tags",
 )
-#: Least standard deviation of each statistic, for those that hardly vary in prose.
-FLOOR = (0.5, 0.3, 0.5, 0.02, 0.02, 0.2, 0.04, 0.4, 0.05, 0.08, 0.05, 0.05, 0.05, 0.03, 0.02, 0.03)
-OUTLIER = 30.0
+#: Least standard deviation of each statistic, for those that hardly vary in prose. Prose may be short: length tells little.
+FLOOR = (1.5, 0.3, 0.5, 0.02, 0.02, 0.2, 0.04, 1.2, 0.05, 0.08, 0.05, 0.05, 0.05, 0.03, 0.02, 0.03)
+#: Squared distance up to which a document belongs to the core that mean and covariance are taken of.
+CORE = 30.0
+#: Squared distance beyond which a document is no prose: prose typed carelessly or with a small list stays within it.
+FAR = 130.0
+LIST_SHARE = 1 / 3
 ROUNDS = 3
 SHRINK_DOCS = 200
+#: Correlations count less by this share, so that statistics that go together in all documents leave the covariance regular.
+SHRINK = 0.1
 
 # Common words of the corpus' languages.
 COMMON = {
@@ -48,7 +54,7 @@ _COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
 _ANY = frozenset().union(*_COMMON.values())
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_TAG = re.compile(r"<[^<>]{0,300}>")
+_TAG = re.compile(r"<[/!?A-Za-z][^<>]*>")
 _MARK = re.compile(r"^\s*(?:[-*•·–—+▪◦‣●○■□✓]|\[[ xX✓]?\]|\(?\d{1,3}[.)\]]|\(?[A-Za-z][.)]|[ء-ي][.)])\s+\S")
 _END = re.compile(r"[.!?؟…。:]['\"”’)\]]*\s*$")
 _SPLITS = {"|": re.compile(r"\|"), "│": re.compile(r"│"), "\t": re.compile(r"\t"), ";": re.compile(r";(?=\S)"), ",": re.compile(r",(?=\S)"), " ": re.compile(r"(?<=\S) {2,}(?=\S)")}
@@ -148,22 +154,20 @@ def statistics(text: str) -> tuple[str, list[float]]:
     return language_of(has, words), [float(v) for v in values]
 
 
-def kind_of(x: dict[str, float]) -> str | None:
-    """list, table or junk of a document that lies far from prose; None where it is prose of an unusual form."""
-    words = np.expm1(x["log_words"])
-    if x["field_lines"] >= 0.7:
-        return "table"
-    if x["tags"] >= 0.6 or x["odd_letters"] >= 0.2 or x["top_line"] >= 0.5 or x["packed_size"] <= 0.08:
-        return "junk"
-    if x["marked_lines"] >= 0.6 and x["entry_lines"] >= 0.5 or x["entry_lines"] >= 0.75 and x["symbol_ratio"] < 0.25 and x["vowels"] > 0.2 and x["token_length"] < 12:
-        return "list"
-    if x["symbol_ratio"] >= 0.4 or x["vowels"] <= 0.17 or x["token_length"] >= 18:
-        return "junk"
-    if x["digit_ratio"] >= 0.35 and x["end_punctuation"] < 0.5 and (x["common_words"] < 0.05 or x["token_length"] < 3):
-        return "junk"
-    if words >= 15 and x["common_words"] <= 0.02 and x["end_punctuation"] <= 0.3:
-        return "junk"
-    return None
+def part(*names: str) -> Column:
+    """What the named statistics add to the squared distance."""
+    return sum((F.col("parts")[STATS.index(n)] for n in names[1:]), F.col("parts")[STATS.index(names[0])])
+
+
+def kind() -> Column:
+    """list, table or junk of a document that lies far from prose, by what put it there; null for prose.
+
+    A table's lines of separated fields alone put it out; of a list's distance its marked
+    lines and short entries make up LIST_SHARE; whatever else lies out reads as no language.
+    """
+    table = part("field_lines") > FAR
+    entries = part("marked_lines", "entry_lines") >= LIST_SHARE * F.col("d2")
+    return F.when(F.col("d2") > FAR, F.when(table, "table").when(entries, "list").otherwise("junk"))
 
 
 def document_statistics(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,7 +210,7 @@ def _core_sums(stats: DataFrame, models: Models) -> dict[str, tuple[float, np.nd
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             x, parts = _parts(b, models)
-            near, language = parts.sum(axis=1) <= OUTLIER, b["language"].to_numpy()
+            near, language = parts.sum(axis=1) <= CORE, b["language"].to_numpy()
             for k in set(language):
                 own = np.hstack([np.ones((int((m := near & (language == k)).sum()), 1)), x[m]])
                 sums[k] = sums.get(k, 0) + own.T @ own
@@ -242,7 +246,8 @@ def prose_models(stats: DataFrame) -> Models:
             mean = s / n
             cov = ((p - n * np.outer(mean, mean)) + SHRINK_DOCS * within) / (n + SHRINK_DOCS)
             lift = np.maximum(0, floor**2 - np.diag(cov))
-            models[k] = (mean, np.linalg.inv(cov + np.diag(lift)))
+            cov = (1 - SHRINK) * (cov + np.diag(lift)) + SHRINK * np.diag(np.diag(cov) + lift)
+            models[k] = (mean, np.linalg.inv(cov))
     return models
 
 
@@ -264,14 +269,9 @@ def with_distance(stats: DataFrame, models: Models) -> DataFrame:
 def prose_outliers(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, language, x, d2, parts, kind): every document that is not null or blank.
 
-    kind: list, table, junk or null. Null, empty and blank texts are left out; repeated
+    parts: what each statistic adds to d2. kind: list, table, junk or null. Null, empty and blank texts are left out; repeated
     rows keep their own rows; a table without any text gives no rows.
     """
     stats = cut(document_statistics(docs, key=key, text=text))
     far = with_distance(stats, prose_models(stats))
-
-    @F.pandas_udf("string")
-    def kind(x: pd.Series) -> pd.Series:
-        return pd.Series([kind_of(dict(zip(STATS, v))) for v in x], dtype="object")
-
-    return far.withColumn("kind", F.when(F.col("d2") > OUTLIER, kind("x")))
+    return far.withColumn("kind", kind())

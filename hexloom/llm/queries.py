@@ -50,10 +50,10 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Every statistic of each document, its distance from prose and the statistic that adds most to it."""
+    """Every statistic of each document, its squared distance from prose and each statistic's part of it."""
     got = quality.prose_outliers(table(spark, d, "documents"))
-    most = F.element_at(F.array(*[F.lit(s) for s in quality.STATS]), F.array_position("parts", F.array_max("parts")).cast("int"))
-    return got.select("doc_id", "language", *[F.col("x")[i].alias(s) for i, s in enumerate(quality.STATS)], "d2", most.alias("most_unusual"))
+    each = lambda c, p: [F.col(c)[i].alias(f"{p}{s}") for i, s in enumerate(quality.STATS)]
+    return got.select("doc_id", "language", *each("x", ""), "d2", *each("parts", "part_"), "kind")
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_pairs, p6_found, p6_groups, p8_ids, p9_found, p9_shares, p10_found, p10_statistics)}

@@ -115,3 +115,22 @@ def test_kinds(spark):
     assert [k for k, r in got.items() if r.kind and k not in other] == []
     assert all(abs(sum(r.parts) - r.d2) <= 1e-6 * max(1, abs(r.d2)) for r in got.values())
     assert quality.prose_outliers(docs(spark, [(1, None)])).collect() == []
+
+
+def test_the_distance_decides(spark):
+    """One text is an outlier where prose is prose, and none where the documents around it are of its kind."""
+    rnd = random.Random(7)
+    gram = lambda: " ".join("".join(rnd.choice("bcdfghjklmnp") for _ in range(8)) for _ in range(60))
+    own = gram()
+    prose = [(i, PROSE % i * rnd.randint(1, 4)) for i in range(150)] + [(999, own)]
+    noise = [(i, gram()) for i in range(150)] + [(999, own)]
+    of = lambda rows: {r.doc_id: r for r in quality.prose_outliers(docs(spark, rows)).collect()}[999]
+    a, b = of(prose), of(noise)
+    assert a.kind == "junk" and a.d2 > quality.FAR and b.kind is None and b.d2 <= quality.FAR
+
+
+def test_the_parts_decide(spark):
+    parts = lambda **k: [float(k.get(s, 0)) for s in quality.STATS]
+    rows = [(1, parts(field_lines=300, digit_ratio=900)), (2, parts(marked_lines=60, entry_lines=60, common_words=90)), (3, parts(entry_lines=150, top_line=800)), (4, parts(entry_lines=80, marked_lines=40)), (5, parts())]
+    df = spark.createDataFrame([(i, p, sum(p)) for i, p in rows], "i int, parts array<double>, d2 double")
+    assert [r.kind for r in df.withColumn("kind", quality.kind()).orderBy("i").collect()] == ["table", "list", "junk", None, None]
