@@ -1,11 +1,13 @@
 """Passages of held-out items inside long documents.
 
 Containment search by MinHash. Items are partitioned by size; for each class the
-shingles of a document are cut into blocks of that size, so that what is compared
-is never a short item with a long document. A block and an item are sketched by one
-permutation: a shingle's hash names a bin, each bin keeps its least value. Bins that
-agree make a candidate; candidates are verified on all words: shingles shared
-exactly, in the item's order, in a few stretches.
+shingles of a document are cut into overlapping blocks of twice that size, so that
+what is compared is never a short item with a long document. Items and blocks are
+sketched by the same SLOTS permutations. A block's least values are looked up among
+those of the items, by key; the slots in which a document agrees with an item estimate
+how much of the item it contains, and pairs above a threshold are candidates. They are
+verified by the exact containment of the item's shingles, and in the end by all words:
+in the item's order, in a few stretches.
 """
 
 from __future__ import annotations
@@ -23,21 +25,23 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.runtime import spread
+from hexloom.runtime import cut, spread
 
 #: Shingles of three words: with one word in seven altered, five-word ones would be too few to meet.
 SHINGLE = 3
 SIZES = (16, 32, 64, 128, 256, 512, 1024)
-BINS_PER_SHINGLE = 16
+#: Permutations of a sketch.
+SLOTS = 128
+#: Estimated and exact containment of shingles from which a pair goes on. Half an item with every seventh word altered holds 0.28 of its shingles.
+LEAST_ESTIMATE, LEAST_CONTAINMENT = 0.1, 0.15
 LEAST_SHARE = 0.5
-#: Words at the ends of a stretch may be altered too and can't be told from words left out; an item of n words is forgiven this share.
-EDGE_SHARE = 0.06
 ALTERED = 1 / 7
-LEAST_STRETCH, MOST_STRETCHES = 4, 8
-ITEMS_AT_ONCE = 20_000
-WORDS_AT_ONCE = 2_000_000
+LEAST_STRETCH = 4
+#: Bits of the table of keys that is sent to all tasks; its size does not depend on the items.
+TABLE_BITS = 26
+WORDS_AT_ONCE = 50_000
 
-_TAG = regex.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>|\[/?[A-Za-z_]{1,12}\](?=\W|$)|&(?:[a-z]{2,8}|#\d{1,6});")
+_TAG = regex.compile(r"<[/!]?[A-Za-z][^<>]*>|\[/?[A-Za-z_]+\](?=\W|$)|&(?:[A-Za-z]+|#\d+);")
 _PLAIN = re.compile("[a-z0-9]+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _HIDDEN = regex.compile(r"[\p{Cf}\p{Mn}ـ]")
@@ -84,98 +88,87 @@ def shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
-_HIGH = np.uint64(32)
-_LOW = np.uint64(0xFFFFFFFF)
+_FACTORS = np.random.default_rng(1).integers(0, 2**63, SLOTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NONE = np.uint32(2**32 - 1)
 
 
-def sketch(block: np.ndarray, value: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """One-permutation MinHash of many blocks at once: (block, key) of the least value in each bin.
+def size_class(n: int) -> int:
+    """Number of the least of SIZES that holds n shingles; the last one beyond."""
+    return next((k for k, s in enumerate(SIZES) if n <= s), len(SIZES) - 1)
 
-    The low bits of a hash name its bin, the high half is its value; key holds both.
-    bins is a power of two. One sort of whole numbers does for all blocks.
-    """
-    group = block.astype(np.uint64) * np.uint64(bins) + (value & np.uint64(bins - 1))
-    packed = np.sort((group << _HIGH) | (value >> _HIGH))
-    group = packed >> _HIGH
-    first = np.ones(len(packed), dtype=bool)
-    first[1:] = group[1:] != group[:-1]
-    packed, group = packed[first], group[first]
-    return (group // np.uint64(bins)).astype(np.int64), ((group % np.uint64(bins)) << _HIGH) | (packed & _LOW)
 
+def least_values(shingle: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(SLOTS, parts): the least value of every part of `shingle` under each permutation."""
+    out = np.empty((SLOTS, len(starts)), dtype=np.uint32)
+    for k, a in enumerate(_FACTORS):
+        out[k] = np.minimum.reduceat(((shingle * a) >> np.uint64(32)).astype(np.uint32), starts)
+    return out
 
-def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key >> np.uint64(29)) ^ key) & np.uint64((1 << 22) - 1)
 
+def keys_of(values: np.ndarray, size: int) -> np.ndarray:
+    """(SLOTS, n) keys of least values: class, slot and value in one number."""
+    return (np.uint64(size) << np.uint64(40)) | (np.arange(SLOTS, dtype=np.uint64)[:, None] << np.uint64(32)) | values.astype(np.uint64)
+
+
+def _bit(keys: np.ndarray) -> np.ndarray:
+    return (_mix(keys) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+
+def item_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of an item's sketch, one for each slot. h: hashes of its words."""
+    s = np.unique(shingles(h))
+    return keys_of(least_values(s, np.zeros(1, dtype=np.int64)), size_class(len(s)))[:, 0]
 
-def size_class(n: int) -> int:
-    return next((s for s in SIZES if n <= s), SIZES[-1])
-
-
-class ItemIndex:
-    """Sketches of all items by size class, and their words for the exact test."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.words: dict[int, np.ndarray] = {}
-        keys: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
-        for item, text in items:
-            h = word_hashes(plain_words(text))
-            if item is None or not len(h) or item in self.words:
-                continue
-            self.words[item] = h
-            s = np.unique(shingles(h))
-            size = size_class(len(s))
-            _, v = sketch(np.zeros(len(s), dtype=np.int64), s, size * BINS_PER_SHINGLE)
-            keys[size].append((v, item))
-        self.by_class = {}
-        for size, own in keys.items():
-            value = np.concatenate([v for v, _ in own])
-            item = np.concatenate([np.full(len(v), i) for v, i in own])
-            order = np.argsort(value, kind="stable")
-            there = np.zeros(1 << 22, dtype=bool)
-            there[_slot(value)] = True  # tells most keys of a document apart from the items' at once
-            self.by_class[size] = value[order], item[order], there
-
-    def candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(document number, item) whose sketches agree in a bin of some block."""
-        found: set[tuple[int, int]] = set()
-        start, words = 0, 0
-        for k, h in enumerate(docs):  # in parts of bounded size
-            words += len(h)
-            if words > WORDS_AT_ONCE or k == len(docs) - 1:
-                found.update((start + d, i) for d, i in self._candidates(docs[start : k + 1]))
-                start, words = k + 1, 0
-        return found
-
-    def _candidates(self, docs: list[np.ndarray]) -> set[tuple[int, int]]:
-        found: set[tuple[int, int]] = set()
-        sh = [shingles(h) for h in docs]
-        length = np.array([len(s) for s in sh])
-        if not length.sum():
-            return found
-        value = np.concatenate(sh)
-        doc = np.repeat(np.arange(len(docs)), length)
-        place = np.arange(len(value)) - np.repeat(np.cumsum(length) - length, length)
-        for size, (known, item, there) in self.by_class.items():
-            blocks = -(-length // size)
-            block = np.repeat(np.cumsum(blocks) - blocks, length) + place // size
-            b, v = sketch(block, value, size * BINS_PER_SHINGLE)
-            may = there[_slot(v)]
-            b, v = b[may], v[may]
-            owner = np.repeat(np.arange(len(docs)), blocks)[b]
-            lo, hi = np.searchsorted(known, v, "left"), np.searchsorted(known, v, "right")
-            for k in np.flatnonzero(hi > lo):
-                found.update((int(owner[k]), int(i)) for i in item[lo[k] : hi[k]])
-        return found
-
-
-def may_hold(item: np.ndarray, doc_words: set[int], share: float) -> bool:
-    """Whether enough of the item's words are in the document at all, in any order: of what is held at most a share is altered."""
-    equal = share * (1 - 1.5 * ALTERED) * len(item) - 1
-    return sum(w in doc_words for w in item.tolist()) >= equal
+
+def block_keys(docs: list[np.ndarray], known: np.ndarray, classes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(document number, key) of all blocks of documents, as far as the bit table `known` has the key.
+
+    The parts of a class are half a block; they are joined from those of the class below.
+    """
+    sh = [shingles(h) for h in docs]
+    length = np.array([len(s) for s in sh])
+    if not len(classes) or not length.sum():
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    parts = -(-length // SIZES[0])
+    owner = np.repeat(np.arange(len(docs)), parts)
+    offset = np.cumsum(length) - length
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+    v = least_values(np.concatenate(sh), offset[owner] + place * SIZES[0])
+    got_d, got_k = [], []
+    for size in range(len(SIZES)):
+        if size:  # two neighbours make a part of the next class
+            first = np.flatnonzero(place % 2 == 0)
+            pair = np.minimum(first + 1, len(owner) - 1)
+            v = np.where((owner[pair] == owner[first]) & (pair > first), np.minimum(v[:, first], v[:, pair]), v[:, first])
+            owner, place = owner[first], place[first] // 2
+        if size not in classes:
+            continue
+        after = np.minimum(np.arange(len(owner)) + 1, len(owner) - 1)
+        block = np.where(owner[after] == owner, np.minimum(v, v[:, after]), v)
+        keys = keys_of(block, size)
+        at = _bit(keys)
+        slot, part = np.nonzero((known[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+        got_d.append(owner[part]), got_k.append(keys[slot, part])
+    pairs = np.unique(np.stack([np.concatenate(got_d).astype(np.uint64), np.concatenate(got_k)]), axis=1)
+    return pairs[0].astype(np.int64), pairs[1]
+
+
+def estimate(slots: int) -> float:
+    """Containment of an item in blocks of twice its size that agree with it in so many slots."""
+    return 3 * slots / (SLOTS + slots)
+
+
+LEAST_SLOTS = next(m for m in range(1, SLOTS + 1) if estimate(m) >= LEAST_ESTIMATE)
+
+
+def containment(item: np.ndarray, doc: np.ndarray) -> float:
+    """Share of the item's shingles that the document has."""
+    own = np.unique(shingles(item))
+    return float(np.isin(own, shingles(doc)).sum() / len(own)) if len(own) else 0.0
 
 
 def held_share(item: np.ndarray, doc: np.ndarray) -> float:
-    """Share of the item's words that the document holds in the item's order, in up to MOST_STRETCHES stretches.
+    """Share of the item's words that the document holds in the item's order, in a few stretches.
 
     A stretch is made of runs of two or more equal words; between runs up to two
     words may differ, and of all its words at most one in seven, or one if it is short.
@@ -197,75 +190,105 @@ def held_share(item: np.ndarray, doc: np.ndarray) -> float:
                     runs.append((ends[d][0], ends[d][0] + d, ends[d][1] - d - ends[d][0]))
                 ends[d] = (i, j + 1)
     runs += [(i, i + d, e - d - i) for d, (i, e) in ends.items() if e - d - i >= least]
-    if not runs:
-        return 0.0
-    # Stretches: chains of runs with small gaps, best first at each run.
+    # Stretches: chains of runs with small gaps. A run is found by where it ends.
     runs.sort(key=lambda r: (r[1], r[0]))
     best: list[tuple[float, int, int]] = []  # equal words, altered words, run the stretch began with
+    ending: dict[tuple[int, int], int] = {}
     stretches: list[tuple[int, int, int, int, int]] = []
     for k, (i, j, m) in enumerate(runs):
         own = (float(m), 0, k)
-        for p in range(k - 1, max(-1, k - 40), -1):
-            pi, pj, pm = runs[p]
-            gi, gj = i - (pi + pm), j - (pj + pm)
-            lap = max(0, -min(gi, gj))
-            if -1 <= gi <= 2 and -1 <= gj <= 3 and m - lap > 0:
-                equal, altered = best[p][0] + m - lap, best[p][1] + max(0, gi)
-                if equal > own[0]:
-                    own = (equal, altered, best[p][2])
+        for gi in range(-1, 3):
+            for gj in range(-1, 4):
+                p = ending.get((i - gi, j - gj))
+                lap = max(0, -min(gi, gj))
+                if p is not None and m > lap and best[p][0] + m - lap > own[0]:
+                    own = (best[p][0] + m - lap, best[p][1] + max(0, gi), best[p][2])
         best.append(own)
+        if (i + m, j + m) not in ending or own[0] > best[ending[i + m, j + m]][0]:
+            ending[i + m, j + m] = k
         equal, altered, start = own
         words = equal + altered
         if (equal >= min(LEAST_STRETCH, n) or m >= min(LEAST_STRETCH, n)) and altered <= max(1, ALTERED * words * 1.5):
             stretches.append((runs[start][0], i + m, runs[start][1], j + m, min(n, int(words))))
     # The best chain of stretches, in order in both texts.
     stretches.sort(key=lambda s: (s[3], s[1]))
-    chain: list[list[int]] = []
-    top = 0
-    for k, (i0, i1, j0, _, words) in enumerate(stretches):
-        sums = [0, words] + [0] * (MOST_STRETCHES - 1)
-        for p in range(k):
-            if stretches[p][1] <= i0 and stretches[p][3] <= j0:
-                for c in range(1, MOST_STRETCHES):
-                    if chain[p][c] and chain[p][c] + words > sums[c + 1]:
-                        sums[c + 1] = chain[p][c] + words
-        chain.append(sums)
-        top = max(top, *sums)
-    return top / n
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text", share: float = LEAST_SHARE - EDGE_SHARE) -> DataFrame:
+    chain: list[int] = []
+    for k, (i0, _, j0, _, words) in enumerate(stretches):
+        chain.append(words + max((chain[p] for p in range(k) if stretches[p][1] <= i0 and stretches[p][3] <= j0), default=0))
+    return max(chain, default=0) / n
+
+
+def candidates(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, texts, held): pairs (_n, _i) whose sketches agree, texts (_n, _d, words) of documents, held (_i, words) of items.
+
+    docs: _n, _d, _t; items: i, t. Keys of documents that no item has are dropped where
+    they are made; the rest meet the items' keys by an equi-join. The table of bits
+    that tells them apart is as large for a million items as for one.
+    """
+
+    def sketch_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, h) for i, t in zip(b["i"], b["t"]) if len(h := word_hashes(plain_words(t)))]
+            yield pd.DataFrame({"_i": [i for i, _ in rows], "words": [h.view(np.int64) for _, h in rows], "keys": [item_keys(h).view(np.int64) for _, h in rows]})
+
+    held = cut(items.mapInPandas(sketch_items, "_i bigint, words array<bigint>, keys array<bigint>"))
+    keys = held.select("_i", F.explode("keys").alias("key"))
+
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = np.zeros(1 << (TABLE_BITS - 3), dtype=np.uint8)
+        for b in batches:
+            at = _bit(b["key"].to_numpy().view(np.uint64))
+            np.bitwise_or.at(got, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        full = np.flatnonzero(got)
+        yield pd.DataFrame({"at": full, "v": got[full].astype(np.int64)})
+
+    table = np.zeros(1 << (TABLE_BITS - 3), dtype=np.uint8)
+    for r in keys.mapInPandas(bits, "at bigint, v bigint").groupBy("at").agg(F.bit_or("v").alias("v")).toLocalIterator():  # a fixed number of bytes at most
+        table[r.at] = r.v
+    classes = [r.c for r in keys.select(F.shiftright("key", 40).alias("c")).distinct().collect()]  # at most len(SIZES)
+    known = docs.sparkSession.sparkContext.broadcast(table)
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n, d, out = b["_n"].to_numpy(), b["_d"].to_numpy(), []
+            part, words, first = [], 0, 0
+            for k, t in enumerate(b["_t"]):
+                part.append(word_hashes(plain_words(t)))
+                words += len(part[-1])
+                if words < WORDS_AT_ONCE and k < len(b) - 1:
+                    continue
+                owner, key = block_keys(part, known.value, classes)
+                edges = np.searchsorted(owner, np.arange(len(part) + 1))
+                # Fewer keys than one pair needs, whatever the item: no pair.
+                out += [(n[first + j], d[first + j], h.view(np.int64), key[lo:hi].view(np.int64)) for j, (h, lo, hi) in enumerate(zip(part, edges, edges[1:])) if hi - lo >= LEAST_SLOTS]
+                part, words, first = [], 0, k + 1
+            yield pd.DataFrame(out, columns=["_n", "_d", "words", "keys"])
+
+    seen = cut(docs.mapInPandas(look, "_n bigint, _d bigint, words array<bigint>, keys array<bigint>"))
+    met = seen.select("_n", F.explode("keys").alias("key")).join(keys, "key").groupBy("_n", "_i").agg(F.count_distinct("key").alias("slots"))
+    return met.filter(F.col("slots") >= LEAST_SLOTS).select("_n", "_i"), seen.select("_n", "_d", "words").dropDuplicates(["_n"]), held.select("_i", "words")
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, *, doc: str = "doc_id", item: str = "item_id", text: str = "text", share: float = LEAST_SHARE) -> DataFrame:
     """(doc, item, share): documents that hold at least `share` of an item's words in its order.
 
     Null, empty and blank texts hold nothing, as do null ids; repeated documents
-    give their pair once, of repeated items the first text in order counts. Items are
-    searched in sets of ITEMS_AT_ONCE against all documents.
+    give their pair once, of repeated items the first text in order counts. Either
+    table empty: no rows.
     """
-    rows = spread(docs.select(F.col(doc).cast("bigint").alias("_d"), F.col(text).alias("_t")).dropna().filter(F.length(F.trim("_t")) > 0))
+    rows = docs.select(F.col(doc).cast("bigint").alias("_d"), F.col(text).alias("_t")).dropna().filter(F.length(F.trim("_t")) > 0)
+    rows = spread(rows.select(F.xxhash64("_d", "_t").alias("_n"), "_d", "_t"))
     known = items.select(F.col(item).cast("bigint").alias("i"), F.col(text).alias("t")).dropna().groupBy("i").agg(F.min("t").alias("t"))
-    found, part = None, []
-
-    def search(part: list) -> DataFrame:
-        index = docs.sparkSession.sparkContext.broadcast(ItemIndex(part))
-
-        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                hashes = [word_hashes(plain_words(t)) for t in b["_t"]]
-                ids = b["_d"].to_numpy()
-                rows, last, own = [], -1, set()
-                for k, i in sorted(index.value.candidates(hashes)):
-                    if k != last:
-                        last, own = k, set(hashes[k].tolist())
-                    if may_hold(index.value.words[i], own, share):
-                        rows.append((ids[k], i, held_share(index.value.words[i], hashes[k])))
-                yield pd.DataFrame([r for r in rows if r[2] >= share], columns=["_d", "_i", "share"])
-
-        return rows.mapInPandas(look, "_d bigint, _i bigint, share double")
-
-    for row in known.toLocalIterator():
-        part.append((row.i, row.t))
-        if len(part) == ITEMS_AT_ONCE:
-            found, part = search(part) if found is None else found.unionByName(search(part)), []
-    if part or found is None:
-        found = search(part) if found is None else found.unionByName(search(part))
+    pairs, texts, held = candidates(rows, known)
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = []
+            for d, i, x, y in zip(b["_d"], b["_i"], b["words"], b["own"]):
+                x, y = np.asarray(x).view(np.uint64), np.asarray(y).view(np.uint64)
+                if containment(y, x) >= LEAST_CONTAINMENT and (s := held_share(y, x)) >= share:
+                    got.append((d, i, s))
+            yield pd.DataFrame(got, columns=["_d", "_i", "share"])
+
+    found = pairs.join(texts, "_n").join(held.withColumnRenamed("words", "own"), "_i").mapInPandas(verify, "_d bigint, _i bigint, share double")
     return found.groupBy(F.col("_d").alias(doc), F.col("_i").alias(item)).agg(F.max("share").alias("share"))

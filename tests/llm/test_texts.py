@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from hexloom.llm import leaks, quality
@@ -67,20 +68,11 @@ def test_leaks(spark):
     assert leaks.leaked_items(docs(spark, rows), none).collect() == [] and leaks.leaked_items(docs(spark, []), items).collect() == []
 
 
-def test_items_in_sets(spark, monkeypatch):
-    monkeypatch.setattr(leaks, "ITEMS_AT_ONCE", 2)
-    texts = [" ".join(f"w{i}x{k}" for k in range(40)) for i in range(5)]
-    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id) for r in leaks.leaked_items(docs(spark, [(1, FILL + texts[3]), (2, texts[0] + texts[4])]), items).collect())
-    assert got == [(1, 3), (2, 0), (2, 4)]
-
-
-def test_sketches_miss_no_contained_item():
-    """The candidate search against exact shingle containment."""
+def test_sketches_miss_no_contained_item(spark):
+    """The candidate search against exact containment: half an item, every seventh word altered, within a long text."""
     rnd = random.Random(3)
     vocab = [f"w{i}" for i in range(3000)]
-    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.randint(17, 100)))) for i in range(60)]
-    index = leaks.ItemIndex(items)
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(rnd.choice([17, 30, 60, 100, 400, 1500])))) for i in range(60)]
     texts, want = [], set()
     for k in range(200):
         i, t = rnd.choice(items)
@@ -89,10 +81,42 @@ def test_sketches_miss_no_contained_item():
         for j in range(rnd.randrange(7), len(part), 7):
             part[j] = "altered"
         lead = [rnd.choice(vocab) for _ in range(rnd.randint(0, 900))]
-        texts.append(leaks.word_hashes(lead + part + lead[::-1]))
+        texts.append((k, k, " ".join(lead + part + lead[::-1])))
         want.add((k, i))
-    found = index.candidates(texts)
-    assert len(want & found) >= 0.99 * len(want)
+    few = [(1000 + i, 1000 + i, f"{words(t, 5, 8)} " + " ".join(rnd.choice(vocab) for _ in range(300))) for i, t in items]  # one shingle each
+    pairs, _, _ = leaks.candidates(spark.createDataFrame(texts + few, "_n long, _d long, _t string"), spark.createDataFrame(items, "i long, t string"))
+    found = {tuple(r) for r in pairs.collect()}
+    assert len(want & found) >= 0.98 * len(want)
+    assert sum(n >= 1000 for n, _ in found) <= 0.2 * len(few)
+
+
+def test_the_estimate_decides(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "LEAST_SLOTS", leaks.SLOTS + 1)
+    items = spark.createDataFrame([(70, ITEM)], "item_id long, text string")
+    assert leaks.leaked_items(docs(spark, [(1, FILL + ITEM)]), items).collect() == []
+
+
+def test_estimates_follow_the_containment():
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(5000)]
+    for share in (0.3, 0.6, 1.0):
+        got = []
+        for _ in range(30):
+            item = [rnd.choice(vocab) for _ in range(128)]
+            doc = leaks.word_hashes(item[: int(share * 128)] + [rnd.choice(vocab) for _ in range(256 - int(share * 128))])
+            _, keys = leaks.block_keys([doc], np.full(1 << (leaks.TABLE_BITS - 3), 255, dtype=np.uint8), list(range(len(leaks.SIZES))))
+            got.append(leaks.estimate(len(set(keys.tolist()) & set(leaks.item_keys(leaks.word_hashes(item)).tolist()))))
+        assert abs(np.mean(got) - share) <= 0.12
+
+
+def test_many_runs_and_stretches():
+    """No limit on how many runs or stretches are looked at."""
+    item = [f"i{k}" for k in range(120)]
+    doc = []
+    for k in range(0, 120, 5):
+        doc += item[k : k + 5] + [f"x{j}" for j in range(9)] + item[:2] * 30
+    assert leaks.held_share(leaks.word_hashes(item), leaks.word_hashes(doc)) == 1.0
+    assert leaks.held_share(leaks.word_hashes(item), leaks.word_hashes(item[::-1])) == 0.0
 
 
 PROSE = "The bakery beside the market closed in the spring and nobody on the street seemed surprised. We walked the lane from end to end and counted %d doors that were open for business. Prices near the square are fair, but the staff is not always there when you ask. "
