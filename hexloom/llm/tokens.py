@@ -1,12 +1,14 @@
 """Token ids of whole texts by a public byte-level BPE.
 
-Overlapping chunk encoding. A long text is cut into chunks that overlap; the
-chunks are pre-tokenised in parallel. Pre-tokenising runs from left to right and
-looks back at nothing, so two runs that share one boundary agree from there on: in
-every overlap the chunk's own boundaries and those of the chunk before meet, and
-the text is cut where they first do. The pieces are encoded on their own and their
-ids joined. A text with an overlap in which no boundary is shared (one word longer
-than the overlap) is pre-tokenised as a whole. Decoding joins the tokens' bytes.
+Overlapping chunk encoding. A text longer than a chunk is cut into chunks that
+overlap; the chunks are pre-tokenised in parallel, by threads of the task that holds
+the text. Pre-tokenising runs from left to right and looks back at nothing, so two
+runs that share one boundary agree from there on: in every overlap the chunk's own
+boundaries and those of the chunk before meet, and the text is cut where they first
+do. The pieces are encoded on their own, in parallel too, and their ids joined. Where
+no boundary of an overlap is shared (one word longer than the overlap) the rest of the
+text stays one piece. Decoding joins the tokens' bytes. The table is read once and nothing
+is shuffled for it.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import pandas as pd
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 from hexloom.runtime import spread
 
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
-CHUNK_CHARS, OVERLAP_CHARS = 1 << 18, 1 << 12
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 12, 1 << 8
+THREADS = 2
 #: Fixed value: the pattern that cuts a text into pre-tokens for this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -49,8 +53,8 @@ def _pattern():
 
 
 def boundaries(text: str, start: int = 0) -> list[int]:
-    """Ends of the pre-tokens of text[start:]."""
-    return [m.end() for m in _pattern().finditer(text, start)]
+    """Ends of the pre-tokens of text[start:]. Other threads go on while the pattern runs."""
+    return [m.end() for m in _pattern().finditer(text, start, concurrent=True)]
 
 
 def cut_points(chunk: str, head: int, last: bool) -> tuple[list[int], list[int]]:
@@ -66,61 +70,46 @@ def cut_points(chunk: str, head: int, last: bool) -> tuple[list[int], list[int]]
     return [e for e in safe if e <= head], [e for e in safe if e >= len(chunk) - head]
 
 
+def pieces(text: str, chunk: int, overlap: int, pool) -> list[str]:
+    """The text in pieces whose pre-tokens are those of the whole."""
+    if len(text) <= chunk:
+        return [text]
+    starts = range(0, len(text) - overlap, chunk - overlap)
+    marks = list(pool.map(lambda f: cut_points(text[f : f + chunk], overlap, f + chunk >= len(text)), starts))
+    cuts = [0]
+    for f, before, (head, _), (_, tail) in zip(starts[1:], starts, marks[1:], marks):
+        shared = {f + e for e in head} & {before + e for e in tail}
+        if not shared:
+            break
+        cuts.append(min(shared))
+    return [text[i:j] for i, j in zip(cuts, [*cuts[1:], len(text)])]
+
+
 def encode_texts(docs: DataFrame, *, key: str, text: str, vocabulary: str | None = None, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
     """(key, ids ARRAY<INT>): one row for each row of docs, ids of the whole text without special tokens.
 
     A null text and an empty text have no tokens: their ids are an empty list. The
     strings of special tokens are ordinary text. Rows with the same key, and null
-    keys, keep their own rows. Texts of up to `chunk` characters are encoded at once.
+    keys, keep their own rows. Texts of up to `chunk` characters are one chunk.
     """
+    if not 0 < overlap < chunk:
+        raise ValueError("an overlap is shorter than a chunk")
     path = vocabulary or vocabulary_path()
     base = spread(docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")))
     kind = dict(docs.select(key).dtypes)[key]
-    long = F.length("_t") > chunk
 
-    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path)
-        for b in batches:
-            yield pd.DataFrame({key: b["_k"], "ids": [enc.encode_ordinary(t) if isinstance(t, str) else [] for t in b["_t"]]})
-
-    schema = f"`{key}` {kind}, ids array<int>"
-    short = base.filter(~F.coalesce(long, F.lit(False))).mapInPandas(whole, schema)
-
-    # Pieces of long texts: _n numbers the row, for keys may repeat.
-    step = chunk - overlap
-    rows = base.filter(long).withColumn("_n", F.concat_ws(":", F.xxhash64("_t"), F.coalesce(F.col("_k").cast("string"), F.lit("")), F.monotonically_increasing_id()))
-    from hexloom.runtime import cut
-
-    rows = cut(rows)  # the numbers must not change when a task runs again
-    size = F.length("_t")
-    chunks = rows.select("_n", "_k", size.alias("_size"), F.posexplode(F.sequence(F.lit(0), size - overlap - 1, F.lit(step))).alias("_c", "_from"), "_t")
-    chunks = chunks.select("_n", "_c", "_from", "_size", F.substring("_t", F.col("_from") + 1, F.lit(chunk)).alias("_x"))
-    chunks = chunks.repartition(F.col("_n"), F.col("_c"))
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [cut_points(x, overlap, f + len(x) >= n) for x, f, n in zip(b["_x"], b["_from"], b["_size"])]
-            yield pd.DataFrame({"_n": b["_n"], "_c": b["_c"], "_head": [[f + e for e in h] for (h, _), f in zip(got, b["_from"])], "_tail": [[f + e for e in t] for (_, t), f in zip(got, b["_from"])]})
-
-    marks = chunks.mapInPandas(mark, "_n string, _c int, _head array<bigint>, _tail array<bigint>")
-    before = marks.select("_n", (F.col("_c") + 1).alias("_c"), F.col("_tail").alias("_before"))
-    meet = marks.join(before, ["_n", "_c"], "left").withColumn("_at", F.when(F.col("_c") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("_head", "_before"))))
-    plan = meet.groupBy("_n").agg(F.array_sort(F.collect_list(F.struct("_c", "_at"))).alias("_p"))  # a few numbers for each chunk
-    starts = F.transform("_p", lambda p: p["_at"])
-    sure = ~F.exists("_p", lambda p: p["_at"].isNull())
-    plan = plan.select("_n", F.when(sure, starts).otherwise(F.array(F.lit(0).cast("bigint"))).alias("_starts"))
-    pieces = rows.join(plan, "_n").select("_n", "_t", "_starts", F.posexplode("_starts").alias("_c", "_s"))
-    end = F.coalesce(F.try_element_at("_starts", F.col("_c") + 2), F.length("_t").cast("bigint"))
-    pieces = pieces.select("_n", "_c", F.substring("_t", (F.col("_s") + 1).cast("int"), (end - F.col("_s")).cast("int")).alias("_x")).repartition(F.col("_n"), F.col("_c"))
-
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
-        for b in batches:
-            yield pd.DataFrame({"_n": b["_n"], "_c": b["_c"], "ids": [enc.encode_ordinary(x) for x in b["_x"]]})
-
-    parts = pieces.mapInPandas(part, "_n string, _c int, ids array<int>")
-    joined = parts.groupBy("_n").agg(F.flatten(F.array_sort(F.collect_list(F.struct("_c", "ids"))).getField("ids")).alias("ids"))
-    return short.unionByName(rows.select("_n", F.col("_k").alias(key)).join(joined, "_n").select(key, "ids"))
+        with ThreadPoolExecutor(THREADS) as pool:
+            for b in batches:
+                out = []
+                for t in b["_t"]:
+                    parts = pieces(t, chunk, overlap, pool) if isinstance(t, str) else []
+                    ids = [enc.encode_ordinary(parts[0])] if len(parts) == 1 else pool.map(enc.encode_ordinary, parts)
+                    out.append([i for p in ids for i in p])
+                yield pd.DataFrame({key: b["_k"], "ids": out})
+
+    return base.mapInPandas(encode, f"`{key}` {kind}, ids array<int>")
 
 
 def decode_ids(ids: list[int], vocabulary: str | None = None) -> str:

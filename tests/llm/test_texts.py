@@ -37,6 +37,20 @@ def test_chunks_give_the_ids_of_the_whole(spark, vocabulary):
     assert T.encode_texts(docs(spark, []), key="doc_id", text="text").collect() == []
 
 
+def test_long_texts_come_in_pieces(vocabulary):
+    """With the query's own lengths a long text is cut, at shared boundaries only."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    rnd = random.Random(2)
+    text = "".join(rnd.choice(["a", "b ", "  ", "\n", "'s", "é", "7", "!", "word ", "سلام "]) for _ in range(40000))
+    with ThreadPoolExecutor(2) as pool:
+        got = T.pieces(text, T.CHUNK_CHARS, T.OVERLAP_CHARS, pool)
+        assert len(got) > 5 and "".join(got) == text and max(map(len, got)) <= T.CHUNK_CHARS
+        assert [e for p, o in zip(got, np.cumsum([0, *map(len, got)])) for e in (b + int(o) for b in T.boundaries(p))] == T.boundaries(text)
+        assert T.pieces("x" * 50000, T.CHUNK_CHARS, T.OVERLAP_CHARS, pool) == ["x" * 50000]  # one word: nothing to cut at
+        assert T.pieces("", 100, 10, pool) == [""]
+
+
 def test_same_as_the_library(vocabulary):
     from tokenizers import Tokenizer
 
