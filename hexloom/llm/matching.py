@@ -7,7 +7,8 @@ bits or less (pigeonhole), and halves that close share a key once up to two set
 bits are left out on either side. Locations join the key as cells, so that only
 records near each other meet. Name (Dice of the bits), distance and category are
 weighed as fields; the weights and the confidence come from the two-class mixture
-that explains how often each pattern of field scores occurs.
+that explains how often each pattern of field scores occurs. Of the pairs that are
+more likely one thing than two, the words are compared in the end.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from hexloom.llm.names import core_words, grams, soft_likeness
 from hexloom.operators.near import EARTH_M
 from hexloom.operators.snapshots import latest_valid
-from hexloom.runtime import bounded_collect, cut
+from hexloom.runtime import cut
 
 BITS, HALVES, OFF = 128, 2, 2
 RADIUS = HALVES * (OFF + 1) - 1
@@ -34,7 +35,12 @@ CELL_DEG = 0.02
 MAX_M = 500.0
 #: Rule on the words that follows the bits: beyond it a word differs by more than misspelling.
 LEAST_LIKENESS = 0.84
-LEAST_CONFIDENCE = 0.5
+#: Confidence from which the words of a pair are compared: few of the pairs below have words that agree.
+LEAST_CONFIDENCE = 0.005
+#: Edges of the levels of Dice and distance.
+DICE_EDGES, METRE_EDGES = (0.7, 0.76, 0.82, 0.88, 0.94), (50.0, 100.0, 200.0, 350.0)
+#: Rows that the cells of one vector are dealt to.
+CELL_LANES = 32
 #: Ids that lack a field in the latest snapshot are broadcast up to this many.
 FILL_BOUND = 200_000
 _EMPTY: tuple[str, ...] = ()
@@ -113,9 +119,10 @@ def hamming(a: str, b: str) -> Column:
 
 
 def close_vectors(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l0, l1, r0, r1): each pair of vectors that share a key in some cell, those within RADIUS among them all.
+    """(cell, l0, l1, r0, r1): each pair of vectors that share a key in a cell, those within RADIUS among them all.
 
-    Records with one vector in one cell are one here, however many they are.
+    Records with one vector in one cell are one here, however many they are. The cells of
+    a vector that is found all over are dealt to CELL_LANES rows before keys are made.
     """
 
     def keyed(df: DataFrame, p: str, is_right: bool) -> DataFrame:
@@ -124,38 +131,34 @@ def close_vectors(left: DataFrame, right: DataFrame) -> DataFrame:
                 b["keys"] = [probe_keys([int(x) % 2**64, int(y) % 2**64], is_right) for x, y in zip(b[f"{p}0"], b[f"{p}1"])]
                 yield b
 
-        # Keys are made once for each vector, of however many cells.
-        vectors = df.select(F.explode("cells").alias("cell"), F.col("b0").alias(f"{p}0"), F.col("b1").alias(f"{p}1")).groupBy(f"{p}0", f"{p}1").agg(F.collect_set("cell").alias("cells"))
+        # Keys are made once for each vector and lane, of however many cells.
+        lane = F.pmod(F.xxhash64("cell"), F.lit(CELL_LANES)).alias("lane")
+        vectors = df.select(F.explode("cells").alias("cell"), F.col("b0").alias(f"{p}0"), F.col("b1").alias(f"{p}1")).groupBy(f"{p}0", f"{p}1", lane).agg(F.collect_set("cell").alias("cells")).drop("lane")
         made = vectors.mapInPandas(keys, f"{p}0 bigint, {p}1 bigint, cells array<bigint>, keys array<bigint>")
-        return made.withColumn("cell", F.explode("cells")).select(f"{p}0", f"{p}1", "cell", F.explode("keys").alias("k")).select(f"{p}0", f"{p}1", F.xxhash64("cell", "k").alias("key"))
+        return made.withColumn("cell", F.explode("cells")).select(f"{p}0", f"{p}1", "cell", F.explode("keys").alias("k")).select(f"{p}0", f"{p}1", "cell", F.xxhash64("cell", "k").alias("key"))
 
-    met = keyed(left, "l", False).join(keyed(right, "r", True), "key")
+    met = keyed(left, "l", False).join(keyed(right, "r", True), ["key", "cell"])
     most = F.lit(RADIUS + 2)  # what lies a little further comes along for free; the words decide
-    return met.filter(hamming("l", "r") <= most).select("l0", "l1", "r0", "r1").dropDuplicates()
+    return met.filter(hamming("l", "r") <= most).select("cell", "l0", "l1", "r0", "r1").dropDuplicates()
 
 
 def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l_id, r_id, l_cat, r_cat, metres, dice, likeness) of all close pairs within MAX_M."""
+    """(l_id, r_id, l_words, r_words, l_cat, r_cat, metres, dice) of all close pairs within MAX_M."""
     vectors = close_vectors(left, right)
     side = lambda df, p: df.select(F.explode("cells").alias("cell"), F.col("b0").alias(f"{p}0"), F.col("b1").alias(f"{p}1"), F.col("id").alias(f"{p}_id"), F.col("words").alias(f"{p}_words"), F.col("category").alias(f"{p}_cat"), F.radians("lat").alias(f"{p}_y"), F.radians("lon").alias(f"{p}_x"))
-    pairs = vectors.join(side(left, "l"), ["l0", "l1"]).join(side(right, "r"), ["cell", "r0", "r1"])
+    pairs = vectors.join(side(left, "l"), ["cell", "l0", "l1"]).join(side(right, "r"), ["cell", "r0", "r1"])
     a = F.pow(F.sin((F.col("r_y") - F.col("l_y")) / 2), 2) + F.cos("l_y") * F.cos("r_y") * F.pow(F.sin((F.col("r_x") - F.col("l_x")) / 2), 2)
     pairs = pairs.withColumn("metres", 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))).filter(F.col("metres") <= MAX_M)
     ones = lambda p: F.bit_count(F.col(f"{p}0")) + F.bit_count(F.col(f"{p}1"))
     both = F.bit_count(F.col("l0").bitwiseAND(F.col("r0"))) + F.bit_count(F.col("l1").bitwiseAND(F.col("r1")))
-    pairs = pairs.withColumn("dice", 2 * both / (ones("l") + ones("r")))
+    dice = 2 * both / (ones("l") + ones("r"))
+    return pairs.select("l_id", "r_id", "l_words", "r_words", "l_cat", "r_cat", "metres", dice.alias("dice"))
 
-    @F.pandas_udf("double")
-    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([soft_likeness(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b)])
-
-    return pairs.select("l_id", "r_id", "l_cat", "r_cat", "metres", "dice", likeness("l_words", "r_words").alias("likeness"))
 
-
-def _levels() -> tuple[Column, Column]:
-    name = F.when(F.col("likeness") >= 0.999, 5).when(F.col("likeness") >= 0.92, 4).when(F.col("likeness") >= LEAST_LIKENESS, 3).when(F.col("likeness") >= 0.7, 2).when(F.col("dice") >= 0.6, 1).otherwise(0)
-    near = F.when(F.col("metres") <= 50, 4).when(F.col("metres") <= 100, 3).when(F.col("metres") <= 200, 2).when(F.col("metres") <= 350, 1).otherwise(0)
-    return name, near
+def _level(value: str, edges: tuple, down: bool = False) -> Column:
+    """How many of the edges a value reaches; down: how many it stays within."""
+    c = F.col(value)
+    return sum(((c <= e if down else c >= e).cast("int") for e in edges), F.lit(0))
 
 
 def mixture(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> dict[tuple[int, ...], float]:
@@ -168,7 +171,7 @@ def mixture(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> di
         return {}
     fields = len(patterns[0][0])
     levels = [sorted({p[k] for p, _ in patterns}) for k in range(fields)]
-    post = {p: 0.95 if p[0] >= 4 else 0.5 if p[0] == 3 else 0.02 for p, _ in patterns}
+    post = {p: (0.02, 0.02, 0.1, 0.5, 0.8, 0.95)[min(p[0], 5)] for p, _ in patterns}
     for _ in range(rounds):
         share = {}
         for side in (0, 1):
@@ -184,8 +187,18 @@ def mixture(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> di
     return post
 
 
+def going_together(pairs: DataFrame) -> DataFrame:
+    """(l_cat, r_cat) that stand together more than twice as often as chance has it, among pairs whose names agree."""
+    n = pairs.filter(F.col("dice") >= DICE_EDGES[-1]).groupBy("l_cat", "r_cat").agg(F.count("*").alias("n")).dropna()
+    of_l = n.groupBy("l_cat").agg(F.sum("n").alias("nl"))
+    of_r = n.groupBy("r_cat").agg(F.sum("n").alias("nr"))
+    total = n.agg(F.sum("n").alias("all"))  # one row
+    n = n.join(of_l, "l_cat").join(of_r, "r_cat").join(F.broadcast(total))
+    return n.filter((F.col("n") >= 2) & (F.col("n") * F.col("all") > 2.0 * F.col("nl") * F.col("nr"))).select("l_cat", "r_cat")
+
+
 def matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l_id, r_id, metres, dice, likeness, confidence), one row per close pair within MAX_M.
+    """(l_id, r_id, l_words, r_words, metres, dice, confidence), one row per close pair within MAX_M.
 
     left, right: id BIGINT, name, category, lat, lon, one row per record. Records
     with a null name, one without distinctive words, or no coordinates match nothing.
@@ -194,22 +207,24 @@ def matches(left: DataFrame, right: DataFrame) -> DataFrame:
     """
     pairs = cut(scored_pairs(cut(encoded(left, False)), cut(encoded(right, True))).dropDuplicates(["l_id", "r_id"]))
     spark = left.sparkSession
-    # Which categories go together: learnt from the pairs whose names agree. The table is categories by categories.
-    together = bounded_collect(pairs.filter(F.col("likeness") >= 0.92).groupBy("l_cat", "r_cat").agg(F.count("*").alias("n")).dropna())
-    agree = []
-    if together:
-        n = sum(r.n for r in together)
-        of_l, of_r = {}, {}
-        for r in together:
-            of_l[r.l_cat], of_r[r.r_cat] = of_l.get(r.l_cat, 0) + r.n, of_r.get(r.r_cat, 0) + r.n
-        agree = [(r.l_cat, r.r_cat, 2) for r in together if r.n >= 2 and r.n * n > 2 * of_l[r.l_cat] * of_r[r.r_cat]]
-    known = spark.createDataFrame(agree or [(None, None, 2)], "l_cat string, r_cat string, c int")
-    name, near = _levels()
+    # Which categories go together: learnt from the pairs whose names agree, at every size in the same way.
+    known = cut(going_together(pairs)).withColumn("c", F.lit(2))
     cat = F.when(F.col("l_cat").isNull() | F.col("r_cat").isNull(), 1).otherwise(F.coalesce("c", F.lit(0)))
-    pairs = pairs.join(F.broadcast(known), ["l_cat", "r_cat"], "left").withColumn("pattern", F.array(name, near, cat))
-    counts = [(tuple(r.pattern), r.n) for r in pairs.groupBy("pattern").agg(F.count("*").alias("n")).collect()]  # at most 6 * 5 * 3
+    pairs = pairs.join(known, ["l_cat", "r_cat"], "left").withColumn("pattern", F.array(_level("dice", DICE_EDGES), _level("metres", METRE_EDGES, down=True), cat))
+    counts = [(tuple(r.pattern), r.n) for r in pairs.groupBy("pattern").agg(F.count("*").alias("n")).collect()]  # levels times levels
     post = spark.createDataFrame([(list(p), float(c)) for p, c in mixture(counts).items()] or [([0, 0, 0], 0.0)], "pattern array<int>, confidence double")
-    return pairs.join(F.broadcast(post), "pattern").select("l_id", "r_id", "metres", "dice", "likeness", "confidence")
+    return pairs.join(F.broadcast(post), "pattern").select("l_id", "r_id", "l_words", "r_words", "metres", "dice", "confidence")
+
+
+def sure_matches(pairs: DataFrame) -> DataFrame:
+    """Those of matches() with confidence, with likeness, that of their words: beyond LEAST_LIKENESS no word differs by more than misspelling."""
+
+    @F.pandas_udf("double")
+    def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([soft_likeness(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b)], dtype=float)
+
+    sure = pairs.filter(F.col("confidence") >= LEAST_CONFIDENCE)
+    return sure.withColumn("likeness", likeness("l_words", "r_words")).filter(F.col("likeness") >= LEAST_LIKENESS).drop("l_words", "r_words")
 
 
 def latest_known(places: DataFrame, source: str) -> DataFrame:

@@ -9,16 +9,22 @@ from hexloom.llm import leaks, matching, quality, tokens, variants
 from hexloom.runtime import table
 
 
+def _venues(spark: SparkSession, d: str) -> DataFrame:
+    places = table(spark, d, "places")
+    return matching.matches(matching.latest_known(places, "overture"), matching.latest_known(places, "fsq"))
+
+
+def _ids(pairs: DataFrame, *columns: str) -> DataFrame:
+    return pairs.select(F.least("l_id", "r_id").alias("place_id_1"), F.greatest("l_id", "r_id").alias("place_id_2"), *columns)
+
+
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every close pair of an overture and an fsq place with its confidence."""
-    places = table(spark, d, "places")
-    got = matching.matches(matching.latest_known(places, "overture"), matching.latest_known(places, "fsq"))
-    return got.select(F.least("l_id", "r_id").alias("place_id_1"), F.greatest("l_id", "r_id").alias("place_id_2"), "metres", "dice", "likeness", "confidence")
+    return _ids(_venues(spark, d), "metres", "dice", "confidence")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    sure = (F.col("confidence") >= matching.LEAST_CONFIDENCE) & (F.col("likeness") >= matching.LEAST_LIKENESS)
-    return p3_pairs(spark, d).filter(sure).select("place_id_1", "place_id_2")
+    return _ids(matching.sure_matches(_venues(spark, d)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -52,14 +52,15 @@ def test_matches_against_all_pairs(spark):
     right = [(1000 + i, typo(n).upper(), "Coffee", a + rnd.uniform(-1, 1) * 0.001, b, 0, "") for i, (n, a, b) in enumerate(base) if i % 2]
     left += [(900, None, "cafe", 25.0, 25.0, 0, ""), (901, "", None, 25.0, 25.0, 0, ""), (902, "Cafe", None, 25.0, 25.0, 0, ""), (903, "bafika dudumu", None, None, 25.0, 0, "")]
     right += [(1900, None, None, None, None, 0, "")]
-    got = {(r.l_id, r.r_id): r for r in M.matches(spark.createDataFrame(left + left[:5], SIDE), spark.createDataFrame(right, SIDE)).collect()}
+    pairs = M.matches(spark.createDataFrame(left + left[:5], SIDE), spark.createDataFrame(right, SIDE)).cache()
+    got = {(r.l_id, r.r_id): r for r in pairs.collect()}
     from hexloom.llm.names import core_words
     from hexloom.operators.near import haversine_m
 
     want = {(a, b) for a, n, _, y, x, *_ in left for b, m, _, v, u, *_ in right if None not in (n, m, y, v) and bin(M.signature(core_words(n)) ^ M.signature(core_words(m))).count("1") <= M.RADIUS and core_words(n) and haversine_m(y, x, v, u) <= M.MAX_M}
     assert want <= set(got)
     true = {(i, 1000 + i) for i in range(150) if i % 2}
-    sure = {k for k, r in got.items() if r.confidence >= 0.5 and r.likeness >= M.LEAST_LIKENESS}
+    sure = {(r.l_id, r.r_id) for r in M.sure_matches(pairs).collect()}
     assert len(true & sure) >= 0.95 * len(true) and len(sure - true) <= 3
     empty = spark.createDataFrame([], SIDE)
     assert M.matches(empty, empty).collect() == []
@@ -81,3 +82,38 @@ def test_variant_groups(spark):
 def test_mixture():
     post = M.mixture([((5, 4, 2), 900), ((5, 3, 2), 100), ((0, 0, 0), 5000), ((0, 4, 0), 200), ((2, 1, 1), 50)])
     assert post[5, 4, 2] > 0.9 > 0.1 > post[0, 0, 0] and M.mixture([]) == {}
+
+
+def test_confidence_is_calibrated(spark):
+    """Pairs of one name and place, of one name elsewhere, and of other names near by: confidence tells how many are one."""
+    rnd = random.Random(8)
+    syl = ["ba", "du", "fi", "ka", "mu", "ni", "ra", "su", "ti", "za", "gho", "le"]
+    word = lambda: "".join(rnd.choice(syl) for _ in range(3))
+    pool = [word() for _ in range(60)]
+    base = [(f"{rnd.choice(pool)} {word()}", 25 + rnd.random() * 0.02, 25 + rnd.random() * 0.02) for _ in range(700)]
+    typo = lambda n: "".join(rnd.choice("bdk") if rnd.random() < 0.06 and c.isalpha() else c for c in n)
+    left = [(i, n, "cafe" if i % 3 else "gym", a, b, 0, "") for i, (n, a, b) in enumerate(base)]
+    right = [(10000 + i, typo(n), "Coffee" if i % 3 else "Sport", a + rnd.gauss(0, 0.0004), b, 0, "") for i, (n, a, b) in enumerate(base) if i % 5]
+    got = [(r.confidence, r.r_id - r.l_id == 10000) for r in M.matches(spark.createDataFrame(left, SIDE), spark.createDataFrame(right, SIDE)).collect()]
+    for lo, hi in ((0.0, 0.2), (0.2, 0.8), (0.8, 1.01)):
+        own = [(c, t) for c, t in got if lo <= c < hi]
+        if len(own) >= 20:
+            assert abs(sum(c for c, _ in own) - sum(t for _, t in own)) <= 0.15 * len(own)
+    assert sum(c >= 0.8 for c, _ in got) >= 350 and sum(c < 0.2 for c, _ in got) >= 100
+
+
+def test_categories_go_together_at_every_size(spark):
+    rows = [("cafe", f"c{i % 40}", 1.0) for i in range(400)] + [("gym", "Sport", 1.0)] * 30 + [("gym", None, 1.0), (None, "Sport", 1.0), ("gym", "c1", 0.2)]
+    got = {tuple(r) for r in M.going_together(spark.createDataFrame(rows, "l_cat string, r_cat string, dice double")).collect()}
+    assert ("gym", "Sport") in got and not any(None in r for r in got) and ("gym", "c1") not in got
+
+
+def test_one_vector_in_many_cells(spark):
+    """A chain's vector, found all over, meets in each of its cells only."""
+    n = 300
+    v = 0b1011 << 20
+    left = [(i, v, v, [i]) for i in range(n)]
+    right = [(i, v, v ^ 1, [i, i + 1]) for i in range(0, n, 2)]
+    schema = "id long, b0 long, b1 long, cells array<long>"
+    got = M.close_vectors(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()
+    assert sorted(r.cell for r in got) == list(range(n))
