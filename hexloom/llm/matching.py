@@ -143,16 +143,16 @@ def close_vectors(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l_id, r_id, l_words, r_words, l_cat, r_cat, metres, dice) of all close pairs within MAX_M."""
+    """(l_id, r_id, l_cat, r_cat, metres, dice) of all close pairs within MAX_M, once each: a record of the left has one cell and one vector."""
     vectors = close_vectors(left, right)
-    side = lambda df, p: df.select(F.explode("cells").alias("cell"), F.col("b0").alias(f"{p}0"), F.col("b1").alias(f"{p}1"), F.col("id").alias(f"{p}_id"), F.col("words").alias(f"{p}_words"), F.col("category").alias(f"{p}_cat"), F.radians("lat").alias(f"{p}_y"), F.radians("lon").alias(f"{p}_x"))
+    side = lambda df, p: df.select(F.explode("cells").alias("cell"), F.col("b0").alias(f"{p}0"), F.col("b1").alias(f"{p}1"), F.col("id").alias(f"{p}_id"), F.col("category").alias(f"{p}_cat"), F.radians("lat").alias(f"{p}_y"), F.radians("lon").alias(f"{p}_x"))
     pairs = vectors.join(side(left, "l"), ["cell", "l0", "l1"]).join(side(right, "r"), ["cell", "r0", "r1"])
     a = F.pow(F.sin((F.col("r_y") - F.col("l_y")) / 2), 2) + F.cos("l_y") * F.cos("r_y") * F.pow(F.sin((F.col("r_x") - F.col("l_x")) / 2), 2)
     pairs = pairs.withColumn("metres", 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))).filter(F.col("metres") <= MAX_M)
     ones = lambda p: F.bit_count(F.col(f"{p}0")) + F.bit_count(F.col(f"{p}1"))
     both = F.bit_count(F.col("l0").bitwiseAND(F.col("r0"))) + F.bit_count(F.col("l1").bitwiseAND(F.col("r1")))
     dice = 2 * both / (ones("l") + ones("r"))
-    return pairs.select("l_id", "r_id", "l_words", "r_words", "l_cat", "r_cat", "metres", dice.alias("dice"))
+    return pairs.select("l_id", "r_id", "l_cat", "r_cat", "metres", dice.alias("dice"))
 
 
 def _level(value: str, edges: tuple, down: bool = False) -> Column:
@@ -197,33 +197,38 @@ def going_together(pairs: DataFrame) -> DataFrame:
     return n.filter((F.col("n") >= 2) & (F.col("n") * F.col("all") > 2.0 * F.col("nl") * F.col("nr"))).select("l_cat", "r_cat")
 
 
-def matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(l_id, r_id, l_words, r_words, metres, dice, confidence), one row per close pair within MAX_M.
+def matches(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, left words, right words): pairs (l_id, r_id, metres, dice, confidence), one row per close pair within MAX_M; words (id, words) of either side.
 
-    left, right: id BIGINT, name, category, lat, lon, one row per record. Records
-    with a null name, one without distinctive words, or no coordinates match nothing.
-    A null category is a level of its own. Records with one name and place give all
-    their pairs: each is a pair of different ids. Either side empty: no rows.
+    left, right: id BIGINT, name, category, lat, lon, one row per record; of repeated
+    ids one counts. Records with a null name, one without distinctive words, or no
+    coordinates match nothing. A null category is a level of its own. Records with one
+    name and place give all their pairs: each is a pair of different ids. Either side
+    empty: no rows.
     """
-    pairs = cut(scored_pairs(cut(encoded(left, False)), cut(encoded(right, True))).dropDuplicates(["l_id", "r_id"]))
     spark = left.sparkSession
+    left, right = (cut(encoded(df, is_right).dropDuplicates(["id"])) for df, is_right in ((left, False), (right, True)))
+    pairs = cut(scored_pairs(left, right))
     # Which categories go together: learnt from the pairs whose names agree, at every size in the same way.
     known = cut(going_together(pairs)).withColumn("c", F.lit(2))
     cat = F.when(F.col("l_cat").isNull() | F.col("r_cat").isNull(), 1).otherwise(F.coalesce("c", F.lit(0)))
     pairs = pairs.join(known, ["l_cat", "r_cat"], "left").withColumn("pattern", F.array(_level("dice", DICE_EDGES), _level("metres", METRE_EDGES, down=True), cat))
     counts = [(tuple(r.pattern), r.n) for r in pairs.groupBy("pattern").agg(F.count("*").alias("n")).collect()]  # levels times levels
     post = spark.createDataFrame([(list(p), float(c)) for p, c in mixture(counts).items()] or [([0, 0, 0], 0.0)], "pattern array<int>, confidence double")
-    return pairs.join(F.broadcast(post), "pattern").select("l_id", "r_id", "l_words", "r_words", "metres", "dice", "confidence")
+    pairs = pairs.join(F.broadcast(post), "pattern").select("l_id", "r_id", "metres", "dice", "confidence")
+    return pairs, left.select("id", "words"), right.select("id", "words")
 
 
-def sure_matches(pairs: DataFrame) -> DataFrame:
-    """Those of matches() with confidence, with likeness, that of their words: beyond LEAST_LIKENESS no word differs by more than misspelling."""
+def sure_matches(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Those of matches() with LEAST_CONFIDENCE whose words agree, with likeness: from LEAST_LIKENESS no word differs by more than misspelling."""
 
     @F.pandas_udf("double")
     def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([soft_likeness(tuple(x.split()), tuple(y.split())) for x, y in zip(a, b)], dtype=float)
 
     sure = pairs.filter(F.col("confidence") >= LEAST_CONFIDENCE)
+    for p, words in (("l", left), ("r", right)):
+        sure = sure.join(words.select(F.col("id").alias(f"{p}_id"), F.col("words").alias(f"{p}_words")), f"{p}_id")
     return sure.withColumn("likeness", likeness("l_words", "r_words")).filter(F.col("likeness") >= LEAST_LIKENESS).drop("l_words", "r_words")
 
 

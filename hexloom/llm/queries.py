@@ -9,7 +9,7 @@ from hexloom.llm import leaks, matching, quality, tokens, variants
 from hexloom.runtime import table
 
 
-def _venues(spark: SparkSession, d: str) -> DataFrame:
+def _venues(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     places = table(spark, d, "places")
     return matching.matches(matching.latest_known(places, "overture"), matching.latest_known(places, "fsq"))
 
@@ -20,11 +20,11 @@ def _ids(pairs: DataFrame, *columns: str) -> DataFrame:
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Every close pair of an overture and an fsq place with its confidence."""
-    return _ids(_venues(spark, d), "metres", "dice", "confidence")
+    return _ids(_venues(spark, d)[0], "metres", "dice", "confidence")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _ids(matching.sure_matches(_venues(spark, d)))
+    return _ids(matching.sure_matches(*_venues(spark, d)))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

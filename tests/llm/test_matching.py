@@ -52,7 +52,7 @@ def test_matches_against_all_pairs(spark):
     right = [(1000 + i, typo(n).upper(), "Coffee", a + rnd.uniform(-1, 1) * 0.001, b, 0, "") for i, (n, a, b) in enumerate(base) if i % 2]
     left += [(900, None, "cafe", 25.0, 25.0, 0, ""), (901, "", None, 25.0, 25.0, 0, ""), (902, "Cafe", None, 25.0, 25.0, 0, ""), (903, "bafika dudumu", None, None, 25.0, 0, "")]
     right += [(1900, None, None, None, None, 0, "")]
-    pairs = M.matches(spark.createDataFrame(left + left[:5], SIDE), spark.createDataFrame(right, SIDE)).cache()
+    pairs, *words = M.matches(spark.createDataFrame(left + left[:5], SIDE), spark.createDataFrame(right, SIDE))
     got = {(r.l_id, r.r_id): r for r in pairs.collect()}
     from hexloom.llm.names import core_words
     from hexloom.operators.near import haversine_m
@@ -60,10 +60,10 @@ def test_matches_against_all_pairs(spark):
     want = {(a, b) for a, n, _, y, x, *_ in left for b, m, _, v, u, *_ in right if None not in (n, m, y, v) and bin(M.signature(core_words(n)) ^ M.signature(core_words(m))).count("1") <= M.RADIUS and core_words(n) and haversine_m(y, x, v, u) <= M.MAX_M}
     assert want <= set(got)
     true = {(i, 1000 + i) for i in range(150) if i % 2}
-    sure = {(r.l_id, r.r_id) for r in M.sure_matches(pairs).collect()}
+    sure = {(r.l_id, r.r_id) for r in M.sure_matches(pairs, *words).collect()}
     assert len(true & sure) >= 0.95 * len(true) and len(sure - true) <= 3
     empty = spark.createDataFrame([], SIDE)
-    assert M.matches(empty, empty).collect() == []
+    assert M.matches(empty, empty)[0].collect() == []
 
 
 ENTRY = "block long, entry long, name string, id long, grams string"
@@ -94,7 +94,7 @@ def test_confidence_is_calibrated(spark):
     typo = lambda n: "".join(rnd.choice("bdk") if rnd.random() < 0.06 and c.isalpha() else c for c in n)
     left = [(i, n, "cafe" if i % 3 else "gym", a, b, 0, "") for i, (n, a, b) in enumerate(base)]
     right = [(10000 + i, typo(n), "Coffee" if i % 3 else "Sport", a + rnd.gauss(0, 0.0004), b, 0, "") for i, (n, a, b) in enumerate(base) if i % 5]
-    got = [(r.confidence, r.r_id - r.l_id == 10000) for r in M.matches(spark.createDataFrame(left, SIDE), spark.createDataFrame(right, SIDE)).collect()]
+    got = [(r.confidence, r.r_id - r.l_id == 10000) for r in M.matches(spark.createDataFrame(left, SIDE), spark.createDataFrame(right, SIDE))[0].collect()]
     for lo, hi in ((0.0, 0.2), (0.2, 0.8), (0.8, 1.01)):
         own = [(c, t) for c, t in got if lo <= c < hi]
         if len(own) >= 20:
