@@ -1,12 +1,15 @@
 """Points in regions: circles and polygons.
 
-Polygons are cut into triangles by ear clipping. Triangles and circles lie in a
-bounding-volume hierarchy that every task holds; a batch of points walks down it
-level by level, meets candidate triangles, and is tested exactly. A point on an
-edge that triangles of one region share meets the region twice and counts once.
-
-Regions beyond `bound` are not broadcast: their triangles are dealt to cells of a
-size that fits each triangle, and points meet them by an equi-join on the cell.
+Polygons are cut into triangles by ear clipping, in tasks. Triangles and circles lie
+in a bounding-volume hierarchy that every task holds; a batch of points walks down it
+level by level and meets candidates. A triangle decides on the points that it holds or
+lets out by more than rounding; the ring itself is asked for points on an edge and for
+rings that cross themselves. A point on an edge that triangles of one region share
+meets the region twice and counts once.
+
+More than `bound` triangles and circles are not broadcast: they are dealt to cells of
+a size that fits each of them, and points meet them by an equi-join on the cell, with
+the same tests.
 """
 
 from __future__ import annotations
@@ -16,13 +19,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.runtime import DIMENSION_BOUND, bounded_collect
+from hexloom.runtime import DIMENSION_BOUND, bounded_collect, cut
 
 EARTH_M = 6_371_008.8
 LEAF = 8
+#: Corners of rings that are broadcast, for each shape of the bound.
+CORNERS = 8
 _SLACK = 1e-9
 
 
@@ -32,53 +37,55 @@ def haversine_m(lat1, lon1, lat2, lon2, radius: float = EARTH_M):
     return 2 * radius * np.arcsin(np.minimum(1, np.sqrt(a)))
 
 
-def _cross(o, a, b) -> float:
+def _cross(o, a, b):
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
 
-def _crosses_itself(ring: list[tuple[float, float]]) -> bool:
-    """Two edges that are no neighbours share a point."""
+def _crosses_itself(ring: np.ndarray) -> bool:
+    """Two edges that are no neighbours share a point. ring: (n, 2)."""
     n = len(ring)
-    side = lambda a, b, c: (_cross(a, b, c) > 0) - (_cross(a, b, c) < 0)
-    on = lambda a, b, c: min(a[0], b[0]) <= c[0] <= max(a[0], b[0]) and min(a[1], b[1]) <= c[1] <= max(a[1], b[1])
-    for i in range(n):
-        a, b = ring[i], ring[(i + 1) % n]
-        for j in range(i + 2, n - (i == 0)):
-            c, d = ring[j], ring[(j + 1) % n]
-            s = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
-            if s[0] != s[1] and s[2] != s[3] or not s[0] and on(a, b, c) or not s[1] and on(a, b, d) or not s[2] and on(c, d, a) or not s[3] and on(c, d, b):
-                return True
+    ends = np.roll(ring, -1, axis=0)
+    side = lambda a, b, c: np.sign(_cross(a, b, c))
+    on = lambda a, b, c: (np.minimum(a[0], b[0]) <= c[0]) & (c[0] <= np.maximum(a[0], b[0])) & (np.minimum(a[1], b[1]) <= c[1]) & (c[1] <= np.maximum(a[1], b[1]))
+    for i in range(n - 2):
+        a, b = ring[i], ends[i]
+        c, d = ring[i + 2 : n - (i == 0)].T, ends[i + 2 : n - (i == 0)].T
+        s = side(a, b, c), side(a, b, d), side(c, d, a), side(c, d, b)
+        if np.any((s[0] != s[1]) & (s[2] != s[3]) | (s[0] == 0) & on(a, b, c) | (s[1] == 0) & on(a, b, d) | (s[2] == 0) & on(c, d, a) | (s[3] == 0) & on(c, d, b)):
+            return True
     return False
 
 
 def ear_clip(ring: list[tuple[float, float]]) -> list[tuple]:
-    """Triangles of a ring of (x, y). A ring that crosses or touches itself gives the
-    two halves of its box: candidates, on which the exact test decides."""
+    """(triangle, decides) of a ring of (x, y), counterclockwise. A ring that crosses or
+    touches itself gives the two halves of its box: candidates, on which the ring decides."""
     pts = [p for k, p in enumerate(ring) if p != ring[k - 1]] if len(ring) > 1 else list(ring)
     if len(pts) < 3:
         return []
     area = sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(pts, pts[1:] + pts[:1]))
     rest, out = pts if area > 0 else pts[::-1], []
-    simple = not _crosses_itself(rest)
+    simple = not _crosses_itself(np.array(rest))
     while simple and len(rest) > 3:
+        all_ = np.array(rest).T
         for k in range(len(rest)):
             a, b, c = rest[k - 1], rest[k], rest[(k + 1) % len(rest)]
             turn = _cross(a, b, c)
             if turn < 0:
                 continue
-            if turn > 0 and any(_cross(a, b, p) >= 0 and _cross(b, c, p) >= 0 and _cross(c, a, p) >= 0 for p in rest if p not in (a, b, c)):
-                continue
             if turn > 0:
-                out.append((a, b, c))
+                inside = (_cross(a, b, all_) >= 0) & (_cross(b, c, all_) >= 0) & (_cross(c, a, all_) >= 0)
+                if any(rest[i] not in (a, b, c) for i in np.flatnonzero(inside)):
+                    continue
+                out.append(((a, b, c), True))
             rest = rest[:k] + rest[k + 1 :]
             break
         else:
             simple = False  # no ear by rounding
     if simple:
-        return [*out, tuple(rest)]
+        return [*out, (tuple(rest), True)]
     x, y = [p[0] for p in rest], [p[1] for p in rest]
     sw, se, ne, nw = (min(x), min(y)), (max(x), min(y)), (max(x), max(y)), (min(x), max(y))
-    return [*out, (sw, se, ne), (sw, ne, nw)]
+    return [*out, ((sw, se, ne), False), ((sw, ne, nw), False)]
 
 
 def even_odd(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
@@ -90,26 +97,58 @@ def even_odd(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return inside
 
 
-class Regions:
-    """Hierarchy over the triangles and circles of all regions. Regions that lack what their kind needs hold no point."""
+#: A triangle (corners) or circle (lat, lon, radius in s0 to s2) of the area row `no`, and its box.
+SHAPE = ["no", "area_id", "circle", "decides", *(f"s{k}" for k in range(6)), "x0", "y0", "x1", "y1"]
+_SHAPE_TYPES = "no bigint, area_id bigint, circle boolean, decides boolean, " + ", ".join(f"{c} double" for c in SHAPE[4:])
 
-    def __init__(self, areas: list):
-        ids, boxes, tris, circles, rings = [], [], [], [], []
-        for area_id, kind, lat, lon, radius, ring in areas:
-            if area_id is None:
-                continue
-            if kind == "circle" and None not in (lat, lon, radius) and radius >= 0:
-                dlat = math.degrees(radius / EARTH_M) * (1 + 1e-9) + _SLACK
-                cos = math.cos(math.radians(min(90.0, abs(lat) + dlat)))
-                dlon = min(360.0, math.degrees(2 * math.asin(min(1.0, math.sin(min(math.pi / 2, radius / EARTH_M / 2)) / max(cos, 1e-12))))) * (1 + 1e-9) + _SLACK
-                ids.append(area_id), boxes.append((lon - dlon, lat - dlat, lon + dlon, lat + dlat)), tris.append(None), circles.append((lat, lon, radius)), rings.append(None)
-            elif kind == "polygon" and ring:
-                pts = [(float(p["lon"]), float(p["lat"])) for p in ring if p is not None and p["lat"] is not None and p["lon"] is not None]
-                for t in ear_clip(pts):
-                    x, y = [p[0] for p in t], [p[1] for p in t]
-                    ids.append(area_id), boxes.append((min(x) - _SLACK, min(y) - _SLACK, max(x) + _SLACK, max(y) + _SLACK)), tris.append(t), circles.append(None), rings.append(np.array(pts))
-        self.ids, self.tris, self.circles, self.rings = np.array(ids, dtype=np.int64), tris, circles, rings
-        self.boxes = np.array(boxes, dtype=float).reshape(-1, 4)
+
+def _shapes_of(no: int, area_id: int, kind: str, lat, lon, radius, ring) -> list[tuple]:
+    """Shapes of an area; one that lacks what its kind needs has none and holds no point."""
+    if kind == "circle" and None not in (lat, lon, radius) and radius >= 0:
+        dlat = math.degrees(radius / EARTH_M) * (1 + 1e-9) + _SLACK
+        cos = math.cos(math.radians(min(90.0, abs(lat) + dlat)))
+        dlon = min(360.0, math.degrees(2 * math.asin(min(1.0, math.sin(min(math.pi / 2, radius / EARTH_M / 2)) / max(cos, 1e-12))))) * (1 + 1e-9) + _SLACK
+        # Beyond 180 degrees the box goes on at the other end.
+        turns = [0, *([360] if lon - dlon < -180 else []), *([-360] if lon + dlon > 180 else [])]
+        return [(no, area_id, True, True, lat, lon, radius, 0.0, 0.0, 0.0, lon - dlon + t, lat - dlat, lon + dlon + t, lat + dlat) for t in turns]
+    out = []
+    for tri, decides in ear_clip(ring) if kind == "polygon" and ring else []:
+        x, y = [p[0] for p in tri], [p[1] for p in tri]
+        out.append((no, area_id, False, decides, *(v for p in tri for v in p), min(x) - _SLACK, min(y) - _SLACK, max(x) + _SLACK, max(y) + _SLACK))
+    return out
+
+
+def _number(v) -> float | None:
+    return None if v is None or pd.isna(v) else float(v)
+
+
+def shapes(areas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(shapes, rings): triangles and circles of all areas, and (no, ring of x, y) of the polygons. Equal rows are one area; rows that differ are several, also under one id."""
+    own = areas.select("area_id", "kind", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("radius_m").cast("double").alias("radius_m"), "ring").dropna(subset=["area_id"])
+    known = F.filter("ring", lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+    own = own.withColumn("ring", F.transform(known, lambda p: F.array(p["lon"].cast("double"), p["lat"].cast("double"))))
+    own = own.withColumn("no", F.xxhash64("area_id", "kind", "lat", "lon", "radius_m", "ring")).dropDuplicates(["no"])
+
+    def clip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                ring = None if r.ring is None else [tuple(map(float, p)) for p in r.ring]
+                rows += _shapes_of(r.no, r.area_id, r.kind, _number(r.lat), _number(r.lon), _number(r.radius_m), ring)
+            yield pd.DataFrame(rows, columns=SHAPE)
+
+    return own.mapInPandas(clip, _SHAPE_TYPES), own.filter(F.col("kind") == "polygon").select("no", "ring")
+
+
+class Regions:
+    """Hierarchy over shapes; rings: no -> ring of (x, y)."""
+
+    def __init__(self, rows: pd.DataFrame, rings: dict[int, list]):
+        self.ids, self.no = rows["area_id"].to_numpy(dtype=np.int64), rows["no"].to_numpy(dtype=np.int64)
+        self.circle, self.decides = rows["circle"].to_numpy(dtype=bool), rows["decides"].to_numpy(dtype=bool)
+        self.s = rows[SHAPE[4:10]].to_numpy(dtype=float)
+        self.boxes = rows[SHAPE[10:]].to_numpy(dtype=float).reshape(-1, 4)
+        self.rings = {k: np.array(v, dtype=float) for k, v in rings.items()}
         self._build()
 
     def _build(self) -> None:
@@ -158,82 +197,81 @@ class Regions:
         """Point numbers and region ids, each pair once."""
         x, y = np.asarray(lon, float), np.asarray(lat, float)
         p, t = self.candidates(x, y)
-        order = np.argsort(t, kind="stable")
-        p, t = p[order], t[order]
-        out_p, out_a = [np.zeros(0, int)], [np.zeros(0, np.int64)]
-        for lo, hi in zip(starts := np.flatnonzero(np.r_[True, np.diff(t) != 0]) if len(t) else [], [*starts[1:], len(t)] if len(t) else []):
-            k, own = t[lo], p[lo:hi]
-            if (c := self.circles[k]) is not None:
-                own = own[haversine_m(c[0], c[1], y[own], x[own]) <= c[2]]
-            else:
-                a, b, d = (np.array(q) for q in self.tris[k])
-                side = [(u[0] - o[0]) * (y[own] - o[1]) - (u[1] - o[1]) * (x[own] - o[0]) for o, u in ((a, b), (b, d), (d, a))]
-                slack = _SLACK * max(np.ptp(self.boxes[k][[0, 2]]), np.ptp(self.boxes[k][[1, 3]]))
-                own = own[(side[0] >= -slack) & (side[1] >= -slack) & (side[2] >= -slack)]
-                own = own[even_odd(x[own], y[own], self.rings[k])]  # decides on the edges
-            out_p.append(own), out_a.append(np.full(len(own), self.ids[k]))
-        pairs = np.unique(np.stack([np.concatenate(out_p), np.concatenate(out_a)]), axis=1)
+        hit = np.zeros(len(p), dtype=bool)
+        c = self.circle[t]
+        s = self.s[t]
+        hit[c] = haversine_m(s[c, 0], s[c, 1], y[p[c]], x[p[c]]) <= s[c, 2]
+        least = np.min([_cross(s[:, i : i + 2].T, s[:, j : j + 2].T, (x[p], y[p])) for i, j in ((0, 2), (2, 4), (4, 0))], axis=0) if len(p) else np.zeros(0)
+        slack = _SLACK * np.maximum(np.ptp(self.boxes[t][:, ::2], axis=1), np.ptp(self.boxes[t][:, 1::2], axis=1)) if len(p) else np.zeros(0)
+        hit |= ~c & self.decides[t] & (least > slack)
+        ask = np.flatnonzero(~c & ~hit & (least >= -slack))
+        for no in np.unique(self.no[t[ask]]):
+            own = ask[self.no[t[ask]] == no]
+            hit[own] = even_odd(x[p[own]], y[p[own]], self.rings[no])
+        pairs = np.unique(np.stack([p[hit], self.ids[t[hit]]]), axis=1)
         return pairs[0], pairs[1]
 
 
-_AREA = ["area_id", "kind", "lat", "lon", "radius_m", "ring"]
-
-
 def points_in_regions(points: DataFrame, areas: DataFrame, *, key: str, lat: str = "lat", lon: str = "lon", bound: int = DIMENSION_BOUND) -> DataFrame:
     """(area_id, key), each pair once: the regions each point lies in.
 
-    Points without a finite latitude and longitude lie nowhere. Repeated points and
-    regions give a pair once if their ids agree. Regions with a null id or without
-    the numbers of their kind hold no point. Either table empty: no rows.
+    areas: area_id, kind (circle or polygon), lat, lon, radius_m, ring. Points without a
+    finite latitude and longitude lie nowhere. Repeated points and regions give a pair
+    once if their ids agree; an id with several shapes holds what any of them holds.
+    Regions with a null id or without the numbers of their kind hold no point. Either
+    table empty: no rows. The result is the same on either side of `bound`.
     """
     pts = points.select(key, F.col(lat).cast("double").alias("_y"), F.col(lon).cast("double").alias("_x")).dropna().filter(~F.isnan("_x") & ~F.isnan("_y"))
     kind = dict(pts.dtypes)[key]
-    few = bounded_collect(areas.select(*_AREA), bound)
-    schema = f"area_id bigint, `{key}` {kind}"
-    if few is None:
-        return _by_cells(pts, areas, key, schema)
-    regions = points.sparkSession.sparkContext.broadcast(Regions([tuple(r) for r in few]))
+    made, rings = shapes(areas)
+    few = bounded_collect(made, bound)
+    if few is None or (rings.agg(F.sum(F.size("ring")).alias("n")).first().n or 0) > CORNERS * bound:
+        return _by_cells(pts, cut(made), rings, key)
+    regions = points.sparkSession.sparkContext.broadcast(Regions(pd.DataFrame([tuple(r) for r in few], columns=SHAPE), {r.no: r.ring for r in rings.collect()}))
 
     def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             p, a = regions.value.locate(b["_y"].to_numpy(), b["_x"].to_numpy())
             yield pd.DataFrame({"area_id": a, key: b[key].to_numpy()[p]})
 
-    return pts.mapInPandas(locate, schema).dropDuplicates()
-
+    return pts.mapInPandas(locate, f"area_id bigint, `{key}` {kind}").dropDuplicates()
 
-def _by_cells(pts: DataFrame, areas: DataFrame, key: str, schema: str, most: int = 4) -> DataFrame:
-    """The same by an equi-join: each region's boxes in cells of a level at which it spans few, points probe every level in use."""
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                one = Regions([(r.area_id, r.kind, *(None if pd.isna(v) else float(v) for v in (r.lat, r.lon, r.radius_m)), None if r.ring is None else [dict(p) for p in r.ring])])
-                seen = set()
-                for x0, y0, x1, y1 in one.boxes:
-                    level = max(-20, math.ceil(math.log2(max(x1 - x0, y1 - y0, 1e-6) / (most - 1))))
-                    s = 2.0**level
-                    seen.update((level, cx, cy) for cx in range(math.floor(x0 / s), math.floor(x1 / s) + 1) for cy in range(math.floor(y0 / s), math.floor(y1 / s) + 1))
-                rows += [(r.area_id, *c) for c in seen]
-            yield pd.DataFrame(rows, columns=["area_id", "_l", "_cx", "_cy"]).astype("int64")
-
-    cells = areas.select(*_AREA).dropna(subset=["area_id"]).mapInPandas(deal, "area_id bigint, _l bigint, _cx bigint, _cy bigint")
-    levels = [r[0] for r in cells.select("_l").distinct().collect()]  # at most 30: powers of two of a degree
-    probe = pts.withColumn("_l", F.explode(F.array(*[F.lit(v).cast("bigint") for v in levels] or [F.lit(0).cast("bigint")])))
+def _by_cells(pts: DataFrame, made: DataFrame, rings: DataFrame, key: str, most: int = 4) -> DataFrame:
+    """The same by an equi-join: each shape's box in cells of a level at which it spans few, points probe every level in use."""
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-6))
+    level = F.greatest(F.lit(-20), F.ceil(F.log2(wide / (most - 1)))).cast("int")
     size = F.pow(F.lit(2.0), F.col("_l"))
-    probe = probe.withColumns({"_cx": F.floor(F.col("_x") / size).cast("bigint"), "_cy": F.floor(F.col("_y") / size).cast("bigint")})
-    met = probe.join(cells, ["_l", "_cx", "_cy"]).select("area_id", key, "_x", "_y").dropDuplicates()
-    named = met.join(areas.select(*_AREA).dropDuplicates(["area_id"]), "area_id")
-
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cell = lambda c: F.floor(F.col(c) / size).cast("bigint")
+    dealt = made.withColumn("_l", level)
+    dealt = dealt.withColumn("_cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("_cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+    levels = [r[0] for r in made.select(level.alias("_l")).distinct().collect()]  # at most 30: powers of two of a degree
+    probe = pts.withColumn("_l", F.explode(F.array(*[F.lit(v) for v in levels] or [F.lit(0)]))).withColumns({"_cx": cell("_x"), "_cy": cell("_y")})
+    inside = (F.col("_x") >= F.col("x0")) & (F.col("_x") <= F.col("x1")) & (F.col("_y") >= F.col("y0")) & (F.col("_y") <= F.col("y1"))
+    met = probe.join(dealt, ["_l", "_cx", "_cy"]).filter(inside)
+
+    def side(i: int, j: int) -> Column:
+        o, a = (F.col(f"s{i}"), F.col(f"s{i + 1}")), (F.col(f"s{j}"), F.col(f"s{j + 1}"))
+        return _cross(o, a, (F.col("_x"), F.col("_y")))
+
+    rad = lambda c: F.radians(F.col(c))
+    h = F.pow(F.sin((rad("_y") - rad("s0")) / 2), 2) + F.cos(rad("s0")) * F.cos(rad("_y")) * F.pow(F.sin((rad("_x") - rad("s1")) / 2), 2)
+    near = 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(h))) <= F.col("s2")
+    least, slack = F.least(side(0, 2), side(2, 4), side(4, 0)), wide * _SLACK
+    # 2: in, 1: on an edge or up to the ring, 0: out
+    verdict = F.when(F.col("circle"), F.when(near, 2).otherwise(0)).when(F.col("decides") & (least > slack), 2).when(least >= -slack, 1).otherwise(0)
+    met = met.withColumn("_in", verdict).filter("_in > 0")
+    sure = met.filter("_in = 2").select("area_id", key)
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for area_id, g in b.groupby("area_id"):
-                r = g.iloc[0]
-                one = Regions([(area_id, r.kind, *(None if pd.isna(v) else float(v) for v in (r.lat, r.lon, r.radius_m)), None if r.ring is None else [dict(p) for p in r.ring])])
-                p, a = one.locate(g["_y"].to_numpy(), g["_x"].to_numpy())
-                out.append(pd.DataFrame({"area_id": a, key: g[key].to_numpy()[p]}))
-            yield pd.concat(out) if out else pd.DataFrame({"area_id": [], key: []})
-
-    return named.mapInPandas(test, schema).dropDuplicates()
+            hit = np.zeros(len(b), dtype=bool)
+            x, y, no = b["_x"].to_numpy(), b["_y"].to_numpy(), b["no"].to_numpy()
+            for k in np.unique(no):
+                own = np.flatnonzero(no == k)
+                hit[own] = even_odd(x[own], y[own], np.array([list(map(float, p)) for p in b["ring"].iloc[own[0]]]))
+            yield b[["area_id", key]][hit]
+
+    edge = met.filter("_in = 1").select("no", "area_id", key, "_x", "_y").join(rings, "no")
+    asked = edge.mapInPandas(ask, f"area_id bigint, `{key}` {dict(pts.dtypes)[key]}")
+    return sure.unionByName(asked).dropDuplicates()
