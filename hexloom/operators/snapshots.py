@@ -4,22 +4,22 @@ A narrow index (key, snapshot number, fingerprints) is kept in buckets of the
 key; the rows of a snapshot probe the entries of the snapshot before; values of
 the old side are fetched for changes only; then the new entries are the index.
 
-`SnapshotIndex` does this delivery by delivery with an index on disk.
-`replay_changes` does the same for a table that holds all its snapshots: every
-snapshot's entries lie in the key's bucket, so one shuffle of index entries
-probes all consecutive pairs at once.
+`SnapshotIndex` keeps the index on disk, from delivery to delivery. A delivery is one
+snapshot or a backlog of several: their entries and those of the index lie in the
+key's bucket, so one shuffle of narrow entries probes all consecutive pairs at once.
+`replay_changes` delivers a table that holds all its snapshots.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexloom.runtime import bounded_collect
+from hexloom import files
+from hexloom.runtime import bounded_collect, cut
 
 TOLERANCE_DEG = 0.00001
 _EPS = 1e-9
@@ -56,76 +56,137 @@ def valid_entries(df: DataFrame, ids: Sequence[str], version: str | None) -> Dat
     return df.groupBy(*ids).agg(F.max(order).alias("_o")).select(*ids, "_o.fp_text", "_o.fp_geo")
 
 
-def replay_changes(
-    df: DataFrame,
-    *,
-    group: str | None,
-    key: Sequence[str],
-    snapshot: str,
-    version: str | None = None,
-    text: Sequence[Column] = (),
-    coords: Sequence[str] = (),
-    tol: float = TOLERANCE_DEG,
-) -> DataFrame:
-    """(group, *key, snapshot, before, change) of every record that was added, removed or changed.
-
-    group: column within which snapshots follow each other (None: the whole
-    table); before: the snapshot before; change: added, removed or changed. Only
-    `text` and `coords` count for changed. A group's first snapshot gives no rows.
-    A gap in a record's snapshots gives removed and later added.
-
-    Rows with a null key, group or snapshot belong to no record and are ignored.
-    Repeated rows count once, of several versions the latest. An empty table
-    gives no rows. Other columns of `df` are never read.
+class SnapshotIndex:
+    """Bucketed key-to-hash index of each group's last snapshot, in a folder all executors share.
+
+    `advance(new)` probes the index with the rows of new full snapshots, writes what
+    changed and the new index into a version of its own, and swaps: one file names the
+    version that counts and is replaced in one step. A run that dies before leaves the
+    old index as it was, one that dies after has its changes written: `changes()` reads
+    them. The version before is kept, older ones are dropped.
+
+    group: column within which snapshots follow each other (None: the whole table).
+    Only `text` and `coords` count for changed, `coords` beyond `tol`.
     """
-    g = F.col(group) if group else F.lit("")
-    ids = ["_g", *key, "_s"]
-    base = df.withColumn("_g", g).withColumn("_s", F.col(snapshot)).dropna(subset=["_g", "_s", *key])
-    base = fingerprints(base, text, coords, tol)
-    lean = base.select(*ids, *([version] if version else []), *coords, "fp_text", "fp_geo")
-
-    order = Window.partitionBy("_g").orderBy("_s")
-    snaps = lean.select("_g", "_s").distinct()
-    rows = bounded_collect(snaps)
-    if rows is not None:  # calendar-sized, its bound checked
-        snaps = df.sparkSession.createDataFrame([tuple(r) for r in rows] or [("", "")], "_g string, _s string")
-    snaps = snaps.withColumns({
-        "_n": F.row_number().over(order),
-        "_before": F.lag("_s").over(order),
-        "_after": F.lead("_s").over(order),
-    })
-    snaps = F.broadcast(snaps) if rows is not None else snaps
-
-    index = valid_entries(lean, ids, version).join(snaps, ["_g", "_s"])
-    bucket = Window.partitionBy("_g", *key).orderBy("_n")
-    probe = index.withColumns({
-        "_pn": F.lag("_n").over(bucket), "_nn": F.lead("_n").over(bucket),
-        "_pt": F.lag("fp_text").over(bucket), "_pg": F.lag("fp_geo").over(bucket),
-    })
-    row = lambda s, before, change: F.struct(s.alias("_s"), before.alias("_b"), F.lit(change).alias("change"))
-    here, met = row, F.col("_pn") == F.col("_n") - 1
-    events = F.array_compact(F.array(
-        F.when(F.col("_before").isNotNull() & ~F.coalesce(met, F.lit(False)), here(F.col("_s"), F.col("_before"), "added")),
-        F.when(met & (F.col("_pt") != F.col("fp_text")), here(F.col("_s"), F.col("_before"), "changed")),
-        F.when(met & (F.col("_pt") == F.col("fp_text")) & (F.col("_pg") != F.col("fp_geo")), here(F.col("_s"), F.col("_before"), "moved?")),
-        F.when(F.col("_after").isNotNull() & ~F.coalesce(F.col("_nn") == F.col("_n") + 1, F.lit(False)), here(F.col("_after"), F.col("_s"), "removed")),
-    ))
-    found = probe.select("_g", *key, F.explode(events).alias("_e")).select("_g", *key, "_e.*")
-    if coords:
-        # Only bins that differ need the old and new values: fetch those.
-        maybe = found.filter(F.col("change") == "moved?").select("_g", *key, "_s", "_b")
-        sides = maybe.select("_g", *key, F.col("_s").alias("_at"), F.explode(F.array("_s", "_b")).alias("_s"), "_b")
-        order = F.struct(F.col(version) if version else F.lit(0), "fp_text", "fp_geo")
-        values = lean.join(sides, ids).groupBy("_g", *key, "_at", "_b").agg(
-            F.max_by(F.struct(*coords), F.when(F.col("_s") == F.col("_at"), order)).alias("_new"),
-            F.max_by(F.struct(*coords), F.when(F.col("_s") == F.col("_b"), order)).alias("_old"),
+
+    def __init__(self, spark, path: str, *, group: str | None, key: Sequence[str], snapshot: str, version: str | None = None, text: Sequence[Column] = (), coords: Sequence[str] = (), tol: float = TOLERANCE_DEG, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.group, self.key, self.snapshot, self.version = group, list(key), snapshot, version
+        self.text, self.coords, self.tol = list(text), list(coords), tol
+        self.ids = ["_g", *self.key, "_s"]
+
+    def current(self) -> dict | None:
+        at = f"{self.path}/CURRENT.json"
+        return files.read_json(self.spark, at) if files.exists(self.spark, at) else None
+
+    def _read(self, part: str, version: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{version}/{part}")
+
+    def changes(self) -> DataFrame | None:
+        """What the last advance() found; None before the first."""
+        was = self.current()
+        return self._read("changes", was["version"]) if was else None
+
+    def _lean(self, df: DataFrame) -> DataFrame:
+        base = df.withColumn("_g", F.col(self.group) if self.group else F.lit("")).withColumn("_s", F.col(self.snapshot)).dropna(subset=self.ids)
+        return fingerprints(base, self.text, self.coords, self.tol).select(*self.ids, *([self.version] if self.version else []), *self.coords, "fp_text", "fp_geo")
+
+    def _calendar(self, entries: DataFrame, held: DataFrame | None) -> DataFrame:
+        """(_g, _s, _n, _before, _after, _held): snapshots in order; _held: in the index."""
+        snaps = entries.select("_g", "_s").distinct().withColumn("_held", F.lit(False))
+        if held is not None:
+            snaps = snaps.unionByName(held.select("_g", "_s").distinct().withColumn("_held", F.lit(True)))
+        kinds = dict(snaps.dtypes)
+        rows = bounded_collect(snaps)
+        if rows is not None:  # calendar-sized, its bound checked
+            last: dict = {r["_g"]: r["_s"] for r in rows if r["_held"]}
+            if late := sorted({r["_s"] for r in rows if not r["_held"] and r["_g"] in last and r["_s"] <= last[r["_g"]]}):
+                raise ValueError(f"delivered after their successors: {', '.join(map(str, late))}")
+            snaps = self.spark.createDataFrame([tuple(r) for r in rows], f"_g {kinds['_g']}, _s {kinds['_s']}, _held boolean")
+        order = Window.partitionBy("_g").orderBy("_s")
+        snaps = snaps.withColumns({"_n": F.row_number().over(order), "_before": F.lag("_s").over(order), "_after": F.lead("_s").over(order)})
+        return F.broadcast(snaps) if rows is not None else snaps
+
+    def advance(self, new: DataFrame, old: DataFrame | None = None) -> DataFrame:
+        """([group], *key, snapshot, before, change): what the snapshots in `new` change, one after the other.
+
+        new: one or more full snapshots, each later than the group's last one; old: rows
+        of the snapshots in the index, from which old coordinates are fetched where bins
+        differ (needed with coords only). change: added, removed or changed. The first
+        snapshot of a group gives no rows; a gap in a record's snapshots gives removed
+        and later added. Groups without new snapshots stay as they are.
+
+        Rows with a null key, group or snapshot belong to no record and are ignored.
+        Repeated rows count once, of several versions the latest. No rows: no changes.
+        Other columns are never read.
+        """
+        was, version = self.current(), f"v-{uuid.uuid4().hex}"
+        held = self._read("index", was["version"]) if was else None
+        lean = self._lean(new)
+        index = valid_entries(lean, self.ids, self.version)
+        snaps = self._calendar(lean, held)
+        index = (index if held is None else index.unionByName(held)).join(snaps, ["_g", "_s"])
+        # All snapshots of a key lie in its bucket: one shuffle of entries probes every consecutive pair.
+        bucket = Window.partitionBy("_g", *self.key).orderBy("_n")
+        probe = index.withColumns({
+            "_pn": F.lag("_n").over(bucket), "_nn": F.lead("_n").over(bucket),
+            "_pt": F.lag("fp_text").over(bucket), "_pg": F.lag("fp_geo").over(bucket),
+        })
+        event = lambda s, before, change: F.struct(F.col(s).alias("_s"), F.col(before).alias("_b"), F.lit(change).alias("change"))
+        met = F.coalesce(F.col("_pn") == F.col("_n") - 1, F.lit(False))
+        stays = F.coalesce(F.col("_nn") == F.col("_n") + 1, F.lit(False))
+        events = F.array_compact(F.array(
+            F.when(F.col("_before").isNotNull() & ~met, event("_s", "_before", "added")),
+            F.when(met & (F.col("_pt") != F.col("fp_text")), event("_s", "_before", "changed")),
+            F.when(met & (F.col("_pt") == F.col("fp_text")) & (F.col("_pg") != F.col("fp_geo")), event("_s", "_before", "moved?")),
+            F.when(F.col("_after").isNotNull() & ~stays, event("_after", "_s", "removed")),
+        ))
+        last = F.col("_after").isNull()
+        probe = cut(probe.select(*self.ids, "fp_text", "fp_geo", last.alias("_last"), events.alias("_e")).filter("_last or size(_e) > 0"))
+        found = probe.select("_g", *self.key, F.explode("_e").alias("_e")).select("_g", *self.key, "_e.*")
+        if self.coords:
+            found = found.filter("change <> 'moved?'").unionByName(self._moved(found.filter("change = 'moved?'"), lean if old is None else lean.unionByName(self._lean(old))))
+        found = found.select(*([F.col("_g").alias(self.group)] if self.group else []), *self.key, F.col("_s").alias(self.snapshot), F.col("_b").alias("before"), "change")
+        found.write.parquet(f"{self.path}/{version}/changes")
+        entries = probe.filter("_last").select(*self.ids, "fp_text", "fp_geo")
+        entries.repartition(self.buckets, "_g", *self.key).sortWithinPartitions("_g", *self.key).write.parquet(f"{self.path}/{version}/index")
+        files.write_json(self.spark, f"{self.path}/CURRENT.json", {"version": version, "before": was["version"] if was else None})
+        for name in files.folders(self.spark, self.path):
+            if name.startswith("v-") and name not in (version, was["version"] if was else None):
+                files.delete(self.spark, f"{self.path}/{name}")
+        return self._read("changes", version)
+
+    def _moved(self, maybe: DataFrame, lean: DataFrame) -> DataFrame:
+        """Those of `maybe` whose coordinates differ: old and new values are fetched for them only."""
+        maybe = maybe.select("_g", *self.key, "_s", "_b")
+        sides = maybe.select("_g", *self.key, F.col("_s").alias("_at"), F.explode(F.array("_s", "_b")).alias("_s"), "_b")
+        order = F.struct(F.col(self.version) if self.version else F.lit(0), "fp_text", "fp_geo")
+        values = lean.join(sides, self.ids).groupBy("_g", *self.key, "_at", "_b").agg(
+            F.max_by(F.struct(*self.coords), F.when(F.col("_s") == F.col("_at"), order)).alias("_new"),
+            F.max_by(F.struct(*self.coords), F.when(F.col("_s") == F.col("_b"), order)).alias("_old"),
         )
         moved = F.lit(False)
-        for c in coords:
-            moved = moved | differs(F.col(f"_new.{c}"), F.col(f"_old.{c}"), tol)
-        moved = values.filter(moved).select("_g", *key, F.col("_at").alias("_s"), "_b", F.lit("changed").alias("change"))
-        found = found.filter(F.col("change") != "moved?").unionByName(moved)
-    return found.select(*([F.col("_g").alias(group)] if group else []), *key, F.col("_s").alias(snapshot), F.col("_b").alias("before"), "change")
+        for c in self.coords:
+            moved = moved | differs(F.col(f"_new.{c}"), F.col(f"_old.{c}"), self.tol)
+        return values.filter(moved).select("_g", *self.key, F.col("_at").alias("_s"), "_b", F.lit("changed").alias("change"))
+
+
+def replay_changes(df: DataFrame, *, group: str | None, key: Sequence[str], snapshot: str, **how) -> DataFrame:
+    """The changes of a table that holds all its snapshots, delivered to a fresh index: the backlog at once, then each group's latest.
+
+    Columns, rules and further arguments are those of SnapshotIndex.
+    """
+    index = SnapshotIndex(df.sparkSession, files.shared_folder(df.sparkSession, "index"), group=group, key=key, snapshot=snapshot, **how)
+    g = F.col(group) if group else F.lit("")
+    last = bounded_collect(df.dropna(subset=[snapshot]).groupBy(g.alias("g")).agg(F.max(snapshot).alias("s"), F.min(snapshot).alias("f")).dropna())
+    many = [(r.g, r.s) for r in last or [] if r.s != r.f]
+    if not many:
+        return index.advance(df)
+    # Literals, so that the scan skips what is not delivered.
+    is_last = F.concat_ws("\x1f", g, snapshot).isin([f"{a}\x1f{b}" for a, b in many]) & F.col(snapshot).isin(sorted({b for _, b in many}))
+    backlog = df.filter(~is_last)
+    before = index.advance(backlog)
+    return before.unionByName(index.advance(df.filter(is_last), old=backlog))
 
 
 def fetch_values(changes: DataFrame, df: DataFrame, *, group: str | None, key: Sequence[str], snapshot: str, version: str | None, values: Sequence[str]) -> DataFrame:
@@ -138,64 +199,6 @@ def fetch_values(changes: DataFrame, df: DataFrame, *, group: str | None, key: S
     return sides.join(rows, [*ids, "_s"]).groupBy(*ids, F.col("_at").alias(snapshot), "change").agg(pick(0).alias("old"), pick(1).alias("new"))
 
 
-class SnapshotIndex:
-    """Bucketed key-to-hash index of the last snapshot, on a folder all executors share.
-
-    `advance(new)` probes the index with a new full snapshot and swaps it in.
-    Each version is written whole before the pointer file names it, so a run that
-    dies in between leaves the old index valid; the old version is kept until the
-    next swap.
-    """
-
-    def __init__(self, spark, path: str, key: Sequence[str], values: Sequence[str], buckets: int = 64):
-        self.spark, self.path, self.key, self.values, self.buckets = spark, path.rstrip("/"), list(key), list(values), buckets
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
-
-    def current(self) -> dict | None:
-        fs, path = self._fs()
-        at = path(f"{self.path}/CURRENT.json")
-        return json.loads(self.spark.read.text(f"{self.path}/CURRENT.json", wholetext=True).first()[0]) if fs.exists(at) else None
-
-    def _swap(self, version: str, snapshot: str) -> None:
-        fs, path = self._fs()
-        out = fs.create(path(f"{self.path}/CURRENT.tmp"), True)
-        out.write(bytearray(json.dumps({"version": version, "snapshot": snapshot}).encode()))
-        out.close()
-        fs.delete(path(f"{self.path}/CURRENT.json"), False)
-        fs.rename(path(f"{self.path}/CURRENT.tmp"), path(f"{self.path}/CURRENT.json"))
-
-    def _entries(self, df: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
-        h = F.xxhash64(F.lit(0), *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in self.values])
-        return df.dropna(subset=self.key).groupBy(bucket.alias("bucket"), *self.key).agg(F.max(h).alias("fp"))
-
-    def advance(self, new: DataFrame, snapshot: str, fetch=None) -> DataFrame | None:
-        """(*key, change[, old, new]) against the snapshot before; None for the first one.
-
-        fetch(old_snapshot) gives the old full snapshot; it is joined for changed keys only.
-        """
-        was, version = self.current(), f"v-{uuid.uuid4().hex}"
-        self._entries(new).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}")
-        changes = None
-        if was:
-            old = self.spark.read.parquet(f"{self.path}/{was['version']}").withColumnRenamed("fp", "old_fp")
-            now = self.spark.read.parquet(f"{self.path}/{version}").withColumnRenamed("fp", "new_fp")
-            change = F.when(F.col("old_fp").isNull(), "added").when(F.col("new_fp").isNull(), "removed").when(F.col("old_fp") != F.col("new_fp"), "changed")
-            changes = old.join(now, ["bucket", *self.key], "full_outer").withColumn("change", change).dropna(subset=["change"]).select(*self.key, "change")
-            if fetch:
-                side = lambda d, n: d.groupBy(*self.key).agg(F.max(F.struct(*self.values)).alias(n))
-                touched = changes.select(*self.key)
-                olds = side(fetch(was["snapshot"]).join(touched, self.key, "left_semi"), "old")
-                news = side(new.join(touched, self.key, "left_semi"), "new")
-                changes = changes.join(olds, self.key, "left").join(news, self.key, "left")
-        self._swap(version, snapshot)
-        return changes
-
-
 def latest_valid(df: DataFrame, *, group: str, key: str, snapshot: str, version: str, values: Sequence[str]) -> DataFrame:
     """(group, key, *values) of each key's valid row in its group's latest snapshot.
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+from hexloom.files import shared_folder
 from hexloom.functions.geo import box_around, circle, haversine_m
 from hexloom.functions.text import first_filled, normalize
 from hexloom.operators.dedup import near_pairs
@@ -18,20 +16,10 @@ from hexloom.sources import readers, sinks
 from hexloom.streaming.snapshots import arrivals, ingest, ingested
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the place all executors share; a temporary one only on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="hexloom-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT source, snapshot, count(*) AS n FROM places GROUP BY 1, 2")
 def snapshot_archive(spark: SparkSession, d: str) -> DataFrame:
     """SNK-01, SNK-03, SRC-01: written as key=value folders and read back with partition discovery"""
-    base = _shared(spark, "archive")
+    base = shared_folder(spark, "archive")
     sinks.write_facts(table(spark, d, "places").select("source", "snapshot", "place_id", "name", "category"), base, by=("source", "snapshot"), sort="place_id")
     back = spark.read.option("basePath", base).parquet(base)
     return back.groupBy(F.col("source").cast("string").alias("source"), F.col("snapshot").cast("string").alias("snapshot")).agg(F.count("*").alias("n"))
@@ -40,7 +28,7 @@ def snapshot_archive(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT strftime(ts, '%Y-%m') AS \"month\", event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_snapshot_counts(spark: SparkSession, d: str) -> DataFrame:
     """STM-01, STM-02: all that has arrived, each file once, exactly as often as it came"""
-    at = _shared(spark, "stream")
+    at = shared_folder(spark, "stream")
     stream = arrivals(spark, f"{d}/events.parquet", table(spark, d, "events").schema)
     stream = stream.select(F.date_format("ts", "yyyy-MM").alias("month"), "event_type", "event_id")
     ingest(stream, f"{at}/out", f"{at}/checkpoint", key="month").awaitTermination()

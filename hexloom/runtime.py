@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexloom.files import temporary_folder
+
 # Most driver-side rows of a dimension that is small by nature (snapshots of a
 # feed, schema paths, fixed query areas). Beyond it `bounded_collect` returns
 # None and callers take their distributed way.
@@ -41,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="hexloom-"))
+        sc.setCheckpointDir(named or temporary_folder())
     return df.checkpoint()
 
 

@@ -2,40 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _path(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _path(spark, path)
-    return fs.exists(p)
-
-
-def write_json(spark: SparkSession, path: str, content: dict) -> None:
-    """A small file, whole or not at all: written beside and moved into place."""
-    fs, p = _path(spark, path)
-    _, tmp = _path(spark, path + ".tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps(content, ensure_ascii=False, sort_keys=True).encode()))
-    out.close()
-    fs.delete(p, False)
-    fs.rename(tmp, p)
-
-
-def read_json(spark: SparkSession, path: str) -> dict:
-    fs, p = _path(spark, path)  # not spark.read: it passes over names that begin with _
-    f = fs.open(p)
-    try:
-        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(f, "UTF-8"))
-    finally:
-        f.close()
+from hexloom.files import exists, read_json, write_json
 
 
 def archive_snapshot(df: DataFrame, base: str, source: str, snapshot: str, least_rows: int = 0) -> dict:

@@ -89,15 +89,68 @@ def test_values_are_fetched_for_changes_only(spark):
     assert [(r.place_id, r.old.name, r.new.name) for r in got] == [(1, "a", "b")]
 
 
+def index_at(spark, tmp_path):
+    return SnapshotIndex(spark, f"file://{tmp_path}/index", group="source", key=["place_id"], snapshot="snapshot", version="delivered_at", text=[F.col("name")], coords=["lat"], buckets=3)
+
+
+SNAPS = {
+    "s1": [row("o", 1, "s1"), row("o", 2, "s1"), row("o", 2, "s1"), row("o", None, "s1"), row("f", 7, "s1")],
+    "s2": [row("o", 1, "s2", name="y"), row("o", 3, "s2"), row("o", 4, "s2", lat=1.0)],
+    "s3": [row("o", 1, "s3", name="y"), row("o", 3, "s3", name="z"), row("o", 4, "s3", lat=1.5)],
+}
+
+
+def listed(df):
+    return sorted((r.source, r.place_id, r.snapshot, r.before, r.change) for r in df.collect())
+
+
 def test_index_swaps(spark, tmp_path):
-    index = SnapshotIndex(spark, f"file://{tmp_path}/index", ["id"], ["v"], buckets=4)
-    snaps = {"a": [(1, "x"), (2, "x"), (2, "x"), (None, "q")], "b": [(1, "y"), (3, None)], "c": [(1, "y"), (3, "z")]}
-    df = lambda s: spark.createDataFrame(snaps[s], "id long, v string")
-    assert index.advance(df("a"), "a") is None
-    got = index.advance(df("b"), "b", fetch=df).collect()
-    assert sorted((r.id, r.change, r.old and r.old.v, r.new and r.new.v) for r in got) == [(1, "changed", "x", "y"), (2, "removed", "x", None), (3, "added", None, None)]
-    assert [(r.id, r.change) for r in index.advance(df("c"), "c").collect()] == [(3, "changed")]
-    assert index.current()["snapshot"] == "c"
+    """Delivered one by one or together, the changes are the same, and so is the index."""
+    df = lambda *names: spark.createDataFrame([r for n in names for r in SNAPS[n]], SCHEMA)
+    want = [("o", 1, "s2", "s1", "changed"), ("o", 2, "s2", "s1", "removed"), ("o", 3, "s2", "s1", "added"), ("o", 3, "s3", "s2", "changed"), ("o", 4, "s2", "s1", "added"), ("o", 4, "s3", "s2", "changed")]
+    one, all_ = index_at(spark, tmp_path / "a"), index_at(spark, tmp_path / "b")
+    assert one.current() is None and one.changes() is None and listed(one.advance(df("s1"))) == []
+    got = listed(one.advance(df("s2"), old=df("s1"))) + listed(one.advance(df("s3"), old=df("s2")))
+    assert sorted(got) == listed(all_.advance(df("s1", "s2", "s3"))) == want
+    held = lambda i: sorted(map(tuple, i._read("index", i.current()["version"]).collect()))
+    assert held(one) == held(all_) and {r[0] for r in held(one)} == {"o", "f"}
+    assert listed(one.changes()) == [w for w in want if w[2] == "s3"]
+    from hexloom import files
+
+    assert len([n for n in files.folders(spark, one.path) if n.startswith("v-")]) == 2
+    with pytest.raises(ValueError, match="s2"):
+        one.advance(df("s2"))
+
+
+def test_a_run_that_dies_loses_nothing(spark, tmp_path, monkeypatch):
+    """Before the swap the old index counts; after it the changes are written."""
+    from hexloom import files
+
+    df = lambda n: spark.createDataFrame(SNAPS[n], SCHEMA)
+    index = index_at(spark, tmp_path)
+    index.advance(df("s1"))
+    was = index.current()
+    with monkeypatch.context() as m:
+        m.setattr(files, "write_json", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            index.advance(df("s2"), old=df("s1"))
+    assert index.current() == was
+    want = listed(index.advance(df("s2"), old=df("s1")))
+    with monkeypatch.context() as m:
+        m.setattr(files, "delete", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            index.advance(df("s3"), old=df("s2"))
+    assert len(want) == 4 and [w[2:] for w in listed(index.changes())] == [("s3", "s2", "changed")] * 2
+
+
+def test_pointer_is_replaced_in_one_step(spark, tmp_path):
+    from hexloom import files
+
+    at = f"file://{tmp_path}/x.json"
+    for k in (1, 2):
+        files.write_json(spark, at, {"k": k})
+        assert files.read_json(spark, at) == {"k": k}
+    assert [p.name for p in tmp_path.iterdir() if "tmp" in p.name and not p.name.startswith(".")] == []
 
 
 @pytest.mark.parametrize("bound", [0, 10])
