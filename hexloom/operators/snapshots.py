@@ -69,7 +69,7 @@ class SnapshotIndex:
     Only `text` and `coords` count for changed, `coords` beyond `tol`.
     """
 
-    def __init__(self, spark, path: str, *, group: str | None, key: Sequence[str], snapshot: str, version: str | None = None, text: Sequence[Column] = (), coords: Sequence[str] = (), tol: float = TOLERANCE_DEG, buckets: int = 64):
+    def __init__(self, spark, path: str, *, group: str | None, key: Sequence[str], snapshot: str, version: str | None = None, text: Sequence[Column] = (), coords: Sequence[str] = (), tol: float = TOLERANCE_DEG, buckets: int | None = None):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.group, self.key, self.snapshot, self.version = group, list(key), snapshot, version
         self.text, self.coords, self.tol = list(text), list(coords), tol
@@ -149,7 +149,7 @@ class SnapshotIndex:
         found = found.select(*([F.col("_g").alias(self.group)] if self.group else []), *self.key, F.col("_s").alias(self.snapshot), F.col("_b").alias("before"), "change")
         found.write.parquet(f"{self.path}/{version}/changes")
         entries = probe.filter("_last").select(*self.ids, "fp_text", "fp_geo")
-        entries.repartition(self.buckets, "_g", *self.key).sortWithinPartitions("_g", *self.key).write.parquet(f"{self.path}/{version}/index")
+        entries.repartition(*([self.buckets] if self.buckets else []), "_g", *self.key).sortWithinPartitions("_g", *self.key).write.parquet(f"{self.path}/{version}/index")
         files.write_json(self.spark, f"{self.path}/CURRENT.json", {"version": version, "before": was["version"] if was else None})
         for name in files.folders(self.spark, self.path):
             if name.startswith("v-") and name not in (version, was["version"] if was else None):
