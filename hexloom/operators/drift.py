@@ -18,6 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hexloom.operators.graph import components
+from hexloom.runtime import cut
+
 KINDS = ("string", "number", "boolean", "array")
 #: A path has the type of at least this share of its values.
 MAIN_SHARE = 0.9
@@ -132,15 +135,28 @@ def _renames(lines: DataFrame, events: DataFrame, id_path: str) -> DataFrame:
     pairs = values.groupBy("feed", "at", "id").agg(
         F.max_by("x", F.when(F.col("side") == 0, 1)).alias("o"), F.max_by("x", F.when(F.col("side") == 1, 1)).alias("n"), side(0).alias("has_o"), side(1).alias("has_n")
     ).filter("has_o and has_n")
-    pairs = pairs.select("feed", "at", "o", "n", F.explode("o.paths").alias("old_field")).select("feed", "at", "old_field", "o", "n", F.explode("n.paths").alias("field"))
-    a, b = F.try_element_at("o.v", F.col("old_field")), F.try_element_at("n.v", F.col("field"))
-    score = pairs.select("feed", "at", "old_field", "field", a.alias("a"), b.alias("b")).groupBy("feed", "at", "old_field", "field").agg(F.count_if(F.col("a") == F.col("b")).alias("same"), F.greatest(F.count("a"), F.count("b")).alias("most"))
-    score = score.withColumn("share", F.try_divide("same", "most")).filter((F.col("share") >= SAME_SHARE) & (F.col("same") >= LEAST_SAME))
+    # One row for each field and for each two fields with equal values; fields that differ are never paired.
+    one = lambda o, n: F.struct(o.cast("string").alias("old_field"), n.cast("string").alias("field"))
+    olds, news = F.map_keys("o.v"), F.map_keys("n.v")
+    equal = F.flatten(F.transform(olds, lambda o: F.transform(F.filter(news, lambda n: F.col("n.v")[n] == F.col("o.v")[o]), lambda n: one(o, n))))
+    each = F.concat(F.transform(olds, lambda o: one(o, F.lit(None))), F.transform(news, lambda n: one(F.lit(None), n)), equal)
+    tally = _cut(pairs.select("feed", "at", F.explode(each).alias("e")).groupBy("feed", "at", "e.old_field", "e.field").agg(F.count("*").alias("n")))
+    had = lambda c, other, n: tally.filter(F.col(c).isNotNull() & F.col(other).isNull()).select("feed", "at", c, F.col("n").alias(n))
+    score = tally.filter("old_field is not null and field is not null").withColumnRenamed("n", "same")
+    score = score.join(had("old_field", "field", "no"), ["feed", "at", "old_field"]).join(had("field", "old_field", "nn"), ["feed", "at", "field"])
+    score = score.withColumn("share", F.try_divide("same", F.greatest("no", "nn"))).filter((F.col("share") >= SAME_SHARE) & (F.col("same") >= LEAST_SAME))
     best = lambda mine, other: Window.partitionBy("feed", "at", mine).orderBy(F.desc("share"), F.desc("same"), other)
     score = score.withColumn("ro", F.row_number().over(best("old_field", "field"))).withColumn("rn", F.row_number().over(best("field", "old_field")))
     return score.filter("ro = 1 and rn = 1").select("feed", F.col("at").alias("snapshot"), "old_field", "field")
 
 
+def schema_history(lines: DataFrame, id_path: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fused schemas, events of paths, renames (feed, snapshot, old_field, field))."""
+    fused = _cut(fused_schemas(lines))
+    events = _cut(path_events(fused))
+    return fused, events, _cut(_renames(lines, events, id_path))
+
+
 def field_changes(lines: DataFrame, id_path: str = "id") -> DataFrame:
     """(feed, snapshot, field, old_field, change) between consecutive files of a feed.
 
@@ -151,72 +167,132 @@ def field_changes(lines: DataFrame, id_path: str = "id") -> DataFrame:
     as type. Rows with a null feed or snapshot are ignored; repeated lines change
     nothing; an empty table gives no rows.
     """
-    events = path_events(fused_schemas(lines)).transform(_cut)
-    renamed = _renames(lines, events, id_path).transform(_cut)
+    _, events, renamed = schema_history(lines, id_path)
     went = renamed.select("feed", "snapshot", F.explode(F.array(F.struct(F.col("old_field").alias("path"), F.lit("removed").alias("change")), F.struct(F.col("field").alias("path"), F.lit("added").alias("change")))).alias("x")).select("feed", "snapshot", "x.*")
     plain = events.join(went, ["feed", "snapshot", "path", "change"], "left_anti").select("feed", "snapshot", F.col("path").alias("field"), F.lit("").alias("old_field"), "change")
     return plain.unionByName(renamed.select("feed", "snapshot", "field", "old_field", F.lit("renamed").alias("change")))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    from hexloom.runtime import cut
+def appearing_alternatives(lines: DataFrame) -> DataFrame:
+    """(feed, snapshot, field, alternative, values, of): types met at a path in a file, but not in the feed's last file before it that has the path.
 
+    values of the `of` values at the path have the type. Nulls, unreadable lines and
+    empty tables as in field_changes().
+    """
+    fused = fused_schemas(lines).filter("path <> ''")
+    before = Window.partitionBy("feed", "path").orderBy("snapshot")  # one row for each file
+    total = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))
+    new = [F.when((F.col(k) > 0) & (F.lag(k).over(before) == 0), F.struct(F.lit(k).alias("alternative"), F.col(k).alias("values"))) for k in KINDS]
+    got = fused.withColumns({"of": total, "_new": F.array_compact(F.array(*new))})
+    return got.select("feed", "snapshot", F.col("path").alias("field"), F.explode("_new").alias("x"), "of").select("feed", "snapshot", "field", "x.*", "of")
+
+
+def _cut(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
-#: Canonical columns and the paths that hold them over time, in order of preference. Fixed values of the feeds.
-CANONICAL = {
-    "name": ("names.primary", "name", "title"),
-    "category": ("categories.primary", "categories.main", "taxonomy.primary", "category"),
-    "lat": ("lat", "latitude", "bbox.ymin", "bbox.miny"),
-    "lon": ("lon", "longitude", "bbox.xmin", "bbox.minx"),
-    "confidence": ("confidence", "quality.confidence", "score"),
-    "reviews": ("n_reviews", "review_count", "stats.reviews"),
-    "refreshed": ("date_refreshed", "updated", "meta.refreshed"),
-    "locality": ("locality", "address.locality", "district"),
-}
-_NUMBERS = {"lat", "lon", "confidence", "reviews"}
+#: Most fields that get columns of their own; the values of the rarest beyond stay in other_fields.
+MOST_COLUMNS = 500
+_TYPES = {"string": "string", "number": "double", "boolean": "boolean", "array": "array<string>"}
 
 
-def unified_records(lines: DataFrame, canonical_paths: dict = CANONICAL, id_path: str = "id", keep: tuple = ("raw_id", "feed", "snapshot", "line_no")) -> DataFrame:
-    """One consistent table of all lines: `keep`, rec_id, the canonical columns, other_fields.
+def lineages(fused: DataFrame, renamed: DataFrame) -> DataFrame:
+    """(path, field, string, number, boolean, array): every path with the field it belongs to and the field's counts by type.
 
-    A field whose branches disagree is converted: numbers are read from text, the
-    first entry stands for an array of one. What can't be converted stays, typed, in
-    other_fields (a JSON object by path) with all paths that are not canonical.
-    Every line gives a row; an unreadable one has null fields and other_fields.
+    Paths that a rename joins, in any feed, are one field; it bears the path that holds
+    most of its values.
     """
-    used = {p for paths in canonical_paths.values() for p in paths} | {id_path}
-
-    def convert(x: object, number: bool) -> object:
-        if isinstance(x, list) and len(x) == 1:
-            x = x[0]
-        if not number:
-            return x if isinstance(x, str) else None
-        try:
-            return None if isinstance(x, bool | list) else float(x)
-        except (TypeError, ValueError):
-            return None
+    counts = fused.filter("path <> ''").groupBy("path").agg(*(F.sum(k).alias(k) for k in KINDS))
+    ids = _cut(counts.withColumn("id", F.xxhash64("path")).withColumn("n", sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))))
+    same = components(renamed.select(F.xxhash64("old_field").alias("a"), F.xxhash64("field").alias("b")))
+    own = ids.join(same, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    fields = own.groupBy("group").agg(F.max_by("path", F.struct("n", "path")).alias("field"), *(F.sum(k).alias(k) for k in KINDS))
+    return own.select("group", "path", F.col("n").alias("path_n")).join(fields, "group").drop("group")
+
+
+def converted(x: object, kind: str) -> object:
+    """The value as another type: numbers from text, the only entry for an array of one, text from all; None where that can't be."""
+    if kind_of(x) == kind:
+        return [canonical(v) for v in x] if kind == "array" else float(x) if kind == "number" else x
+    if kind == "array":
+        return [canonical(x)]
+    if isinstance(x, list):
+        return converted(x[0], kind) if len(x) == 1 else None
+    if kind == "string":
+        return canonical(x)
+    if kind == "boolean":
+        return {"true": True, "false": False}.get(x.lower()) if isinstance(x, str) else None
+    try:
+        return None if isinstance(x, bool) else float(x)
+    except (TypeError, ValueError):
+        return None
+
+
+def column_of(path: str) -> str:
+    return path.replace(".", "_").replace("`", "_")
+
+
+def unified_records(lines: DataFrame, id_path: str = "id", keep: tuple = ("raw_id", "feed", "snapshot", "line_no"), most: int = MOST_COLUMNS) -> DataFrame:
+    """One consistent table of all lines: `keep`, rec_id, a column for each field, typed branches of those with several types, other_fields.
+
+    The columns follow from the fused schemas and the renames between files, not from a
+    list. A field's column has the type most of its values have; a value of another type
+    stands converted in it, and as it came in the branch <field>__<type>. Where a line
+    has several paths of a field, the one with more values overall gives the value and
+    the rest stay in other_fields (a JSON object by path), as do the fields beyond `most`.
+    Every line gives a row; an unreadable one has null fields and other_fields. Fields
+    whose names clash with one another or with `keep` are told apart by a number.
+    """
+    fused, _, renamed = schema_history(lines, id_path)
+    known = lineages(fused, renamed).filter(F.col("field") != id_path)
+    total = sum((F.col(k) for k in KINDS[1:]), F.col(KINDS[0]))
+    ranked = known.select("field", *KINDS).dropDuplicates(["field"]).orderBy(total.desc(), "field").limit(most)  # a table's columns: few enough for the driver
+    fields: dict[str, tuple[str, dict[str, str]]] = {}
+    names = {*keep, "rec_id", "other_fields"}
+    columns: list[tuple[str, str]] = []
+    for r in ranked.collect():
+        main = max(KINDS, key=lambda k: (r[k], -KINDS.index(k)))
+        name = base = column_of(r.field)
+        at = 2
+        while name in names:
+            name, at = f"{base}_{at}", at + 1
+        branches = {k: f"{name}__{k}" for k in KINDS if k != main and r[k]}
+        names.update([name, *branches.values()])
+        columns += [(name, main), *((c, k) for k, c in branches.items())]
+        fields[r.field] = (name, {main: name, **branches})
+    kinds = dict(columns)
+    paths = {r.path: (r.field, r.path_n) for r in known.join(F.broadcast(ranked.select("field")), "field", "left_semi").select("path", "field", "path_n").collect()} if fields else {}
 
     def unify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            cols: dict[str, list] = {c: [] for c in ["rec_id", *canonical_paths, "other_fields"]}
-            for payload in b["payload"]:
+            cols: dict[str, list] = {c: [None] * len(b) for c in ["rec_id", *kinds, "other_fields"]}
+            for i, payload in enumerate(b["payload"]):
                 x = leaves(payload)
-                other = None if x is None else {p: v for p, v in x.items() if p not in used}
-                x = x or {}
-                cols["rec_id"].append(canonical(x[id_path]) if id_path in x else None)
-                for c, paths in canonical_paths.items():
-                    got = [(p, convert(x[p], c in _NUMBERS)) for p in paths if p in x]
-                    if other is not None:
-                        other.update({p: x[p] for p, v in got if v is None})
-                    cols[c].append(next((v for _, v in got if v is not None), None))
-                cols["other_fields"].append(None if other is None else json.dumps(other, ensure_ascii=False, sort_keys=True))
+                if x is None:
+                    continue
+                other: dict[str, object] = {}
+                best: dict[str, tuple[int, str]] = {}
+                for p in x:
+                    if p in paths:
+                        field, n = paths[p]
+                        best[field] = max(best.get(field, (-1, "")), (n, p))
+                for p, v in x.items():
+                    if p == id_path:
+                        cols["rec_id"][i] = canonical(v)
+                    elif p not in paths or best[paths[p][0]][1] != p:
+                        other[p] = v
+                    else:
+                        name, branches = fields[paths[p][0]]
+                        kind = kind_of(v)
+                        cols[name][i] = converted(v, kinds[name])
+                        if branches[kind] != name:
+                            cols[branches[kind]][i] = converted(v, kind)
+                cols["other_fields"][i] = json.dumps(other, ensure_ascii=False, sort_keys=True)
             out = b[list(keep)].copy()
             for c, v in cols.items():
-                out[c] = pd.Series(v, index=out.index, dtype="float64" if c in _NUMBERS else "object")
+                out[c] = pd.Series(v, index=out.index, dtype="float64" if kinds.get(c) == "number" else "object")
             yield out
 
     types = dict(lines.dtypes)
-    schema = ", ".join([*(f"{c} {types[c]}" for c in keep), "rec_id string", *(f"{c} {'double' if c in _NUMBERS else 'string'}" for c in canonical_paths), "other_fields string"])
+    schema = ", ".join([*(f"`{c}` {types[c]}" for c in keep), "rec_id string", *(f"`{c}` {_TYPES[k]}" for c, k in columns), "other_fields string"])
     return lines.select(*keep, "payload").mapInPandas(unify, schema)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexloom.operators.drift import field_changes, unified_records
+from hexloom.operators.drift import appearing_alternatives, field_changes, unified_records
 from hexloom.operators.near import points_in_regions
 from hexloom.operators.skew import per_key, with_unit
 from hexloom.operators.snapshots import fetch_values, latest_valid, replay_changes, squeezed
@@ -108,12 +108,17 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return unified_records(table(spark, d, "raw_place_files"))
 
 
+def p5_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    """Types that appear at a path of a feed beside those it had."""
+    return appearing_alternatives(table(spark, d, "raw_place_files"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     points = latest_valid(table(spark, d, "places"), group="source", key="place_id", snapshot="snapshot", version="delivered_at", values=["lat", "lon"])
     return points_in_regions(points, table(spark, d, "near_areas"), key="place_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_reasons, p4_found, p4_cells, p4_turns, p5_found, p5_table, p7_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_reasons, p4_found, p4_cells, p4_turns, p5_found, p5_table, p5_alternatives, p7_found)}
 
 _RING = "[{'a': ring[i], 'b': ring[CASE WHEN i = 1 THEN len(ring) ELSE i - 1 END]} for i in range(1, len(ring) + 1)]"
 

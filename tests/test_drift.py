@@ -1,6 +1,6 @@
 import json
 
-from hexloom.operators.drift import canonical, field_changes, kind_of, leaves, unified_records
+from hexloom.operators.drift import appearing_alternatives, canonical, field_changes, kind_of, leaves, unified_records
 
 
 def line(i, feed, snap, x, raw=0):
@@ -45,10 +45,36 @@ def test_leaves():
     assert canonical(3) == canonical(3.0) and canonical([1, 2]) != canonical([2, 1])
 
 
-def test_unified(spark):
-    rows = [line(1, "f", "1", {"id": "a", "name": "n", "lat": "1.5", "category": ["gym"], "x": {"y": 1}}), line(2, "f", "1", {"id": 7, "names": {"primary": "m"}, "bbox": {"ymin": 2}, "score": True}), line(3, "f", "1", "{")]
-    df = spark.createDataFrame(rows, "raw_id long, feed string, source string, snapshot string, line_no long, payload string, path string")
-    got = {r.raw_id: r for r in unified_records(df).collect()}
-    assert (got[1].rec_id, got[1].name, got[1].lat, got[1].category, json.loads(got[1].other_fields)) == ("a", "n", 1.5, "gym", {"x.y": 1})
-    assert (got[2].name, got[2].lat, got[2].confidence, json.loads(got[2].other_fields)) == ("m", 2.0, None, {"score": True})
-    assert got[3].rec_id is None and got[3].other_fields is None
+LINE = "raw_id long, feed string, source string, snapshot string, line_no long, payload string, path string"
+
+
+def test_unified_follows_the_schemas(spark):
+    """New names and types are followed from the files alone; branches keep what was converted."""
+    a = file("f", "1", lambda i: {"id": f"r{i}", "shoe": f"n{i}", "size": i, "tags": ["x"], "feed": "clash"})
+    b = file("f", "2", lambda i: {"id": f"r{i}", "boot": {"name": f"n{i}"}, "size": f"{i}" if i < 11 else "odd", "tags": "y", "feed": "clash"}, 20)
+    c = file("g", "2", lambda i: {"id": i, "shoe": f"m{i}", "size": True})
+    bad = [line(90, "f", "2", "{"), line(91, "f", "2", None), line(92, "g", "2", {"id": "z", "shoe": "s", "boot": {"name": "b"}})]
+    rows = [(k, *r[1:]) for k, r in enumerate(a + b + c + bad)]
+    df = spark.createDataFrame(rows, LINE)
+    got = unified_records(df)
+    by = {(r.feed, r.snapshot, r.rec_id): r for r in got.collect()}
+    assert len(rows) == got.count() and {"shoe", "size__number", "size__boolean", "tags__array", "feed_2"} <= set(got.columns) and "boot_name" not in got.columns
+    assert dict(got.dtypes)["size"] == "string" and dict(got.dtypes)["tags"] == "string"
+    one, two, three, both = by["f", "1", "r3"], by["f", "2", "r3"], by["g", "2", "3.0"], by["g", "2", "z"]
+    assert (one.shoe, one.size, one.size__number, one.tags, one.tags__array, one.feed_2) == ("n3", "3.0", 3.0, "x", ["x"], "clash")
+    assert (two.shoe, two.size, two.size__number, two.tags, two.tags__array) == ("n3", "3", None, "y", None)
+    assert (three.shoe, three.size, three.size__boolean, json.loads(three.other_fields)) == ("m3", "true", True, {})
+    assert both.shoe == "s" and json.loads(both.other_fields) == {"boot.name": "b"}
+    assert sum(r.other_fields is None for r in by.values()) == 1
+    few = unified_records(df, most=1)
+    assert "size" not in few.columns and all(r.other_fields is None or "size" in r.other_fields or r.rec_id == "z" for r in few.collect())
+    assert unified_records(df.limit(0)).columns == ["raw_id", "feed", "snapshot", "line_no", "rec_id", "other_fields"]
+
+
+def test_alternatives(spark):
+    a = file("f", "1", lambda i: {"id": i, "v": 1.5 * i, "w": "x"})
+    b = file("f", "2", lambda i: {"id": i, "v": "odd" if i == 3 else 2.5 * i, "w": "x"})
+    c = file("f", "3", lambda i: {"id": i, "v": "odd" if i < 5 else True, "w": "x"})
+    got = sorted(map(tuple, appearing_alternatives(spark.createDataFrame(a + b + c, LINE)).collect()))
+    assert got == [("f", "2", "v", "string", 1, 12), ("f", "3", "v", "boolean", 7, 12)]
+    assert appearing_alternatives(spark.createDataFrame([], LINE)).collect() == []
