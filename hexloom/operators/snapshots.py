@@ -91,28 +91,31 @@ class SnapshotIndex:
         base = df.withColumn("_g", F.col(self.group) if self.group else F.lit("")).withColumn("_s", F.col(self.snapshot)).dropna(subset=self.ids)
         return fingerprints(base, self.text, self.coords, self.tol).select(*self.ids, *([self.version] if self.version else []), *self.coords, "fp_text", "fp_geo")
 
-    def _calendar(self, entries: DataFrame, held: DataFrame | None) -> DataFrame:
-        """(_g, _s, _n, _before, _after, _held): snapshots in order; _held: in the index."""
-        snaps = entries.select("_g", "_s").distinct().withColumn("_held", F.lit(False))
+    def _calendar(self, entries: DataFrame, held: DataFrame | None, known: Sequence | None) -> tuple[DataFrame, list | None]:
+        """(_g, _s, _n, _before, _after): snapshots in order; and those in the index, where they are few."""
+        none = self.spark.createDataFrame([], entries.select("_g", "_s").schema)
+        new = entries.select("_g", "_s").distinct() if known is None else self.spark.createDataFrame([tuple(r) for r in known], none.schema)
+        snaps = new.withColumn("_held", F.lit(False))
         if held is not None:
             snaps = snaps.unionByName(held.select("_g", "_s").distinct().withColumn("_held", F.lit(True)))
-        kinds = dict(snaps.dtypes)
+        schema = snaps.schema
         rows = bounded_collect(snaps)
         if rows is not None:  # calendar-sized, its bound checked
             last: dict = {r["_g"]: r["_s"] for r in rows if r["_held"]}
             if late := sorted({r["_s"] for r in rows if not r["_held"] and r["_g"] in last and r["_s"] <= last[r["_g"]]}):
                 raise ValueError(f"delivered after their successors: {', '.join(map(str, late))}")
-            snaps = self.spark.createDataFrame([tuple(r) for r in rows], f"_g {kinds['_g']}, _s {kinds['_s']}, _held boolean")
+            snaps = self.spark.createDataFrame([tuple(r) for r in rows], schema)
         order = Window.partitionBy("_g").orderBy("_s")
         snaps = snaps.withColumns({"_n": F.row_number().over(order), "_before": F.lag("_s").over(order), "_after": F.lead("_s").over(order)})
-        return F.broadcast(snaps) if rows is not None else snaps
+        return (F.broadcast(snaps), sorted(set(last.values()))) if rows is not None else (snaps, None)
 
-    def advance(self, new: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    def advance(self, new: DataFrame, old: DataFrame | None = None, snapshots: Sequence | None = None) -> DataFrame:
         """([group], *key, snapshot, before, change): what the snapshots in `new` change, one after the other.
 
         new: one or more full snapshots, each later than the group's last one; old: rows
         of the snapshots in the index, from which old coordinates are fetched where bins
-        differ (needed with coords only). change: added, removed or changed. The first
+        differ (needed with coords only); snapshots: the pairs of group ('' without) and
+        snapshot in `new`, where the caller knows them. change: added, removed or changed. The first
         snapshot of a group gives no rows; a gap in a record's snapshots gives removed
         and later added. Groups without new snapshots stay as they are.
 
@@ -124,7 +127,7 @@ class SnapshotIndex:
         held = self._read("index", was["version"]) if was else None
         lean = self._lean(new)
         index = valid_entries(lean, self.ids, self.version)
-        snaps = self._calendar(lean, held)
+        snaps, olds = self._calendar(lean, held, snapshots)
         index = (index if held is None else index.unionByName(held)).join(snaps, ["_g", "_s"])
         # All snapshots of a key lie in its bucket: one shuffle of entries probes every consecutive pair.
         bucket = Window.partitionBy("_g", *self.key).orderBy("_n")
@@ -145,7 +148,10 @@ class SnapshotIndex:
         probe = cut(probe.select(*self.ids, "fp_text", "fp_geo", last.alias("_last"), events.alias("_e")).filter("_last or size(_e) > 0"))
         found = probe.select("_g", *self.key, F.explode("_e").alias("_e")).select("_g", *self.key, "_e.*")
         if self.coords:
-            found = found.filter("change <> 'moved?'").unionByName(self._moved(found.filter("change = 'moved?'"), lean if old is None else lean.unionByName(self._lean(old))))
+            if old is not None and olds is not None:
+                old = old.filter(F.col(self.snapshot).isin(olds))
+            rows = lean if old is None else lean.unionByName(self._lean(old))
+            found = found.filter("change <> 'moved?'").unionByName(self._moved(found.filter("change = 'moved?'"), rows))
         found = found.select(*([F.col("_g").alias(self.group)] if self.group else []), *self.key, F.col("_s").alias(self.snapshot), F.col("_b").alias("before"), "change")
         found.write.parquet(f"{self.path}/{version}/changes")
         entries = probe.filter("_last").select(*self.ids, "fp_text", "fp_geo")
@@ -178,15 +184,21 @@ def replay_changes(df: DataFrame, *, group: str | None, key: Sequence[str], snap
     """
     index = SnapshotIndex(df.sparkSession, files.shared_folder(df.sparkSession, "index"), group=group, key=key, snapshot=snapshot, **how)
     g = F.col(group) if group else F.lit("")
-    last = bounded_collect(df.dropna(subset=[snapshot]).groupBy(g.alias("g")).agg(F.max(snapshot).alias("s"), F.min(snapshot).alias("f")).dropna())
-    many = [(r.g, r.s) for r in last or [] if r.s != r.f]
-    if not many:
+    pairs = bounded_collect(df.select(g.alias("g"), F.col(snapshot).alias("s")).dropna().distinct())
+    if pairs is None:
         return index.advance(df)
+    of: dict = {}
+    for r in pairs:
+        of.setdefault(r.g, []).append(r.s)
+    latest = {(k, max(v)) for k, v in of.items() if len(v) > 1}
+    if not latest:
+        return index.advance(df, snapshots=pairs)
     # Literals, so that the scan skips what is not delivered.
-    is_last = F.concat_ws("\x1f", g, snapshot).isin([f"{a}\x1f{b}" for a, b in many]) & F.col(snapshot).isin(sorted({b for _, b in many}))
+    is_last = F.concat_ws("\x1f", g, snapshot).isin(sorted(f"{a}\x1f{b}" for a, b in latest)) & F.col(snapshot).isin(sorted({b for _, b in latest}))
     backlog = df.filter(~is_last)
-    before = index.advance(backlog)
-    return before.unionByName(index.advance(df.filter(is_last), old=backlog))
+    before = index.advance(backlog, snapshots=[r for r in pairs if tuple(r) not in latest])
+    # The first changes are read again where they were written: a second delivery keeps the version before.
+    return before.unionByName(index.advance(df.filter(is_last), old=backlog, snapshots=sorted(latest)))
 
 
 def fetch_values(changes: DataFrame, df: DataFrame, *, group: str | None, key: Sequence[str], snapshot: str, version: str | None, values: Sequence[str]) -> DataFrame:
