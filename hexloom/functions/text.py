@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -11,35 +12,72 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-# Arabic letters and their Latin stand-ins, one character each.
-_FROM = "ابتجحدرزسصضطفقكلمنهويةىأإآؤئ"
-_TO = "abtghdrzssdtfqklmnhwyaaaaawy"
-# Words that say what a place is, not which.
-STOP = ("restaurant", "cafe", "coffee", "pharmacy", "grocery", "market", "bakery", "pizza", "school", "clinic", "salon", "gym", "bank", "fashion", "real", "estate", "auto", "service", "the", "el", "al")
+# Letters and their Latin stand-ins of one character. Hamza, alef, tatweel and vowel marks have none.
+_FROM = "بتجحدرزسصضطظغفقكلمنهويئپڤگ٠١٢٣٤٥٦٧٨٩àáâãäåāçćčèéêëēìíîïīñńòóôõöøōśšùúûüūýÿźż" + "ءاأإآىـًٌٍَُِّْ"
+_TO = "btjhdrzssdtzgfqklmnhwyypvg0123456789aaaaaaaccceeeeeiiiiinnooooooossuuuuuyyzz"
+# Letters that two or three Latin ones stand for.
+_LONG = {"ث": "th", "خ": "kh", "ذ": "dh", "ش": "sh", "چ": "ch", "ؤ": "w", "ß": "ss", "æ": "ae", "œ": "oe"}
+# Words that say what a place is or where, not which; also as consonants.
+GENERIC = """
+design designs studio studios marketing agency agencies mall store stores shop shops boutique group company co corp holding holdings center centre
+services service solutions systems trading international intl restaurant cafe coffee bakery pharmacy clinic clinics hospital school academy gym fitness
+salon spa office offices branch the and for of el al new grand royal golden city plaza tower towers dr prof eng
+egypt cairo giza alexandria maadi zayed sheikh downtown katameya tagamoa zamalek heliopolis nasr smouha roushdy sporting karmouz bacos imbaba
+landscape decor rent car parking express
+mtm qhw qhwh qhwt shrk mhl mrkz msr lqhr lskndry lmdy lmdyy lm dy sh shr shrl dwn twn mwl lshykh zyd
+""".split()
+_GENERIC = frozenset(GENERIC)
+#: Names as alike as BAR are held to what is left without generic words: that must be as alike as OWN.
+BAR, OWN, STRICT = 0.72, 0.62, 0.9
+_RUN = r"[A-Za-z0-9][A-Za-z0-9\s&'\-]*|[؀-ۿ][؀-ۿ\s]*"
 
 
 def normalize(c: Column) -> Column:
     """Latin letters, lower case, anything but a-z, 0-9 and blanks a blank, blanks reduced, trimmed."""
     latin = F.translate(F.lower(c), _FROM, _TO)
+    for letter, stands in _LONG.items():
+        latin = F.replace(latin, F.lit(letter), F.lit(stands))
     return F.trim(F.regexp_replace(F.regexp_replace(latin, "[^a-z0-9 ]", " "), " +", " "))
 
 
+def sql_normalize(c: str) -> str:
+    latin = f"translate(lower({c}), '{_FROM}', '{_TO}')"
+    for letter, stands in _LONG.items():
+        latin = f"replace({latin}, '{letter}', '{stands}')"
+    return f"trim(regexp_replace(regexp_replace({latin}, '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+
+
+_SINGLE = str.maketrans(_FROM[: len(_TO)], _TO, _FROM[len(_TO) :]) | {ord(k): v for k, v in _LONG.items()}
+
+
+@lru_cache(200_000)
+def normal(x: str) -> str:
+    """normalize() of one text."""
+    return " ".join(re.sub("[^a-z0-9 ]", " ", x.lower().translate(_SINGLE)).split())
+
+
 def skeleton(c: Column) -> Column:
     """Consonants and digits of a normalised name."""
     return F.regexp_replace(c, r"[aeiou\s]", "")
 
 
 def variants(c: Column) -> Column:
-    """Distinct spellings in one field: the parts between bars, and runs of four or more Latin or Arabic letters."""
+    """Distinct spellings in one field: the parts between bars, and in them runs of one script that have at least four characters."""
     parts = F.transform(F.split(c, r"\|"), lambda x: F.trim(x))
-    runs = F.transform(F.regexp_extract_all(c, F.lit(r"([A-Za-z][A-Za-z ]{3,}|[؀-ۿ][؀-ۿ ]{3,})"), 1), lambda x: F.trim(x))
+    runs = F.flatten(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(f"({_RUN})"), 1)))
+    runs = F.filter(F.transform(runs, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: F.length(x) >= 4)
     return F.array_distinct(F.filter(F.concat(parts, runs), lambda x: x != ""))
 
 
+def spellings(c: Column) -> Column:
+    """The normalised variants of a name between bars; '' where nothing is left. What tells two names apart for likeness()."""
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(variants(c), normalize), lambda x: x != ""))), "|")
+
+
 def strip_generic(c: Column) -> Column:
-    """Words of a normalised name without stop words and single letters; the name itself if nothing is left."""
-    kept = F.filter(F.split(c, " "), lambda w: (F.length(w) > 1) & ~w.isin(list(STOP)))
-    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(c)
+    """Words of a normalised name that are no generic words, nor their consonants, and have two characters; '' if none is left."""
+    kept = F.filter(F.split(c, " "), lambda w: (F.length(w) > 1) & ~w.isin(GENERIC) & ~F.regexp_replace(w, "[aeiou]", "").isin(GENERIC))
+    return F.array_join(kept, " ")
 
 
 def bigrams(c: Column) -> Column:
@@ -80,47 +118,66 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+@lru_cache(200_000)
 def _bones(x: str) -> str:
-    return "".join(c for c in x if c not in "aeiou ")
+    return re.sub("[aeiou ]", "", x)
 
 
+@lru_cache(200_000)
 def _distinct(x: str) -> str:
-    return " ".join(w for w in x.split() if len(w) > 1 and w not in STOP)
+    return " ".join(w for w in x.split() if len(w) > 1 and w not in _GENERIC and _bones(w) not in _GENERIC)
 
 
 def _window(a: str, b: str, least: int = 5) -> float:
-    """Best ratio of the shorter text with any window of its length in the longer one; 0 for short ones."""
-    a, b = sorted((a, b), key=len)
-    if len(a) < least:
-        return 0.0
-    return max(ratio(a, b[i : i + len(a)]) for i in range(len(b) - len(a) + 1))
+    """Best ratio of the texts and, if the shorter one is not too short, of it with any window of its length in the longer one."""
+    whole = ratio(a, b)
+    short, long = (b, a) if len(a) > len(b) else (a, b)
+    if len(short) < least:
+        return whole
+    return max(whole, *(ratio(short, long[i : i + len(short)]) for i in range(len(long) - len(short) + 1)))
 
 
 @lru_cache(200_000)
-def likeness(a: str, b: str) -> float:
-    """Likeness of two normalised names, 0 to 1.
+def _score(a: str, b: str) -> float:
+    return max(ratio(a, b), _window(_bones(a), _bones(b)))
+
 
-    The best of the ratios of the names, of their consonants and of a window of them;
-    held down to the distinctive words' own ratio, so that words for the kind of a
-    place alone make no match. Very short and very unequal names must agree closely.
+def _own_words_agree(a: str, b: str) -> bool:
+    """Whether two normalised names are alike in what is left without generic words.
+
+    Nothing left on either side is no evidence. Little left, or much more on one side,
+    must agree closely.
     """
+    a, b = _distinct(a), _distinct(b)
     if not a or not b:
-        return 0.0
-    full = max(ratio(a, b), ratio(_bones(a), _bones(b)), _window(_bones(a), _bones(b)))
-    da, db = _distinct(a), _distinct(b)
-    if not da and not db:
-        return full if a == b else 0.0
-    if not da or not db:
-        return 0.0
-    own = max(ratio(da, db), ratio(_bones(da), _bones(db)), _window(_bones(da), _bones(db)))
-    short, unequal = min(len(_bones(da)), len(_bones(db))) < 4, min(len(da), len(db)) < 0.5 * max(len(da), len(db))
-    if (short or unequal) and own < 0.9:
-        return 0.0
-    return full if own >= 0.62 else min(full, own)
+        return False
+    x, y = _bones(a), _bones(b)
+    few, many = sorted((len(x), len(y)))
+    if few < 4:
+        return ratio(x, y) >= STRICT
+    if few < 0.5 * many:
+        return ratio(a, b) >= STRICT
+    return max(ratio(a, b), _window(x, y)) >= OWN
+
+
+@lru_cache(200_000)
+def likeness(a: str, b: str) -> float:
+    """Likeness of two names by their spellings(), 0 to 1.
+
+    The best of any two spellings: the ratio of the names, of their consonants, or of a
+    window of them. From BAR on it counts only if two spellings that are alike are so
+    in their own words too, else it is 0: words for the kind or the place alone make no match.
+    """
+    pairs = [(x, y) for x in a.split("|") for y in b.split("|") if x and y]
+    full = max((_score(x, y) for x, y in pairs), default=0.0)
+    if full < BAR or any(_score(x, y) >= BAR and _own_words_agree(x, y) for x, y in pairs):
+        return full
+    return 0.0
 
 
 @F.pandas_udf(DoubleType())
 def name_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """likeness() of two columns of spellings(); 0 for null."""
     return pd.Series([likeness(x, y) if isinstance(x, str) and isinstance(y, str) else 0.0 for x, y in zip(a, b)])
 
 
@@ -129,7 +186,6 @@ def name_likeness(a: pd.Series, b: pd.Series) -> pd.Series:
 _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 _BIT = {x: 1 << i for i, x in enumerate(_LETTERS)}
 _HARD = sum(b for x, b in _BIT.items() if x not in "aeiou ")
-_OWN, _STRICT = 0.62, 0.9
 #: Above the rounding of the products, below any step of a ratio.
 _EPS = 1e-9
 
@@ -144,7 +200,7 @@ HELD = ["n1", "n2", "n3", "n", "nb", "d1", "d2", "d3", "d", "db"]
 
 @F.pandas_udf(StructType([StructField(k, LongType()) for k in HELD]))
 def letters(norm: pd.Series) -> pd.DataFrame:
-    """Letters that a normalised name and its distinctive words hold once, twice and three times, and their lengths with and without vowels."""
+    """Letters that a normalised spelling and its own words hold once, twice and three times, and their lengths with and without vowels."""
     rows = []
     for a in norm:
         da = _distinct(a)
@@ -152,8 +208,8 @@ def letters(norm: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=HELD)
 
 
-def may_be_alike(l: str, r: str, same: Column, least: float) -> Column:  # noqa: E741
-    """False only where likeness() is below `least` > 0. l, r: prefixes of columns of letters(), without nulls; same: the names are equal."""
+def may_be_alike(l: str, r: str, least: float) -> Column:  # noqa: E741
+    """False only where two spellings can't be what makes likeness() reach `least` > 0. l, r: prefixes of columns of letters(), without nulls."""
     l, r = ({k: F.col(f"{p}_{k}") for k in HELD} for p in (l, r))  # noqa: E741
 
     def common(p: str, size: str, of: int | None = None) -> Column:
@@ -170,9 +226,11 @@ def may_be_alike(l: str, r: str, same: Column, least: float) -> Column:  # noqa:
         # Two empty texts have the ratio 1.
         return (2 * common(p, p) >= bar * (l[p] + r[p])) | (2 * hard >= bar * both) | ((short >= 5) & (hard >= bar * short))
 
-    strict = (F.least(l["db"], r["db"]) < 4) | (F.least(l["d"], r["d"]) < 0.5 * F.greatest(l["d"], r["d"]))
-    own = F.when(strict, F.lit(_STRICT)).otherwise(F.lit(min(_OWN, least)))
-    return F.when((l["d"] == 0) | (r["d"] == 0), same).otherwise(reaches("n", F.lit(least - _EPS)) & reaches("d", own - _EPS))
+    if least < BAR:
+        return reaches("n", F.lit(least - _EPS))
+    strict = (F.least(l["db"], r["db"]) < 4) | (F.least(l["db"], r["db"]) < 0.5 * F.greatest(l["db"], r["db"]))
+    own = F.when(strict, F.lit(STRICT)).otherwise(F.lit(OWN))
+    return (l["d"] > 0) & (r["d"] > 0) & reaches("n", F.lit(BAR - _EPS)) & reaches("d", own - _EPS)
 
 
 @lru_cache(20_000)
@@ -194,27 +252,27 @@ def _subsequence(a: str, b: str) -> int:
 
 
 def _reaches(a: str, b: str, bar: float) -> bool:
-    x, y = _bones_of(a), _bones_of(b)
+    x, y = _bones(a), _bones(b)
     hard, short = _subsequence(x, y), min(len(x), len(y))
     return 2 * hard >= bar * (len(x) + len(y)) or short >= 5 and hard >= bar * short or 2 * _subsequence(a, b) >= bar * (len(a) + len(b))
 
 
-_bones_of, _distinct_of = lru_cache(50_000)(_bones), lru_cache(50_000)(_distinct)
-
-
 def _may_be_alike(a: str, b: str, least: float) -> bool:
-    da, db = _distinct_of(a), _distinct_of(b)
+    """The same for two spellings, by common subsequences."""
+    if least < BAR:
+        return _reaches(a, b, least - _EPS)
+    da, db = _distinct(a), _distinct(b)
     if not da or not db:
-        return a == b
-    strict = min(len(_bones_of(da)), len(_bones_of(db))) < 4 or min(len(da), len(db)) < 0.5 * max(len(da), len(db))
-    return _reaches(a, b, least - _EPS) and _reaches(da, db, (_STRICT if strict else min(_OWN, least)) - _EPS)
+        return False
+    few, many = sorted((len(_bones(da)), len(_bones(db))))
+    return _reaches(a, b, BAR - _EPS) and _reaches(da, db, (STRICT if few < 4 or few < 0.5 * many else OWN) - _EPS)
 
 
-def likeness_from(a: Column, b: Column, least: float) -> Column:
-    """The likeness of two normalised names where it may reach `least` > 0, else 0."""
+def likeness_from(a: Column, b: Column, x: Column, y: Column, least: float) -> Column:
+    """The likeness of two names where the spellings x and y may bring it to `least` > 0, else 0."""
 
     @F.pandas_udf(DoubleType())
-    def reached(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) if _may_be_alike(x, y, least) else 0.0 for x, y in zip(a, b)], dtype=float)
+    def reached(a: pd.Series, b: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([likeness(p, q) if _may_be_alike(v, w, least) else 0.0 for p, q, v, w in zip(a, b, x, y)], dtype=float)
 
-    return reached(a, b)
+    return reached(a, b, x, y)

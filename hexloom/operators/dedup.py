@@ -1,45 +1,62 @@
 """Records that may be one and the same: neighbours, likely duplicates, clusters, one-to-one matches.
 
 Records at one coordinate (and of one name, where names count) are one representative
-until the end, so that a crowded point costs one row. Blocks are squares at least as
-wide as the distance; a record meets the nine squares around it by an equi-join.
+until the end, so that a crowded point costs one row. Blocks are bands of latitude as
+high as the distance, cut into squares as wide as the distance there, in true metres
+at every latitude; a record meets the squares within the distance by an equi-join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hexloom.config import T
 from hexloom.functions.geo import haversine_m
-from hexloom.functions.text import HELD, letters, likeness_from, may_be_alike, normalize
+from hexloom.functions.text import HELD, letters, likeness_from, may_be_alike, spellings
 from hexloom.operators.graph import components
 from hexloom.runtime import cut
 
-#: The plane's metres are true to a few percent; blocks are wider by this.
-SLACK = 1.2
+#: Above the rounding of the plane that a band is.
+SLACK = 1.001
 
 
-#: Squares around one, with itself; HALF: of two squares one has the other.
-ROUND = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+def _reach(metres: float) -> float:
+    """Degrees of latitude within a distance."""
+    return math.degrees(metres / T.earth_m) * SLACK
 
 
-def _blocks(df: DataFrame, width: float, around: bool, offsets: Sequence = ROUND) -> DataFrame:
-    bx, by = F.floor(F.col("x") / F.lit(width)).cast("bigint"), F.floor(F.col("y") / F.lit(width)).cast("bigint")
-    df = df.withColumns({"bx": bx, "by": by})
+def _width(band: Column, step: float) -> Column:
+    """Degrees of longitude that a square of a band is wide; all of them next to a pole."""
+    far = F.least(F.lit(90.0), F.greatest(F.abs(band), F.abs(band + 1)) * step)
+    return F.least(F.lit(360.0), step / F.greatest(F.cos(F.radians(far)), F.lit(1e-9)))
+
+
+def _blocks(df: DataFrame, metres: float, around: bool, once: bool = False) -> DataFrame:
+    """df (lat, lon) with its square (by, bx), or around: a row for every square that holds points within the distance.
+
+    once: of two squares only one looks into the other; within a square both do.
+    """
+    step = _reach(metres)
+    own = F.floor(F.col("lat") / F.lit(step)).cast("bigint")
+    at = lambda lon, band: F.floor(lon / _width(band, step)).cast("bigint")
     if not around:
-        return df
-    at = F.array(*[F.struct((F.col("bx") + i).alias("bx"), (F.col("by") + j).alias("by")) for i, j in offsets])
-    return df.withColumn("_b", F.explode(at)).drop("bx", "by").select("*", "_b.bx", "_b.by").drop("_b")
+        return df.withColumn("by", own).withColumn("bx", at(F.col("lon"), F.col("by")))
+    far = F.least(F.lit(90.0), F.abs("lat") + step)
+    reach = F.least(F.lit(360.0), step / F.greatest(F.cos(F.radians(far)), F.lit(1e-9)))
+    df = df.withColumn("by", F.explode(F.sequence(own if once else own - 1, own + 1)))
+    first = at(F.col("lon") - reach, F.col("by"))
+    first = F.when(F.col("by") == own, at(F.col("lon"), F.col("by"))).otherwise(first) if once else first
+    return df.withColumn("bx", F.explode(F.sequence(first, at(F.col("lon") + reach, F.col("by")))))
 
 
 def near_pairs(left: DataFrame, right: DataFrame, metres: float, id_: str = "rep") -> DataFrame:
-    """(l_<id>, r_<id>, metres) of rows within a distance. left, right: id, lat, lon, x, y."""
-    width = metres * SLACK
+    """(l_<id>, r_<id>, metres) of rows within a distance. left, right: id, lat, lon."""
     name = lambda df, p: df.select("bx", "by", *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in ("bx", "by", "x", "y")])
-    a, b = name(_blocks(left, width, False), "l"), name(_blocks(right, width, True), "r")
+    a, b = name(_blocks(left, metres, False), "l"), name(_blocks(right, metres, True), "r")
     dist = haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))
     return a.join(b, ["bx", "by"]).withColumn("metres", dist).filter(F.col("metres") <= metres).drop("bx", "by", "l_lat", "l_lon", "r_lat", "r_lon")
 
@@ -47,12 +64,12 @@ def near_pairs(left: DataFrame, right: DataFrame, metres: float, id_: str = "rep
 def spots(places: DataFrame, by: Sequence[str]) -> DataFrame:
     """Representatives: one row for each combination of `by` and coordinate, with n and rep."""
     keys = [*by, "lat", "lon"]
-    return places.groupBy(*keys).agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("y").alias("y")).withColumn("rep", F.xxhash64(*keys))
+    return places.groupBy(*keys).agg(F.count("*").alias("n")).withColumn("rep", F.xxhash64(*keys))
 
 
 def neighbours(places: DataFrame, metres: float, across: bool) -> DataFrame:
     """(source, place_id, n_near): for every place how many others lie within a distance; across: of the other source only."""
-    reps = spots(places, ["source"]).select("source", "rep", "n", "lat", "lon", "x", "y")
+    reps = spots(places, ["source"]).select("source", "rep", "n", "lat", "lon")
     pairs = near_pairs(reps, reps, metres)
     pairs = pairs.filter(F.col("l_source") != F.col("r_source")) if across else pairs
     near = pairs.groupBy(F.col("l_rep").alias("rep")).agg(F.sum("r_n").alias("near"))
@@ -61,8 +78,31 @@ def neighbours(places: DataFrame, metres: float, across: bool) -> DataFrame:
 
 
 def named(places: DataFrame) -> DataFrame:
-    """Places with a name that leaves something, with norm."""
-    return places.withColumn("norm", normalize(F.col("name"))).filter(F.coalesce(F.length("norm"), F.lit(0)) > 0)
+    """Places with a name that leaves something, with norm: its spellings."""
+    return places.withColumn("norm", spellings(F.col("name"))).filter(F.coalesce(F.length("norm"), F.lit(0)) > 0)
+
+
+def _met(reps: DataFrame, metres: float, least: float, across: bool) -> DataFrame:
+    """Representatives near each other, by every two spellings that may make them alike; across: l of the later source."""
+    spelt = reps.withColumn("spelling", F.explode(F.split("norm", r"\|"))).withColumn("_h", letters("spelling"))
+    spelt = spelt.select("source", "rep", "norm", "spelling", "lat", "lon", *[F.coalesce(F.col("_h")[k], F.lit(0)).alias(k) for k in HELD])
+    here = _blocks(spelt, metres, False)
+    near = _blocks(spelt, metres, True, once=not across)
+    if across:
+        # A record looks for those of each later source.
+        sources = F.array(*[F.lit(r[0]) for r in reps.select("source").distinct().dropna().collect()] or [F.lit("")])  # a handful
+        near = near.withColumn("source", F.explode(F.filter(sources, lambda s: s > F.col("source"))))
+    else:
+        # Where the square met is a record's own, both see each other.
+        near = near.withColumn("own", F.col("by") == F.floor(F.col("lat") / F.lit(_reach(metres))).cast("bigint"))
+    side = lambda df, p: df.select("source", "bx", "by", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "norm", "spelling", "lat", "lon", *HELD, *(["own"] if "own" in df.columns else []))])
+    met = side(here, "l").join(side(near, "r"), ["source", "bx", "by"])
+    if not across:
+        step = _reach(metres)
+        square = F.floor(F.col("r_lon") / _width(F.col("by"), step)).cast("bigint")
+        met = met.filter((F.col("l_rep") < F.col("r_rep")) | (F.col("l_rep") != F.col("r_rep")) & ~(F.col("r_own") & (F.col("bx") == square)))
+    met = met.filter((F.abs(F.col("l_lat") - F.col("r_lat")) <= _reach(metres)) & may_be_alike("l", "r", least))
+    return met.withColumn("metres", haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
 
 
 def alike_pairs(places: DataFrame, metres: float, least: float, across: bool) -> DataFrame:
@@ -72,29 +112,13 @@ def alike_pairs(places: DataFrame, metres: float, least: float, across: bool) ->
     of that likeness fails come before the costly comparison: letters in common within
     the join, the common subsequence in front of the likeness itself.
     """
-    reps = spots(named(places), ["source", "norm"]).drop("n").withColumn("_h", letters("norm"))
-    reps = reps.select("source", "rep", "norm", "lat", "lon", "x", "y", *[F.coalesce(F.col("_h")[k], F.lit(0)).alias(k) for k in HELD])
-    width = metres * SLACK
-    # Two squares of one source meet once: from one side only.
-    near = _blocks(reps, width, True, ROUND if across else HALF)
-    if across:
-        # A record looks for those of each later source.
-        sources = F.array(*[F.lit(r[0]) for r in reps.select("source").distinct().dropna().collect()] or [F.lit("")])  # a handful
-        near = near.withColumn("source", F.explode(F.filter(sources, lambda s: s > F.col("source"))))
-    side = lambda df, p: df.select("source", "bx", "by", *[F.col(c).alias(f"{p}_{c}") for c in ("rep", "norm", "lat", "lon", "x", "y", *HELD)])
-    met = side(_blocks(reps, width, False), "l").join(side(near, "r"), ["source", "bx", "by"])
-    if not across:
-        at = lambda c: F.floor(F.col(c) / F.lit(width))
-        met = met.filter((F.col("l_rep") < F.col("r_rep")) | (F.col("bx") != at("r_x")) | (F.col("by") != at("r_y")))
-    met = met.filter((F.abs(F.col("l_x") - F.col("r_x")) <= width) & (F.abs(F.col("l_y") - F.col("r_y")) <= width))
-    met = met.filter(may_be_alike("l", "r", F.col("l_norm") == F.col("r_norm"), least))
-    met = met.withColumn("metres", haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
+    met = _met(spots(named(places), ["source", "norm"]).drop("n"), metres, least, across)
     if not across:
         turn = F.col("l_rep") > F.col("r_rep")
         swap = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(a)
-        met = met.select(*[swap(f"{p}_{c}", f"{q}_{c}") for c in ("rep", "norm") for p, q in ("lr", "rl")], "metres")
-    met = met.withColumn("likeness", likeness_from(F.col("l_norm"), F.col("r_norm"), least))
-    return met.filter(F.col("likeness") >= least).select("l_rep", "r_rep", "metres", "likeness")
+        met = met.select(*[swap(f"{p}_{c}", f"{q}_{c}") for c in ("rep", "norm", "spelling") for p, q in ("lr", "rl")], "metres")
+    met = met.withColumn("likeness", likeness_from(F.col("l_norm"), F.col("r_norm"), F.col("l_spelling"), F.col("r_spelling"), least))
+    return met.filter(F.col("likeness") >= least).groupBy("l_rep", "r_rep").agg(F.max("metres").alias("metres"), F.max("likeness").alias("likeness"))
 
 
 def _rep_of(places: DataFrame) -> DataFrame:
@@ -125,11 +149,10 @@ def clusters(places: DataFrame, metres: float) -> DataFrame:
 
     Links join representatives of a name at a coordinate; a name's records on one spot are one already.
     """
-    own = named(places).select("place_id", "norm", "lat", "lon", "x", "y")
-    reps = own.groupBy("norm", "lat", "lon").agg(F.min("place_id").alias("rep"), F.min("x").alias("x"), F.min("y").alias("y"))
-    width = metres * SLACK
-    a = _blocks(reps, width, False).select("norm", "bx", "by", F.col("rep").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
-    b = _blocks(reps, width, True).select("norm", "bx", "by", F.col("rep").alias("b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"))
+    own = named(places).select("place_id", "norm", "lat", "lon")
+    reps = own.groupBy("norm", "lat", "lon").agg(F.min("place_id").alias("rep"))
+    a = _blocks(reps, metres, False).select("norm", "bx", "by", F.col("rep").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("oa"))
+    b = _blocks(reps, metres, True).select("norm", "bx", "by", F.col("rep").alias("b"), F.col("lat").alias("lb"), F.col("lon").alias("ob"))
     edges = a.join(b, ["norm", "bx", "by"]).filter("a < b").filter(haversine_m(F.col("la"), F.col("oa"), F.col("lb"), F.col("ob")) <= metres).select("a", "b")
     comp = components(edges)
     rows = own.join(reps.select("norm", "lat", "lon", "rep"), ["norm", "lat", "lon"]).join(comp, F.col("rep") == F.col("id"), "left")

@@ -52,13 +52,13 @@ def coordinate_collapse(spark: SparkSession, d: str) -> DataFrame:
     return n.filter((F.col("n") >= T.collapse_group) & (F.col("names") >= T.collapse_group))
 
 
-@query(f"WITH {POINTS_SQL} SELECT a.source, a.place_id, count(b.place_id) AS n_near FROM pt a LEFT JOIN pt b ON a.source <> b.source AND abs(a.x - b.x) <= 48 AND abs(a.y - b.y) <= 48 AND {_HAV} <= 40 GROUP BY ALL")
+@query(f"WITH {POINTS_SQL} SELECT a.source, a.place_id, count(b.place_id) AS n_near FROM pt a LEFT JOIN pt b ON a.source <> b.source AND abs(a.lat - b.lat) <= 0.001 AND abs(a.lon - b.lon) <= 0.001 AND {_HAV} <= 40 GROUP BY ALL")
 def dup_candidates_blocked(spark: SparkSession, d: str) -> DataFrame:
     """JN-08 without names, ST-07: every place with its number of neighbours of the other source"""
     return D.neighbours(points(spark, d), T.duplicate_m, across=True)
 
 
-@query(f"WITH {POINTS_SQL} SELECT a.source, a.place_id, count(b.place_id) AS n_near FROM pt a LEFT JOIN pt b ON a.place_id <> b.place_id AND abs(a.x - b.x) <= 25 AND abs(a.y - b.y) <= 25 AND {_HAV} <= 20 GROUP BY ALL")
+@query(f"WITH {POINTS_SQL} SELECT a.source, a.place_id, count(b.place_id) AS n_near FROM pt a LEFT JOIN pt b ON a.place_id <> b.place_id AND abs(a.lat - b.lat) <= 0.0005 AND abs(a.lon - b.lon) <= 0.0005 AND {_HAV} <= 20 GROUP BY ALL")
 def grid_bucket_links(spark: SparkSession, d: str) -> DataFrame:
     """JN-11: links within 20 m by squares"""
     return D.neighbours(points(spark, d), 20.0, across=False)
@@ -76,11 +76,15 @@ def intra_source_dups(spark: SparkSession, d: str) -> DataFrame:
     return D.flagged_records(points(spark, d), T.intra_m, T.duplicate_similarity, across=False)
 
 
-_NORM = "trim(regexp_replace(regexp_replace(translate(lower(name), 'ابتجحدرزسصضطفقكلمنهويةىأإآؤئ', 'abtghdrzssdtfqklmnhwyaaaaawy'), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))"
+_NORM = X.sql_normalize("name")
+#: Variants of a name in SQL: the parts between bars, and runs of one script in them.
+_VARIANTS = """list_sort(list_distinct(list_filter(list_concat(list_transform(string_split(name, '|'), lambda x: trim(x)),
+  list_filter(list_transform(flatten(list_transform(string_split(name, '|'), lambda x: regexp_extract_all(trim(x), '[A-Za-z0-9][A-Za-z0-9\\s&''\\-]*|[؀-ۿ][؀-ۿ\\s]*'))), lambda x: trim(x)), lambda x: length(x) >= 4)), lambda x: x <> '')))"""
+_SPELT = f"array_to_string(list_sort(list_distinct(list_filter(list_transform({_VARIANTS}, lambda name: {_NORM}), lambda x: x <> ''))), '|')"
 
 
-@query(f"""WITH RECURSIVE {POINTS_SQL}, n AS (SELECT place_id, {_NORM} norm, lat, lon, x, y FROM pt), o AS (SELECT * FROM n WHERE length(norm) > 0),
-e AS (SELECT a.place_id a, b.place_id b FROM o a JOIN o b ON a.norm = b.norm AND a.place_id <> b.place_id AND abs(a.x - b.x) <= 25 AND abs(a.y - b.y) <= 25 AND {_HAV} <= 20),
+@query(f"""WITH RECURSIVE {POINTS_SQL}, n AS (SELECT place_id, {_SPELT} norm, lat, lon FROM pt WHERE name IS NOT NULL), o AS (SELECT * FROM n WHERE length(norm) > 0),
+e AS (SELECT a.place_id a, b.place_id b FROM o a JOIN o b ON a.norm = b.norm AND a.place_id <> b.place_id AND abs(a.lat - b.lat) <= 0.0005 AND abs(a.lon - b.lon) <= 0.0005 AND {_HAV} <= 20),
 reach(id, root) AS (SELECT place_id, place_id FROM o UNION SELECT e.b, reach.root FROM reach JOIN e ON e.a = reach.id)
 SELECT id AS place_id, min(root) AS cluster FROM reach GROUP BY 1""")
 def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
@@ -90,11 +94,11 @@ def dup_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def _near(spark: SparkSession, d: str, metres: float) -> DataFrame:
     p = points(spark, d)
-    side = lambda s: p.filter(F.col("source") == s).select(F.col("place_id").alias("rep"), "lat", "lon", "x", "y")
+    side = lambda s: p.filter(F.col("source") == s).select(F.col("place_id").alias("rep"), "lat", "lon")
     return D.near_pairs(side("overture"), side("fsq"), metres)
 
 
-@query(f"""WITH {POINTS_SQL}, c AS (SELECT a.place_id l_rep, b.place_id r_rep, round({_HAV}, 6) metres FROM pt a JOIN pt b ON a.source = 'overture' AND b.source = 'fsq' AND abs(a.x - b.x) <= 25 AND abs(a.y - b.y) <= 25 AND {_HAV} <= 20),
+@query(f"""WITH {POINTS_SQL}, c AS (SELECT a.place_id l_rep, b.place_id r_rep, round({_HAV}, 6) metres FROM pt a JOIN pt b ON a.source = 'overture' AND b.source = 'fsq' AND abs(a.lat - b.lat) <= 0.0005 AND abs(a.lon - b.lon) <= 0.0005 AND {_HAV} <= 20),
 k AS (SELECT *, row_number() OVER (PARTITION BY l_rep ORDER BY metres, l_rep, r_rep) x, row_number() OVER (PARTITION BY r_rep ORDER BY metres, l_rep, r_rep) y FROM c)
 SELECT l_rep AS overture_id, r_rep AS fsq_id FROM k WHERE x = 1 AND y = 1""")
 def mutual_best_round(spark: SparkSession, d: str) -> DataFrame:
@@ -122,23 +126,22 @@ def carrier_check(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("metric").agg(F.count("*").alias("parents"), F.round(share, 6).alias("carrier_share"), verdict.alias("verdict"))
 
 
-_STOPS = ", ".join(f"'{w}'" for w in X.STOP)
+_WORDS = ", ".join(f"'{w}'" for w in X.GENERIC)
 
 
-@query(f"""WITH {PLACES_SQL}, n AS (SELECT DISTINCT name, {_NORM} norm FROM vp WHERE name IS NOT NULL), k AS (SELECT *, list_filter(string_split(norm, ' '), lambda w: length(w) > 1 AND w NOT IN ({_STOPS})) kept FROM n)
-SELECT name, norm, regexp_replace(norm, '[aeiou\\s]', '', 'g') AS bones, CASE WHEN len(kept) > 0 THEN array_to_string(kept, ' ') ELSE norm END AS distinctive FROM k""")
+@query(f"""WITH {PLACES_SQL}, n AS (SELECT DISTINCT name, {_NORM} norm FROM vp WHERE name IS NOT NULL), k AS (SELECT *, list_filter(string_split(norm, ' '), lambda w: length(w) > 1 AND w NOT IN ({_WORDS}) AND regexp_replace(w, '[aeiou]', '', 'g') NOT IN ({_WORDS})) kept FROM n)
+SELECT name, norm, regexp_replace(norm, '[aeiou\\s]', '', 'g') AS bones, array_to_string(kept, ' ') AS distinctive FROM k""")
 def name_normalize(spark: SparkSession, d: str) -> DataFrame:
     """SCL-01, SCL-02, SCL-04"""
     n = valid_places(spark, d).select("name").dropna().dropDuplicates().withColumn("norm", X.normalize(F.col("name")))
     return n.select("name", "norm", X.skeleton(F.col("norm")).alias("bones"), X.strip_generic(F.col("norm")).alias("distinctive"))
 
 
-@query(f"""WITH {PLACES_SQL} SELECT DISTINCT name, len(list_distinct(list_filter(list_transform(string_split(name, '|'), lambda x: trim(x)), lambda x: x <> ''))) AS parts FROM vp WHERE name IS NOT NULL""")
+@query(f"""WITH {PLACES_SQL} SELECT DISTINCT name, array_to_string({_VARIANTS}, '|') AS variants, {_SPELT} AS spellings FROM vp WHERE name IS NOT NULL""")
 def name_parts(spark: SparkSession, d: str) -> DataFrame:
-    """SCL-03, ST-06: spellings between bars"""
+    """SCL-03, ST-06: spellings in one field, by bars and scripts, as the matchers compare them"""
     n = valid_places(spark, d).select("name").dropna().dropDuplicates()
-    parts = F.array_distinct(F.filter(F.transform(F.split("name", r"\|"), lambda x: F.trim(x)), lambda x: x != ""))
-    return n.select("name", F.size(parts).cast("bigint").alias("parts"))
+    return n.select("name", F.array_join(F.array_sort(X.variants(F.col("name"))), "|").alias("variants"), X.spellings(F.col("name")).alias("spellings"))
 
 
 @query("""WITH p AS (SELECT DISTINCT pair_id, lower(name_a) a, lower(name_b) b FROM dup_triage_sample WHERE length(name_a) > 1 AND length(name_b) > 1),
@@ -156,7 +159,7 @@ def bigram_overlap(spark: SparkSession, d: str) -> DataFrame:
 def name_similarity_eval(spark: SparkSession, d: str) -> DataFrame:
     """AG-27, SCL-05 to SCL-07: our likeness against the delivered score, by threshold"""
     p = table(spark, d, "dup_triage_sample").select("pair_id", "name_a", "name_b", "name_sim").dropna().dropDuplicates(["pair_id"])
-    p = p.withColumn("own", X.name_likeness(X.normalize(F.col("name_a")), X.normalize(F.col("name_b"))))
+    p = p.withColumn("own", X.name_likeness(X.spellings(F.col("name_a")), X.spellings(F.col("name_b"))))
     p = p.withColumn("t", F.explode(F.array(*[F.lit(v) for v in (0.6, 0.72, 0.8, 0.9)])))
     a, b = F.col("own") >= F.col("t"), F.col("name_sim") >= F.col("t")
     n = p.groupBy("t").agg(F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("only_own"), F.count_if(~a & b).alias("only_given"), F.count_if(~a & ~b).alias("neither"))

@@ -44,12 +44,12 @@ def cell_numbers(spark: SparkSession, d: str) -> DataFrame:
 _HAV = "2 * 6371000.0 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 
-@query(f"WITH {POINTS_SQL} SELECT a.source, a.place_id FROM pt a WHERE EXISTS (FROM pt b WHERE a.source <> b.source AND abs(a.x - b.x) <= 25 AND abs(a.y - b.y) <= 25 AND {_HAV} <= 20)")
+@query(f"WITH {POINTS_SQL} SELECT a.source, a.place_id FROM pt a WHERE EXISTS (FROM pt b WHERE a.source <> b.source AND abs(a.lat - b.lat) <= 0.0005 AND abs(a.lon - b.lon) <= 0.0005 AND {_HAV} <= 20)")
 def exists_match(spark: SparkSession, d: str) -> DataFrame:
     """JN-24, JN-12 by distance: marked on either side, however many partners"""
     p = points(spark, d)
-    spot = p.groupBy("source", "lat", "lon").agg(F.min("x").alias("x"), F.min("y").alias("y")).withColumn("rep", F.xxhash64("source", "lat", "lon"))
-    o, f = (spot.filter(F.col("source") == s).drop("source") for s in ("overture", "fsq"))
+    spot = p.groupBy("source", "lat", "lon").agg(F.count("*").alias("n")).withColumn("rep", F.xxhash64("source", "lat", "lon"))
+    o, f = (spot.filter(F.col("source") == s).select("rep", "lat", "lon") for s in ("overture", "fsq"))
     ends = near_pairs(o, f, 20.0).select(F.explode(F.array("l_rep", "r_rep")).alias("rep")).dropDuplicates()
     return p.withColumn("rep", F.xxhash64("source", "lat", "lon")).join(ends, "rep", "left_semi").select("source", "place_id")
 

@@ -39,9 +39,9 @@ def places(spark):
 
 
 def norm_of(spark, rows):
-    from hexloom.functions.text import normalize
+    from hexloom.functions.text import spellings
 
-    df = spark.createDataFrame([(r[1], r[2]) for r in rows], "i long, name string").select("i", normalize(F.col("name")).alias("n"))
+    df = spark.createDataFrame([(r[1], r[2]) for r in rows], "i long, name string").select("i", spellings(F.col("name")).alias("n"))
     return {r.i: r.n for r in df.collect()}
 
 
