@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from hexloom.functions import confidence as conf
 from hexloom.functions import grid
 from hexloom.operators import metrics as M
-from hexloom.operators.report import catchment, catchment_context, catchment_metrics, ring
+from hexloom.operators.report import catchment, catchment_context, ring
+from hexloom.operators.serving import in_ring
+from hexloom.plans import built_queries as built
 from hexloom.plans.base import CELLS_SQL, POINTS_SQL, POP_SQL, cells, points, populations, query
 from hexloom.runtime import table
 
-ORIGIN = (24.5, 25.0)
-K = 2
+ORIGIN, K = built.ORIGIN, built.K
 
 _COUNTS = f"{CELLS_SQL},\nm AS ({M.sql_business_counts('q, r', 'pt')})"
 
@@ -30,13 +31,6 @@ def area_business_metrics(spark: SparkSession, d: str) -> DataFrame:
     return M.business_counts(points(spark, d), ["h3_res9"])
 
 
-@query(f"WITH {CELLS_SQL} SELECT q, r, pq, pr, land_fraction, land_area_m2, governorate, builtup_pct, {M.SQL_SATURATION} saturation_class, coverage_ratio, growth_pct, population, density_distorted, (coalesce(growth_pct >= 50, false) AND land_fraction >= 0.05) population_stale FROM cell")
-def cell_dimension(spark: SparkSession, d: str) -> DataFrame:
-    """JN-01, JN-02, PRJ-07, SCL-21, SCL-23, Q-09"""
-    c = cells(spark, d)
-    return c.withColumns({"saturation_class": M.saturation(F.col("builtup_pct")), "population_stale": M.is_stale(F.col("growth_pct"), F.col("land_fraction"))})
-
-
 @query(f"""WITH {_COUNTS} SELECT q, r, metric, value, CASE WHEN land_area_m2 > 0 AND land_fraction >= 0.05 THEN round(value / (land_area_m2 / 1e6), 4) END per_land_km2,
 CASE WHEN NOT (land_area_m2 > 0 AND land_fraction >= 0.05) THEN 'too little land' END withheld FROM m JOIN cell USING (q, r) WHERE value >= 0.5""")
 def metric_density_floor(spark: SparkSession, d: str) -> DataFrame:
@@ -77,13 +71,16 @@ def parent_rollup(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("pq", "pr", "metric").agg(F.sum("value").alias("value"), F.count("*").alias("cells"), conf.weakest(F.col("confidence")).alias("confidence"))
 
 
-@query(f"""WITH {_COUNTS} SELECT q, r, metric, round(population / nullif(value, 0), 4) people_per_competitor, {conf.sql_label('least(' + conf.sql_rank('confidence') + ', 1)')} confidence
-FROM m JOIN cell USING (q, r) WHERE metric <> 'total' AND population IS NOT NULL AND value > 0""")
+@query(f"""WITH {_COUNTS}, {built.SQL_VINTAGES} SELECT q, r, 'people_per_competitor.' || metric AS metric, round(population / value, 2) AS value, {conf.sql_label('least(' + conf.sql_rank('confidence') + ', ' + conf.sql_rank('pop_confidence') + ')')} confidence,
+least(CASE WHEN overture > 0 AND fsq > 0 THEN least(od, fd) WHEN overture > 0 THEN od ELSE fd END, pop_as_of) AS as_of, least(pop_res, 9) AS native_res
+FROM m JOIN cell USING (q, r), dates WHERE metric <> 'total' AND population IS NOT NULL AND value > 0""")
 def people_per_competitor(spark: SparkSession, d: str) -> DataFrame:
-    """Q-02: a ratio without a denominator is left out; the weaker confidence counts"""
-    pts = points(spark, d)
-    m = M.business_counts(pts, ["q", "r"]).filter((F.col("metric") != "total") & (F.col("value") > 0)).join(cells(spark, d, pts), ["q", "r"]).filter(F.col("population").isNotNull())
-    return m.select("q", "r", "metric", F.round(F.col("population") / F.col("value"), 4).alias("people_per_competitor"), conf.weaker(F.col("confidence"), F.lit("single_source")).alias("confidence"))
+    """Q-02 for every cell: the weaker confidence, the older date and the coarser resolution of both; no ratio without competitors"""
+    m = built.served_metrics(spark, d).select("q", "r", "metric", "value", "confidence", "as_of", "native_res")
+    c = m.filter(F.col("metric").startswith("business_count.") & (F.col("metric") != "business_count.total") & (F.col("value") > 0))
+    p = m.filter("metric = 'population'").select("q", "r", *[F.col(x).alias(f"p_{x}") for x in ("value", "confidence", "as_of", "native_res")])
+    name = F.concat(F.lit("people_per_competitor."), F.substring_index("metric", ".", -1))
+    return c.join(p, ["q", "r"]).select("q", "r", name.alias("metric"), F.round(F.col("p_value") / F.col("value"), 2).alias("value"), conf.weaker(F.col("confidence"), F.col("p_confidence")).alias("confidence"), conf.older(F.col("as_of"), F.col("p_as_of")).alias("as_of"), conf.coarser(F.col("native_res"), F.col("p_native_res")).alias("native_res"))
 
 
 _RING = f"""{_COUNTS},
@@ -91,24 +88,15 @@ o AS (SELECT q oq, r orr FROM ({grid.sql_located(f'(SELECT {ORIGIN[0]} lat, {ORI
 ring AS (SELECT oq + da q, orr + db r FROM o, ({grid.sql_disk(K)}))"""
 
 
+def _catchment(spark: SparkSession, d: str) -> DataFrame:
+    own = ring(spark, *ORIGIN, K)
+    return catchment(own, in_ring(built.served_cells(spark, d), [tuple(r) for r in own.collect()]))
+
+
 @query(f"WITH {_RING} SELECT ring.q, ring.r, cell.land_fraction IS NOT NULL in_coverage, land_fraction, governorate FROM ring LEFT JOIN cell USING (q, r)")
 def report_cells(spark: SparkSession, d: str) -> DataFrame:
     """JN-18, FLT-13, GEO-03"""
-    return catchment(ring(spark, *ORIGIN, K), cells(spark, d)).select("q", "r", F.col("land_fraction").isNotNull().alias("in_coverage"), "land_fraction", "governorate")
-
-
-@query(f"""WITH {_RING}, rc AS (SELECT * FROM ring JOIN cell USING (q, r)),
-biz AS (SELECT DISTINCT q, r FROM m), names AS (SELECT unnest(['cafe', 'grocery', 'gym', 'pharmacy', 'restaurant', 'total']) metric)
-SELECT metric, sum(value) AS value, {conf.sql_label('coalesce(min(' + conf.sql_rank('confidence') + ') FILTER (value IS NOT NULL), 0)')} AS confidence, sum(overture)::BIGINT AS overture, sum(fsq)::BIGINT AS fsq,
-list_sort(list(agreement_ratio) FILTER (agreement_ratio IS NOT NULL))[1 + len(list(agreement_ratio) FILTER (agreement_ratio IS NOT NULL)) // 2] AS upper_median_agreement,
-count(*) AS cells_total, count(*) FILTER (value IS NULL AND NOT has) AS cells_no_data, count(*) FILTER (value IS NULL AND has) AS cells_none_present,
-count(*) FILTER (confidence = 'corroborated') AS cells_corroborated, count(*) FILTER (confidence = 'single_source') AS cells_single_source,
-round(sum(value) / (SELECT sum(land_area_m2) / 1e6 FROM rc WHERE land_fraction >= 0.05), 4) AS per_land_km2
-FROM (SELECT n.metric, rc.q, rc.r, m.value, m.confidence, m.overture, m.fsq, m.agreement_ratio, biz.q IS NOT NULL has FROM names n CROSS JOIN rc LEFT JOIN biz USING (q, r) LEFT JOIN m ON m.q = rc.q AND m.r = rc.r AND m.metric = n.metric) GROUP BY metric""")
-def report_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Q-01: JN-18, AG-11 to AG-17, AG-36"""
-    pts = points(spark, d)
-    return catchment_metrics(catchment(ring(spark, *ORIGIN, K), cells(spark, d, pts)), M.business_counts(pts, ["q", "r"]))
+    return _catchment(spark, d).select("q", "r", F.col("land_fraction").isNotNull().alias("in_coverage"), "land_fraction", "governorate")
 
 
 @query(f"""WITH {_RING} SELECT count(*) AS cells, round(sum(land_area_m2), 2) AS land_m2, count(*) * {grid.CELL_M2} AS raw_m2, round(avg(land_fraction), 6) AS mean_land_fraction, round(avg(builtup_pct), 6) AS mean_builtup_pct,
@@ -116,7 +104,7 @@ round(avg(growth_pct), 6) AS mean_growth_pct, round(avg(nullif(coverage_ratio, 0
 count(*) FILTER (builtup_pct >= 40) AS saturated, count(*) FILTER (builtup_pct < 10) AS open, count(*) FILTER (builtup_pct >= 10 AND builtup_pct < 40) AS developing FROM ring JOIN cell USING (q, r)""")
 def report_context(spark: SparkSession, d: str) -> DataFrame:
     """AG-16, AG-18"""
-    return catchment_context(catchment(ring(spark, *ORIGIN, K), cells(spark, d)))
+    return catchment_context(_catchment(spark, d))
 
 
 @query("SELECT r.radius::DOUBLE AS radius_m, arg_min(k, abs((3 * k * k + 3 * k + 1) * 105000.0 - pi() * radius * radius)) AS k FROM (SELECT unnest([0.0, 100.0, 250.0, 500.0, 1000.0, 2500.0, 5000.0]) radius) r, (SELECT unnest(range(0, 61)) k) GROUP BY 1")

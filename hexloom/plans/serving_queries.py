@@ -12,9 +12,11 @@ from hexloom.functions.text import plural, thousands
 from hexloom.functions.categories import delimited, has_group, short
 from hexloom.operators import metrics as M
 from hexloom.operators import search as S
-from hexloom.operators.report import catchment, catchment_metrics, ring
-from hexloom.plans.base import CELLS_SQL, POINTS_SQL, PLACES_SQL, cells, points, query, valid_places
-from hexloom.plans.metric_queries import K, ORIGIN
+from hexloom.operators.report import catchment, catchment_metrics, ring, ring_cells
+from hexloom.operators.serving import in_ring
+from hexloom.plans import built_queries as built
+from hexloom.plans.base import CELLS_SQL, POINTS_SQL, PLACES_SQL, points, query, valid_places
+from hexloom.plans.built_queries import K, ORIGIN
 
 SEARCH = S.Search(category="pharmacy", ranges={"population": (50.0, None), "builtup_pct": (5.0, 95.0)}, min_confidence="single_source", sort="people_per_competitor")
 OTHER = (24.5, 27.0)
@@ -22,8 +24,7 @@ HALF_EARTH = 6_371_000.0
 
 
 def _gated(spark: SparkSession, d: str) -> DataFrame:
-    pts = points(spark, d)
-    return S.gated(cells(spark, d, pts), M.business_counts(pts, ["q", "r"]), SEARCH)
+    return S.gated(built.served_cells(spark, d), built.served_counts(spark, d), SEARCH)
 
 
 _GATED = f"""WITH {CELLS_SQL},
@@ -76,7 +77,7 @@ def sort_directions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, d: str) -> DataFrame:
-    pts = points(spark, d).join(F.broadcast(ring(spark, *ORIGIN, K)), ["q", "r"])  # ring-sized
+    pts = in_ring(built.served_places(spark, d), ring_cells(spark, *ORIGIN, K))
     at = Window.partitionBy(F.round("lat", 6), F.round("lon", 6))
     dist = haversine_m(F.lit(ORIGIN[0]), F.lit(ORIGIN[1]), F.col("lat"), F.col("lon"))
     return pts.withColumns({"distance_m": F.round(dist, 3), "same_point": F.count("*").over(at)})
@@ -138,7 +139,8 @@ SELECT probe.lat::DOUBLE AS lat, probe.lon::DOUBLE AS lon, cell.q IS NOT NULL AS
 def coverage_probe(spark: SparkSession, d: str) -> DataFrame:
     """Q-07, GEO-01"""
     probe = grid.located(spark.createDataFrame([(24.5, 25.0), (24.5, 27.0), (10.0, 10.0)], "lat double, lon double"))
-    c = cells(spark, d).select("q", "r", "governorate", "land_fraction", F.lit(True).alias("covered"))
+    near = [tuple(r) for r in probe.select("q", "r").collect()]  # the points asked for
+    c = in_ring(built.served_cells(spark, d), near).select("q", "r", "governorate", "land_fraction", F.lit(True).alias("covered"))
     return c.join(F.broadcast(probe.select("lat", "lon", "q", "r")), ["q", "r"], "right").select("lat", "lon", F.coalesce("covered", F.lit(False)).alias("covered"), "governorate", "land_fraction")
 
 
@@ -152,9 +154,10 @@ CASE WHEN least(a.v, b.v) >= 10 THEN round(100 * abs(a.v - b.v) / least(a.v, b.v
 FROM (SELECT unnest(['cafe', 'grocery', 'gym', 'pharmacy', 'restaurant', 'total']) metric) n LEFT JOIN a USING (metric) LEFT JOIN b USING (metric)""")
 def compare_points(spark: SparkSession, d: str) -> DataFrame:
     """Q-08: JN-19, SCL-28; no percentage on a small base"""
-    pts = points(spark, d)
-    c, m = cells(spark, d, pts), M.business_counts(pts, ["q", "r"])
-    side = lambda o, n: catchment_metrics(catchment(ring(spark, *o, K), c), m).select("metric", F.col("value").alias(n))
+    def side(o: tuple[float, float], name: str) -> DataFrame:
+        near = ring_cells(spark, *o, K)
+        return catchment_metrics(catchment(ring(spark, *o, K), in_ring(built.served_cells(spark, d), near)), built.served_counts(spark, d, near)).select("metric", F.col("value").alias(name))
+
     both = side(ORIGIN, "value_a").join(side(OTHER, "value_b"), "metric", "full_outer")
     a, b = F.col("value_a"), F.col("value_b")
     leader = F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "level").when(a > b, "a").otherwise("b")

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hexloom.functions import grid
 from hexloom.functions.categories import SQL_GROUPS, groups_of
 from hexloom.functions.text import snapshot_date
 from hexloom.operators import series as S
-from hexloom.operators.report import ring
-from hexloom.plans.base import HISTORY_SQL, PLAUSIBLE_SQL, POINTS_SQL, history, plausible, points, query
-from hexloom.plans.metric_queries import K, ORIGIN
+from hexloom.plans.base import HISTORY_SQL, PLAUSIBLE_SQL, history, plausible, query
 from hexloom.runtime import table
 
 SERIES = ["h3_index", "metric"]
@@ -147,14 +144,3 @@ def history_fact(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "places").groupBy("source", "place_id", "snapshot").agg(at("category"), at("h3_res9")).dropna(subset=["h3_res9"])
     each = v.select("h3_res9", "source", "snapshot", F.explode(F.array_append(groups_of(F.col("source"), F.col("category")), F.lit("total"))).alias("metric"))
     return each.groupBy("h3_res9", "source", "metric", "snapshot").agg(F.count("*").alias("value"))
-
-
-@query(f"""WITH {POINTS_SQL}, o AS (SELECT q oq, r orr FROM ({grid.sql_located(f'(SELECT {ORIGIN[0]} lat, {ORIGIN[1]} lon)')})),
-area AS (SELECT DISTINCT h3_res9 h3_index FROM pt JOIN (SELECT oq + da q, orr + db r FROM o, ({grid.sql_disk(K)})) USING (q, r) WHERE h3_res9 IS NOT NULL),
-{_HITS}
-SELECT metric, snapshot_id, round(sum(value), 4) AS value, count(*) AS cells, count(*) FILTER (hit) AS flagged FROM hits JOIN area USING (h3_index) GROUP BY ALL""")
-def catchment_series(spark: SparkSession, d: str) -> DataFrame:
-    """Q-03, AG-33: summed over the catchment's cells"""
-    near = points(spark, d).join(F.broadcast(ring(spark, *ORIGIN, K)), ["q", "r"]).select(F.col("h3_res9").alias("h3_index")).dropna().dropDuplicates()
-    own = _good(spark, d).join(near, "h3_index", "left_semi")
-    return S.with_artifacts(own, SERIES, "snapshot_id", "value").groupBy("metric", "snapshot_id").agg(F.round(F.sum("value"), 4).alias("value"), F.count("*").alias("cells"), F.count_if("hit").alias("flagged"))

@@ -33,9 +33,9 @@ def write_facts(df: DataFrame, path: str, by: tuple[str, ...] = ("res", "metric"
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
-def write_sorted(df: DataFrame, path: str, key: str, files: int) -> None:
+def write_sorted(df: DataFrame, path: str, key: list[str], files: int) -> None:
     """Range-partitioned and sorted by key, so that min/max statistics find a key's row groups."""
-    df.repartitionByRange(files, key).sortWithinPartitions(key).write.mode("overwrite").parquet(path)
+    df.repartitionByRange(files, *key).sortWithinPartitions(*key).write.mode("overwrite").parquet(path)
 
 
 def write_geojson_lines(features: DataFrame, path: str, column: str = "feature") -> None:

@@ -2,9 +2,9 @@
 
 import pytest
 
-from hexloom.plans import base, coverage_queries, metric_queries, pipeline_queries, quality_queries, serving_queries, time_queries
+from hexloom.plans import base, built_queries, coverage_queries, metric_queries, pipeline_queries, quality_queries, serving_queries, time_queries
 
-_ = (coverage_queries, metric_queries, quality_queries, serving_queries, time_queries)
+_ = (built_queries, coverage_queries, metric_queries, quality_queries, serving_queries, time_queries)
 
 
 def plan(df) -> str:
@@ -37,5 +37,38 @@ def test_counts_combine_before_the_shuffle(spark, data):
     assert "partial_count" in text
 
 
-def test_ring_is_broadcast(spark, data):
-    assert "BroadcastHashJoin" in plan(base.QUERIES["places_in_catchment"](spark, data))
+def test_the_ring_reaches_the_scan(spark, data):
+    """A request reads the row groups of its ring: comparisons of q and r, or a list of areas, are pushed down."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for name in ("report_metrics", "report_context", "places_in_catchment", "compare_points", "coverage_probe"):
+        text = plan(base.QUERIES[name](spark, data))
+        for scan in text.split("FileScan")[1:]:
+            pushed = scan[scan.index("PushedFilters") :].split("\n")[0]
+            assert "GreaterThanOrEqual(r," in pushed and "LessThanOrEqual(r," in pushed, name
+        assert "FileScan" in text
+    text = plan(base.QUERIES["catchment_series"](spark, data))
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert all("In(h3_index" in scan[scan.index("PushedFilters") :].split("\n")[0] for scan in text.split("FileScan")[1:])
+
+
+def test_rows_read_follow_the_ring(spark, tmp_path):
+    """Of a large sorted table only what lies near the ring is read."""
+    from hexloom.operators.serving import in_ring
+    from hexloom.sources.sinks import write_sorted
+
+    n = 400_000
+    write_sorted(spark.range(n).selectExpr("id % 632 as q", "id div 632 as r", "id as v"), str(tmp_path / "t"), ["r", "q"], 16)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    got = in_ring(spark.read.parquet(str(tmp_path / "t")), [(100, 300), (101, 300), (100, 301)])
+    run = got._jdf.queryExecution()
+    assert run.executedPlan().executeCollectPublic() is not None
+    scans, todo = [], [run.executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            scans.append(node.metrics().apply("numOutputRows").value())
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.length())]
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert got.count() == 3 and scans and max(scans) <= n / 8
