@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hexloom.runtime import cut
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every vertex on an edge; component is the least id in it.
 
     Contraction: in every round each vertex moves to one of itself and its neighbours,
@@ -22,14 +22,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     e = cut(e.dropDuplicates())
     labels = e.select(F.explode(F.array("a", "b")).alias("id")).dropDuplicates().withColumn("label", F.col("id"))
     e = e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).dropDuplicates()
-    for k in range(rounds):
-        if e.isEmpty():
-            least = labels.groupBy("label").agg(F.min("id").alias("component"))
-            return labels.join(least, "label").select("id", "component")
+    k = 0
+    while not e.isEmpty():  # the end with the least hash of a round draws its neighbours: some edge goes in every round
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(k)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
         move = cut(both.groupBy("a").agg(F.min(rank("b")).alias("n")).select("a", F.least(rank("a"), F.col("n"))["id"].alias("m")))
         labels = cut(labels.join(move, labels["label"] == move["a"], "left").select("id", F.coalesce("m", "label").alias("label")))
         e = e.join(move.withColumnRenamed("m", "ma"), "a").join(move.select(F.col("a").alias("b"), F.col("m").alias("mb")), "b").filter("ma <> mb")
         e = cut(e.select(F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).dropDuplicates())
-    raise RuntimeError(f"components: edges left after {rounds} rounds")
+        k += 1
+    least = labels.groupBy("label").agg(F.min("id").alias("component"))
+    return labels.join(least, "label").select("id", "component")

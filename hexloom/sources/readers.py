@@ -4,32 +4,98 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from hexloom import files as shared
+
 # Where the category may be, in order of preference.
 CATEGORY_PATHS = ("categories.primary", "categories.main", "taxonomy.primary")
 # Names of a box's edges.
 BOX_FIELDS = (("xmin", "ymin", "xmax", "ymax"), ("minx", "miny", "maxx", "maxy"))
 
 
+MANIFEST = "_manifest.json"
+
+
+def published(spark: SparkSession, base: str) -> list[str]:
+    """Ids of the snapshots under `base` that are whole: their manifest is there. In order."""
+    names = [n for n in shared.folders(spark, base) if n.startswith("snapshot=")]
+    return sorted(n.split("=", 1)[1] for n in names if shared.exists(spark, f"{base}/{n}/{MANIFEST}"))
+
+
 def snapshots(spark: SparkSession, base: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """All snapshot=<id> folders under `base` as one table; the id is a text column and prunes folders."""
-    df = spark.read.option("basePath", base).parquet(f"{base}/snapshot=*")
+    """All published snapshot=<id> folders under `base` as one table; the id is a text column and prunes folders."""
+    paths = [f"{base}/snapshot={s}" for s in published(spark, base)]
+    if not paths:
+        raise FileNotFoundError(f"no published snapshot in {base}")
+    df = spark.read.option("basePath", base).parquet(*paths)
     df = df.withColumn("snapshot", F.col("snapshot").cast("string"))
     return df.select(*columns, "snapshot") if columns else df
 
 
 def latest_snapshot(spark: SparkSession, base: str) -> str | None:
-    """Greatest snapshot id by name, from the listing alone; None for no folder."""
+    """Greatest published snapshot id by name, from the listing alone; None for no folder."""
+    return max(published(spark, base), default=None)
+
+
+def scan_plan(df: DataFrame) -> dict[str, int]:
+    """Files and bytes a plan would read, after pruning of folders, without reading them."""
+    spark = df.sparkSession
     jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(root) if s.isDirectory()]
-    return max((n.split("=", 1)[1] for n in names if n.startswith("snapshot=")), default=None)
+    sizes = {}
+    for f in df.inputFiles():
+        p = jvm.org.apache.hadoop.fs.Path(f)
+        sizes[f] = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    return {"files": len(sizes), "bytes": sum(sizes.values())}
+
+
+def catalogue_scan(spark: SparkSession, base: str, box: tuple[float, float, float, float], columns: Sequence[str], lon: str = "lon", lat: str = "lat") -> tuple[DataFrame, dict[str, int]]:
+    """(rows, plan): the latest published snapshot, a box of coordinates and some columns; with what is scanned of what there is.
+
+    Comparisons reach the scan, the snapshot prunes folders, other columns are not read.
+    """
+    whole = snapshots(spark, base)
+    last = latest_snapshot(spark, base)
+    x0, y0, x1, y1 = box
+    own = whole.filter(F.col("snapshot") == last)
+    got = own.filter((F.col(lon) >= x0) & (F.col(lon) <= x1) & (F.col(lat) >= y0) & (F.col(lat) <= y1)).select(*columns)
+    plan, all_ = scan_plan(spark.read.parquet(f"{base}/snapshot={last}")), scan_plan(whole)
+    return got, {**plan, "files_of": all_["files"], "bytes_of": all_["bytes"]}
+
+
+def tiles(spark: SparkSession, glob: str, decode, schema: str) -> DataFrame:
+    """Rasters in files, one task for each file's content: decode(path, content) gives rows of `schema`.
+
+    Files that decode can't read raise; a file without pixels gives no rows.
+    """
+    raw = spark.read.format("binaryFile").load(glob).select("path", "content").repartition("path")
+
+    def rows(batches):
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                yield pd.DataFrame(list(decode(path, bytes(content))), columns=[f.split()[0] for f in schema.split(", ")])
+
+    return raw.mapInPandas(rows, schema)
+
+
+def pixel_grid(path: str, content: bytes):
+    """Rows (tile, row, col, value) of a plain-text grid: numbers in lines, blanks between them, `nan` for none."""
+    tile = path.rsplit("/", 1)[-1]
+    for r, line in enumerate(content.decode().splitlines()):
+        for c, v in enumerate(line.split()):
+            if v != "nan":
+                yield tile, r, c, float(v)
+
+
+def hex_populations(spark: SparkSession, path: str, key: str = "h3", value: str = "population") -> DataFrame:
+    """(cell, population) of a table of hexagons, from parquet or commented CSV; rows without a valid id or number are skipped."""
+    df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else commented_csv(spark, path)
+    got = parse_cells(df.withColumn(key, F.lower(F.col(key))), key)
+    number = F.expr(f"try_cast(`{value}` as double)")
+    return got.withColumn("population", number).dropna(subset=["population"]).select("cell", "population")
 
 
 def files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

@@ -80,6 +80,59 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert {r.metric: r.gap_note for r in got} == {"m": "2024-05 is missing: not published.", "n": None}
 
 
+def test_a_short_batch_is_never_seen(spark, tmp_path):
+    """Neither a batch under the floor nor one whose manifest is missing is read; a batch that runs again replaces itself."""
+    from hexloom import files
+
+    src, out, cp = (f"file://{tmp_path}/{n}" for n in ("in", "out", "cp"))
+    mk = lambda s, n: spark.range(n).select(F.lit(s).alias("snapshot"), "id").coalesce(1).write.mode("append").parquet(src)
+    run = lambda least: ingest(arrivals(spark, src, "snapshot string, id long"), out, cp, least_rows=least).awaitTermination()
+    mk("a", 5)
+    run(3)
+    mk("b", 2)
+    with pytest.raises(Exception, match="at least 3"):
+        run(3)
+    assert ingested(spark, out).count() == 5 and files.folders(spark, out) == ["batch=0"]
+    run(1)
+    assert ingested(spark, out).count() == 7
+    spark.range(9).select(F.lit("c").alias("snapshot"), "id").write.partitionBy("snapshot").parquet(f"{out}/batch=7")
+    assert ingested(spark, out).count() == 7
+    with pytest.raises(FileNotFoundError):
+        ingested(spark, src)
+
+
+def test_unfinished_snapshots_are_not_read(spark, tmp_path):
+    base = f"file://{tmp_path}/base"
+    df = spark.range(40).select("id", (F.col("id") / 10).alias("lon"), (F.col("id") / 10).alias("lat"), F.lit("x").alias("name"))
+    for s in ("1", "2"):
+        sinks.archive_snapshot(df.repartition(4, "id"), base, "src", s)
+    df.write.parquet(f"{base}/snapshot=3")  # a write that died
+    assert readers.published(spark, base) == ["1", "2"] and readers.latest_snapshot(spark, base) == "2" and readers.snapshots(spark, base).count() == 80
+    got, plan = readers.catalogue_scan(spark, base, (1.0, 1.0, 2.0, 2.0), ["id", "name"])
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() == 11 and got.columns == ["id", "name"] and plan["files"] < plan["files_of"] and 0 < plan["bytes"] < plan["bytes_of"]
+    assert "GreaterThanOrEqual(lon,1.0)" in text and "_source" not in text
+
+
+def test_tiles_and_hexagons(spark, tmp_path):
+    (tmp_path / "t1.txt").write_text("1 2\nnan 4")
+    (tmp_path / "t2.txt").write_text("")
+    got = readers.tiles(spark, f"file://{tmp_path}/t*.txt", readers.pixel_grid, "tile string, row int, col int, value double")
+    assert sorted(map(tuple, got.collect())) == [("t1.txt", 0, 0, 1.0), ("t1.txt", 0, 1, 2.0), ("t1.txt", 1, 1, 4.0)]
+    (tmp_path / "pop.csv").write_text("# note\nh3,population\n8928308280FFFFF,12.5\nxyz,3\n8928308280bffff,\n8928308280bfff1,x\n")
+    assert [tuple(r) for r in readers.hex_populations(spark, f"file://{tmp_path}/pop.csv").collect()] == [(0x8928308280FFFFF, 12.5)]
+
+
+def test_late_rows_rebuild_their_series_only(spark):
+    from hexloom.streaming.snapshots import recomputed
+
+    rows = [(k, t, float(v)) for k, vs in {"a": [10, 10, 20, 20, 20], "b": [10, 20, 20, 20, 20]}.items() for t, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    late = spark.createDataFrame([("a", 2), (None, 1)], "k string, t int")
+    got = recomputed(df, late, ["k"], lambda d: with_artifacts(d, ["k"], "t", "v")).filter("hit").collect()
+    assert [(r.k, r.t) for r in got] == [("a", 2)]
+
+
 def test_artifacts(spark):
     v = {"jump": [10, 10, 20, 20, 21, 21], "small": [2, 2, 9, 9, 9], "back": [10, 10, 30, 10, 10], "drop": [20, 20, 10, 10, 10]}
     df = spark.createDataFrame([(k, i, float(x)) for k, xs in v.items() for i, x in enumerate(xs)], "k string, t int, v double")
