@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hexloom.config import T
 from hexloom.functions.geo import haversine_m
-from hexloom.functions.text import HELD, letters, likeness_from, may_be_alike, spellings
+from hexloom.functions.text import HELD, bigrams, letters, likeness_from, may_be_alike, skeleton, spellings
 from hexloom.operators.graph import components
 from hexloom.runtime import cut
 
@@ -105,14 +105,16 @@ def _met(reps: DataFrame, metres: float, least: float, across: bool) -> DataFram
     return met.withColumn("metres", haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).filter(F.col("metres") <= metres)
 
 
-def alike_pairs(places: DataFrame, metres: float, least: float, across: bool) -> DataFrame:
+def alike_pairs(places: DataFrame, metres: float, least: float, across: bool, by: Sequence[str] = ("source", "norm")) -> DataFrame:
     """(l_rep, r_rep, metres, likeness) of representatives near each other whose names are alike; across: l of the later source.
 
+    by: columns that make a representative beside the coordinate.
+
     Every two names near each other are compared, `least` > 0. Two bounds that no pair
     of that likeness fails come before the costly comparison: letters in common within
     the join, the common subsequence in front of the likeness itself.
     """
-    met = _met(spots(named(places), ["source", "norm"]).drop("n"), metres, least, across)
+    met = _met(spots(named(places), by).drop("n"), metres, least, across)
     if not across:
         turn = F.col("l_rep") > F.col("r_rep")
         swap = lambda a, b: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(a)
@@ -144,6 +146,78 @@ def flagged_records(places: DataFrame, metres: float, least: float, across: bool
     return _rep_of(places).join(alike, "rep").select("source", "place_id", "n_alike")
 
 
+def region_pairs(places: DataFrame, region: str, metres: float, least: float) -> DataFrame:
+    """(region, pair_type, place_id_1, place_id_2, n_1, n_2, metres, likeness): likely duplicates within a region, of one source or of two.
+
+    A pair stands for the records at its two spots: n_1 of one name and place there, n_2
+    here; place_id is the least of them. Records of one name and spot are a pair of
+    themselves, with n_1 = n_2, where there are several. Names share two consonants in
+    a row. Records without a region pair with none.
+    """
+    by = ["source", "norm", "_region"]
+    own = named(places).withColumn("_region", F.col(region)).dropna(subset=["_region", "source"])
+    reps = own.groupBy(*by, "lat", "lon").agg(F.count("*").alias("n"), F.min("place_id").alias("id")).withColumn("rep", F.xxhash64(*by, "lat", "lon"))
+    grams = bigrams(skeleton(F.replace("norm", F.lit("|"), F.lit(" "))))
+    reps = cut(reps.select("rep", "source", F.col("_region").alias("region"), "n", "id", grams.alias("grams")))
+    pairs = None
+    for across in (False, True):
+        # named() is applied again to names that it left: the same spellings.
+        got = alike_pairs(own, metres, least, across, by)
+        pairs = got if pairs is None else pairs.unionByName(got)
+    for p in "lr":
+        pairs = pairs.join(reps.select(*[F.col(c).alias(f"{p}_{c}") for c in reps.columns]), f"{p}_rep")
+    pairs = pairs.filter((F.col("l_region") == F.col("r_region")) & F.arrays_overlap("l_grams", "r_grams"))
+    swap = F.col("l_id") > F.col("r_id")
+    end = lambda c, a, b: F.when(swap, F.col(f"{b}_{c}")).otherwise(F.col(f"{a}_{c}"))
+    kind = F.when(F.col("l_source") == F.col("r_source"), "intra_source").otherwise("cross_source")
+    far = pairs.select(F.col("l_region").alias(region), kind.alias("pair_type"), end("id", "l", "r").alias("place_id_1"), end("id", "r", "l").alias("place_id_2"), end("n", "l", "r").alias("n_1"), end("n", "r", "l").alias("n_2"), "metres", "likeness")
+    stacked = reps.filter("n > 1").select(F.col("region").alias(region), F.lit("intra_source").alias("pair_type"), F.col("id").alias("place_id_1"), F.col("id").alias("place_id_2"), F.col("n").alias("n_1"), F.col("n").alias("n_2"), F.lit(0.0).alias("metres"), F.lit(1.0).alias("likeness"))
+    return far.unionByName(stacked)
+
+
+def matched_by_name(places: DataFrame, left: str, right: str, area: str, least: float, excluded: DataFrame | None = None) -> DataFrame:
+    """(l_id, r_id, metres, likeness): records of two sources within an area one to one by name alone, the most alike first, then the nearest.
+
+    least > 0.9: names that alike share four consonants, or letters, in a row, or are
+    equal in what is shorter; they meet by those. excluded (name_a, name_b): pairs that
+    are known to be wrong, either way round. Records without a name, area or place are left out.
+    """
+    if least < 0.9:
+        raise ValueError("names less alike than 0.9 need not share four letters in a row")
+    own = named(places.filter(F.col("source").isin(left, right))).withColumn("_area", F.col(area)).dropna(subset=["_area", "lat", "lon"])
+    reps = own.groupBy("source", "_area", "norm", "name", "lat", "lon").agg(F.count("*").alias("n")).withColumn("rep", F.xxhash64("source", "_area", "norm", "name", "lat", "lon"))
+    # Names first: each two are compared once in an area, however many records bear them.
+    names = reps.select("source", "_area", "norm").dropDuplicates().withColumn("spelling", F.explode(F.split("norm", r"\|")))
+    runs = lambda c, k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(k)))
+    bones = skeleton(F.col("spelling"))
+    keys = F.array_distinct(F.concat(runs(bones, 4), runs(F.col("spelling"), 4)))
+    # Shorter skeletons agree as a whole, with a window or a name.
+    small = F.when(F.length(bones) < 4, F.array(bones)).otherwise(F.array().cast("array<string>"))
+    held = names.withColumn("_h", letters("spelling")).select("source", "_area", "norm", "spelling", *[F.coalesce(F.col("_h")[k], F.lit(0)).alias(k) for k in HELD], F.explode(F.array_distinct(F.concat(keys, small))).alias("key"))
+    side = lambda s, p: held.filter(F.col("source") == s).select("_area", "key", *[F.col(c).alias(f"{p}_{c}") for c in ("norm", "spelling", *HELD)])
+    met = side(left, "l").join(side(right, "r"), ["_area", "key"]).filter(may_be_alike("l", "r", least)).select("_area", "l_norm", "r_norm", "l_spelling", "r_spelling").dropDuplicates()
+    met = met.withColumn("likeness", likeness_from(F.col("l_norm"), F.col("r_norm"), F.col("l_spelling"), F.col("r_spelling"), least)).filter(F.col("likeness") > least)
+    met = cut(met.groupBy("_area", "l_norm", "r_norm").agg(F.max("likeness").alias("likeness")))
+    end = lambda s, p: reps.filter(F.col("source") == s).select("_area", *[F.col(c).alias(f"{p}_{c}") for c in ("norm", "name", "lat", "lon", "rep", "n")])
+    pairs = met.join(end(left, "l"), ["_area", "l_norm"]).join(end(right, "r"), ["_area", "r_norm"])
+    if excluded is not None:
+        wrong = excluded.select(F.explode(F.array(F.struct(F.col("name_a").alias("l_name"), F.col("name_b").alias("r_name")), F.struct(F.col("name_b").alias("l_name"), F.col("name_a").alias("r_name")))).alias("x")).select("x.*").dropDuplicates()
+        pairs = pairs.join(wrong, ["l_name", "r_name"], "left_anti")
+    pairs = pairs.withColumn("metres", haversine_m(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))).select("l_rep", "r_rep", "l_n", "r_n", "metres", "likeness")
+    got = greedy_deal(pairs, "l_rep", "r_rep", [F.desc("likeness"), "metres"], "l_n", "r_n")
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("place_id")) - 1
+    members = own.select(F.xxhash64("source", "_area", "norm", "name", "lat", "lon").alias("rep"), "place_id").select("rep", "place_id", rank.cast("bigint").alias("at"))
+    return _dealt(got, members)
+
+
+def _dealt(got: DataFrame, members: DataFrame) -> DataFrame:
+    """(l_id, r_id, metres, likeness): the records that pairs of greedy_deal() stand for. members: rep, place_id, at."""
+    got = got.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    for p in "lr":
+        got = got.withColumn("at", F.col(f"{p}_from") + F.col("_k")).join(members.select(F.col("rep").alias(f"{p}_rep"), "at", F.col("place_id").alias(f"{p}_id")), [f"{p}_rep", "at"]).drop("at")
+    return got.select("l_id", "r_id", "metres", "likeness")
+
+
 def clusters(places: DataFrame, metres: float) -> DataFrame:
     """(place_id, cluster): places of one normalised name linked within a distance; alone ones are their own cluster.
 
@@ -205,9 +279,5 @@ def matched(places: DataFrame, left: str, right: str, metres: float, least: floa
     for p in "lr":
         pairs = pairs.join(reps.select(F.col("rep").alias(f"{p}_rep"), F.col("n").alias(f"{p}_n")), f"{p}_rep")
     got = greedy_deal(pairs, "l_rep", "r_rep", [F.desc("likeness"), "metres"], "l_n", "r_n")
-    got = got.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("place_id")) - 1
-    members = _rep_of(own).select("rep", "place_id", rank.cast("bigint").alias("at"))
-    for p in "lr":
-        got = got.withColumn("at", F.col(f"{p}_from") + F.col("_k")).join(members.select(F.col("rep").alias(f"{p}_rep"), "at", F.col("place_id").alias(f"{p}_id")), [f"{p}_rep", "at"]).drop("at")
-    return got.select("l_id", "r_id", "metres", "likeness")
+    return _dealt(got, _rep_of(own).select("rep", "place_id", rank.cast("bigint").alias("at")))

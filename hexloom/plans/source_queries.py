@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 from hexloom.files import shared_folder
-from hexloom.functions.geo import box_around, circle, haversine_m
-from hexloom.functions.text import first_filled, normalize
+from hexloom.functions.geo import box_around, circle
+from hexloom.functions.text import first_filled
 from hexloom.operators.dedup import near_pairs
 from hexloom.plans.base import POINTS_SQL, points, query
 from hexloom.runtime import table
@@ -80,7 +80,7 @@ def accuracy_circles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT pair_id, band, (row_number() OVER (PARTITION BY band ORDER BY pair_id) - 1)::INT AS turn FROM (SELECT DISTINCT pair_id, band FROM dup_triage_sample)")
 def interleaving(spark: SparkSession, d: str) -> DataFrame:
-    """WN-12, SR-12: a running number in each band, by which bands are shown in turn"""
+    """WN-12: a running number in each band, by which bands are shown in turn"""
     p = table(spark, d, "dup_triage_sample").select("pair_id", "band").dropDuplicates()
     return p.withColumn("turn", F.row_number().over(Window.partitionBy("band").orderBy("pair_id")) - 1)
 
@@ -92,14 +92,6 @@ def place_labels(spark: SparkSession, d: str) -> DataFrame:
     return p.select("pair_id", F.coalesce(first_filled(F.col("name_a"), F.col("name_b"), F.col("governorate")), F.lit("?")).alias("label")).dropDuplicates()
 
 
-@query("SELECT DISTINCT pair_id, CASE WHEN source_a = source_b THEN 'intra_source' ELSE 'cross_source' END AS pair_type, CASE WHEN name_sim IS NULL THEN 'unscored' WHEN name_sim >= 0.9 THEN 'same' WHEN name_sim >= 0.72 AND distance_m <= 150 THEN 'check' ELSE 'different' END AS verification FROM dup_triage_sample")
-def verification_groups(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ-06"""
-    s = F.col("name_sim")
-    kind = F.when(s.isNull(), "unscored").when(s >= 0.9, "same").when((s >= 0.72) & (F.col("distance_m") <= 150), "check").otherwise("different")
-    return table(spark, d, "dup_triage_sample").select("pair_id", F.when(F.col("source_a") == F.col("source_b"), "intra_source").otherwise("cross_source").alias("pair_type"), kind.alias("verification")).dropDuplicates()
-
-
 @query("""WITH f AS (SELECT feed, snapshot, count(*) n, min(delivered_at) a FROM raw_place_files GROUP BY 1, 2), g AS (SELECT *, max(a) OVER (PARTITION BY feed ORDER BY snapshot ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) later, min(a) OVER (PARTITION BY feed ORDER BY snapshot ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) nxt FROM f)
 SELECT feed, snapshot, n AS lines, coalesce(a > nxt, false) AS out_of_order FROM g""")
 def late_files(spark: SparkSession, d: str) -> DataFrame:
@@ -122,17 +114,3 @@ def token_bucket(spark: SparkSession, d: str) -> DataFrame:
 
     out = e.withColumn("s", F.aggregate("at", start, step))
     return out.select("user_id", "day", F.size("at").alias("events"), F.round("s.tokens", 6).alias("tokens"), F.col("s.refused").alias("refused"))
-
-
-@query()
-def position_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Q-20, AG-10: distances between records whose normalised name stands once in each source and is the same, as quantiles; JN-14 is missing"""
-    p = points(spark, d).withColumn("norm", normalize(F.col("name"))).filter(F.length("norm") > 0)
-    # A name that stands once in each source needs no choice; others would be matched by chance.
-    one = p.groupBy("source", "norm").agg(F.count("*").alias("n"), F.max("lat").alias("lat"), F.max("lon").alias("lon")).filter("n = 1")
-    o, f = (one.filter(F.col("source") == s).select("norm", F.col("lat").alias(f"{s}_lat"), F.col("lon").alias(f"{s}_lon")) for s in ("overture", "fsq"))
-    m = o.join(f, "norm").select(haversine_m(F.col("overture_lat"), F.col("overture_lon"), F.col("fsq_lat"), F.col("fsq_lon")).alias("m"))
-    q = F.percentile("m", F.array(F.lit(0.5), F.lit(0.9), F.lit(1.0)))
-    return m.agg(F.count("*").alias("pairs"), q.alias("q")).select("pairs", *[F.round(F.col("q")[i], 3).alias(n) for i, n in enumerate(("p50_m", "p90_m", "max_m"))])
-
-

@@ -77,7 +77,7 @@ def box_weights(spark: SparkSession, d: str) -> DataFrame:
 a AS (SELECT governorate, coalesce(sum(n) FILTER (source = 'overture'), 0) o, coalesce(sum(n) FILTER (source = 'fsq'), 0) f FROM g GROUP BY 1)
 SELECT governorate, (o * f)::BIGINT AS cross_pairs, (o * (o - 1) / 2 + f * (f - 1) / 2)::BIGINT AS intra_pairs, round(o / nullif(f, 0), 6) AS ratio FROM a""")
 def pair_space(spark: SparkSession, d: str) -> DataFrame:
-    """JN-10, JN-23: how many pairs each region would have by type, counted and never made"""
+    """JN-23: how many pairs each region would have by type, counted and never made"""
     cell = table(spark, d, "h3_cell").select(F.col("h3_index").alias("h3_res9"), "governorate")
     n = valid_places(spark, d).join(cell, "h3_res9").groupBy("governorate").agg(F.count_if(F.col("source") == "overture").alias("o"), F.count_if(F.col("source") == "fsq").alias("f"))
     o, f = F.col("o"), F.col("f")

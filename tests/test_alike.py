@@ -139,3 +139,43 @@ def test_neighbours_at_every_latitude(spark, lat):
         assert {r.place_id: r.n_near for r in D.neighbours(df, 40.0, across).collect()} == want
         want = {i: sum((i, j) in near and (i + j) % 2 == across for j in range(120)) for i in range(120)}
         assert {r.place_id: r.n_alike for r in D.flagged_records(df, 40.0, 0.72, across).collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_pairs_within_a_region(spark):
+    """Of one source and of two; another region, however near, makes no pair; stacked records stand for one another."""
+    own = [("fsq", 1, "Rashidi Zumoto", 25.0, 27.0, "A"), ("fsq", 2, "Rashidi Zumotto", 25.0001, 27.0, "A"), ("overture", 3, "Rashidi Zumoto", 25.0, 27.0, "A"), ("overture", 4, "Rashidi Zumoto", 25.0, 27.0, "A"),
+           ("fsq", 5, "Rashidi Zumoto", 25.0, 27.0, "B"), ("fsq", 6, "Rashidi Zumoto", 25.0, 27.0, None), ("fsq", 7, "Falaki Motors", 25.0, 27.0, "A"), ("fsq", 8, "Rashidi Zumoto", 25.01, 27.0, "A")]
+    df = spark.createDataFrame(own, "source string, place_id long, name string, lat double, lon double, region string")
+    got = sorted((r.region, r.pair_type, r.place_id_1, r.place_id_2, r.n_1, r.n_2) for r in D.region_pairs(df, "region", 40.0, 0.72).collect())
+    assert got == [("A", "cross_source", 1, 3, 1, 2), ("A", "cross_source", 2, 3, 1, 2), ("A", "intra_source", 1, 2, 1, 1), ("A", "intra_source", 3, 3, 2, 2)]
+    assert D.region_pairs(df.limit(0), "region", 40.0, 0.72).collect() == []
+
+
+def test_matches_by_name_alone(spark):
+    """Against brute force: every two names of an area, best first, without those excluded."""
+    rnd = random.Random(9)
+    pool = [n for n in names(rnd, 40) if len(n) > 2]
+    own = [(rnd.choice(["overture", "fsq"]), i, rnd.choice(pool), 25 + rnd.random(), 27 + rnd.random(), rnd.choice(["a", "b", None])) for i in range(160)]
+    df = spark.createDataFrame(own, "source string, place_id long, name string, lat double, lon double, area string")
+    from pyspark.sql import functions as F
+
+    from hexloom.functions.text import spellings
+
+    spelt = {r.name: r.s for r in df.select("name", spellings(F.col("name")).alias("s")).distinct().collect()}
+    excluded = [(own[0][2], own[0][2])]
+    pairs = []
+    for a in own:
+        for b in own:
+            if a[0] == "overture" and b[0] == "fsq" and a[5] and a[5] == b[5] and (a[2], b[2]) not in excluded:
+                s = likeness(spelt[a[2]], spelt[b[2]])
+                if s > 0.9:
+                    pairs.append((-s, metres((0, 0, 0, *a[3:5]), (0, 0, 0, *b[3:5])), a[1], b[1]))
+    want, used = set(), set()
+    for _, _, x, y in sorted(pairs):
+        if x not in used and y not in used:
+            want.add((x, y))
+            used |= {x, y}
+    got = {(r.l_id, r.r_id) for r in D.matched_by_name(df, "overture", "fsq", "area", 0.9, spark.createDataFrame(excluded, "name_a string, name_b string")).collect()}
+    assert len(want) > 5 and got == want
+    with pytest.raises(ValueError):
+        D.matched_by_name(df, "overture", "fsq", "area", 0.5)
