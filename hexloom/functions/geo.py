@@ -77,3 +77,63 @@ def round_away(c: Column, digits: int) -> Column:
 
 def round_even(c: Column, digits: int) -> Column:
     return F.bround(c, digits)
+
+
+# The WGS84 ellipsoid and the scale of the UTM grid.
+_A, _F, _K0 = 6_378_137.0, 1 / 298.257223563, 0.9996
+
+
+def utm(lat: Column, lon: Column, zone: int) -> tuple[Column, Column]:
+    """Easting and northing in a northern UTM zone, by the third-order series; true to millimetres within the zone."""
+    n = _F / (2 - _F)
+    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    a = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    y, x = F.radians(lat), F.radians(lon - F.lit(zone * 6.0 - 183.0))
+    e = 2 * math.sqrt(n) / (1 + n)
+    t = F.sinh(F.atanh(F.sin(y)) - e * F.atanh(e * F.sin(y)))
+    xi, eta = F.atan2(t, F.cos(x)), F.atanh(F.sin(x) / F.sqrt(1 + t * t))
+    east, north = eta, xi
+    for k, v in enumerate(a, 1):
+        east = east + v * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+        north = north + v * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+    return 500_000.0 + _K0 * radius * east, _K0 * radius * north
+
+
+def mollweide_place(x: Column, y: Column, radius: float = _A) -> tuple[Column, Column]:
+    """Latitude and longitude of a point of the Mollweide plane; null outside the ellipse."""
+    s = y / F.lit(radius * math.sqrt(2))
+    theta = F.asin(s)
+    lat = F.degrees(F.asin((2 * theta + F.sin(2 * theta)) / math.pi))
+    lon = F.degrees(math.pi * x / (2 * radius * math.sqrt(2) * F.cos(theta)))
+    inside = (F.abs(s) < 1) & (F.abs(lon) <= 180)
+    return F.when(inside, lat), F.when(inside, lon)
+
+
+def line_length(line: list[tuple[float, float]]) -> float:
+    return sum(math.dist(a, b) for a, b in zip(line, line[1:]))
+
+
+def line_part(line: list[tuple[float, float]], start: float, stop: float) -> list[tuple[float, float]]:
+    """The stretch of a line from `start` to `stop` along it, its corners kept; cut at the line's ends."""
+    out: list[tuple[float, float]] = []
+    at = 0.0
+    for a, b in zip(line, line[1:]):
+        n = math.dist(a, b)
+        lo, hi = max(start - at, 0.0), min(stop - at, n)
+        if n and lo <= hi:
+            point = lambda t: (a[0] + (b[0] - a[0]) * t / n, a[1] + (b[1] - a[1]) * t / n)  # noqa: B023, E731
+            for p in (point(lo), point(hi)):
+                if not out or math.dist(out[-1], p) > 1e-9:
+                    out.append(p)
+        at += n
+    return out
+
+
+def line_buffer(line: list[tuple[float, float]], distance: float, corners: int = 16) -> list[list[tuple[float, float]]]:
+    """Rings that together hold all within a distance of a line: one for each stretch, with round ends of `corners` steps each."""
+    rings = []
+    for a, b in zip(line, line[1:]):
+        turn = math.atan2(b[1] - a[1], b[0] - a[0])
+        arc = lambda c, first: [(c[0] + distance * math.cos(first + math.pi * k / corners), c[1] + distance * math.sin(first + math.pi * k / corners)) for k in range(corners + 1)]  # noqa: B023, E731
+        rings.append(arc(b, turn - math.pi / 2) + arc(a, turn + math.pi / 2))
+    return rings

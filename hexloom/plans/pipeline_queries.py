@@ -122,16 +122,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_reasons, p4
 
 _RING = "[{'a': ring[i], 'b': ring[CASE WHEN i = 1 THEN len(ring) ELSE i - 1 END]} for i in range(1, len(ring) + 1)]"
 
-ORACLE = {
-    "p1_found": _CHANGES
-    + """,
-hs AS (SELECT snapshot_id, lag(snapshot_id) OVER w before, lead(snapshot_id) OVER w after FROM (SELECT DISTINCT snapshot_id FROM h3_metric_history) WINDOW w AS (ORDER BY snapshot_id)),
-h AS (SELECT DISTINCT h3_index, metric, snapshot_id, before, after FROM h3_metric_history JOIN hs USING (snapshot_id))
-SELECT 'places' AS tbl, source || ':' || place_id AS record_id, snapshot, change FROM ch
-UNION ALL SELECT 'h3_metric_history', h3_index || ':' || metric, snapshot_id, 'added' FROM h a WHERE before IS NOT NULL AND NOT EXISTS (FROM h b WHERE b.h3_index = a.h3_index AND b.metric = a.metric AND b.snapshot_id = a.before)
-UNION ALL SELECT 'h3_metric_history', h3_index || ':' || metric, after, 'removed' FROM h a WHERE after IS NOT NULL AND NOT EXISTS (FROM h b WHERE b.h3_index = a.h3_index AND b.metric = a.metric AND b.snapshot_id = a.after)""",
-    "p1_values": _CHANGES + " SELECT * FROM ch",
-    "p2_found": """WITH r AS (SELECT h3_index, metric, snapshot_id, arg_max(value, (written_at, value)) FILTER (value IS NOT NULL) AS value FROM h3_metric_history GROUP BY ALL),
+_SPIKES = """WITH r AS (SELECT h3_index, metric, snapshot_id, arg_max(value, (written_at, value)) FILTER (value IS NOT NULL) AS value FROM h3_metric_history GROUP BY ALL),
 f AS (SELECT *, value IS NOT NULL AND NOT isnan(value) AS known, coalesce(value < 0 OR isinf(value) OR (metric = 'builtup_pct' AND value > 100) OR (starts_with(metric, 'business_count') AND value <> floor(value)), false) AS bad FROM r),
 s AS (SELECT h3_index, metric, list(value ORDER BY snapshot_id) v, list(snapshot_id ORDER BY snapshot_id) t FROM f WHERE known AND NOT bad GROUP BY ALL),
 u AS (SELECT *, len(v) n, list_aggregate([abs(v[i + 1] - v[i]) for i in range(1, len(v)) if v[i + 1] <> v[i]], 'median') AS unit FROM s),
@@ -142,13 +133,52 @@ y AS (SELECT * FROM x WHERE sg * (v[a] - lo) > 10 * unit AND sg * (v[a] - hi) >
   AND NOT (sg * (v[a - 1] - lo) > 10 * unit AND sg * (v[a - 1] - hi) > 10 * unit) AND NOT (sg * (v[b + 1] - lo) > 10 * unit AND sg * (v[b + 1] - hi) > 10 * unit)),
 p AS (SELECT h3_index, metric, t[i] snapshot_id, v[i] AS value, i, n, i - row_number() OVER (PARTITION BY h3_index, metric, v[i] ORDER BY i) AS island FROM (SELECT *, unnest(range(1, n + 1)) i FROM u WHERE metric IN ('population', 'builtup_pct'))),
 g AS (SELECT *, count(*) OVER (PARTITION BY h3_index, metric, value, island) len, min(i) OVER (PARTITION BY h3_index, metric, value, island) st FROM p),
-q AS (SELECT h3_index, metric, sum(len - 1) same FROM (SELECT DISTINCT h3_index, metric, value, island, len FROM g) GROUP BY ALL)
+q AS (SELECT h3_index, metric, sum(len - 1) same FROM (SELECT DISTINCT h3_index, metric, value, island, len FROM g) GROUP BY ALL)"""
+
+_LEAVES = """ok AS (SELECT raw_id, feed, snapshot, payload::JSON p FROM raw_place_files WHERE feed IS NOT NULL AND snapshot IS NOT NULL AND json_valid(payload) AND json_type(payload) = 'OBJECT'),
+lv AS (SELECT raw_id, feed, snapshot, substr(t.fullkey, 3) path, CASE t.type WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' ELSE 'number' END kind, t.value v FROM ok, json_tree(ok.p) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND NOT contains(t.fullkey, '[')),
+fl AS (SELECT feed, snapshot, row_number() OVER w n, lag(snapshot) OVER w AS before, lead(snapshot) OVER w AS after FROM (SELECT DISTINCT feed, snapshot FROM raw_place_files WHERE feed IS NOT NULL AND snapshot IS NOT NULL) WINDOW w AS (PARTITION BY feed ORDER BY snapshot)),
+ct AS (SELECT feed, snapshot, path, count(*) n_all, count(*) FILTER (kind = 'string') ns, count(*) FILTER (kind = 'number') nn, count(*) FILTER (kind = 'boolean') nb, count(*) FILTER (kind = 'array') na FROM lv GROUP BY 1, 2, 3)"""
+_EVENTS = f"""{_LEAVES},
+ats AS (SELECT c.feed, c.snapshot, c.path, f.n, f.before, f.after, CASE WHEN ns >= 0.9 * n_all THEN 'string' WHEN nn >= 0.9 * n_all THEN 'number' WHEN nb >= 0.9 * n_all THEN 'boolean' WHEN na >= 0.9 * n_all THEN 'array' END kind FROM ct c JOIN fl f USING (feed, snapshot)),
+aw AS (SELECT *, coalesce(lag(n) OVER w = n - 1, false) met, lag(kind) OVER w pk, coalesce(lead(n) OVER w = n + 1, false) stays FROM ats WINDOW w AS (PARTITION BY feed, path ORDER BY n)),
+ev AS (SELECT feed, snapshot, before, path, 'added' change FROM aw WHERE before IS NOT NULL AND NOT met UNION ALL SELECT feed, snapshot, before, path, 'type' FROM aw WHERE met AND kind <> pk UNION ALL SELECT feed, after, snapshot, path, 'removed' FROM aw WHERE after IS NOT NULL AND NOT stays),
+rec AS (SELECT lv.feed, lv.snapshot, i.v AS id, lv.path, max(lv.kind || ':' || CASE WHEN lv.kind = 'number' THEN (lv.v::VARCHAR::DOUBLE)::VARCHAR ELSE lv.v::VARCHAR END) val FROM lv JOIN (SELECT raw_id, v::VARCHAR v FROM lv WHERE path = 'id') i USING (raw_id) GROUP BY 1, 2, 3, 4),
+ids AS (SELECT DISTINCT feed, snapshot, id FROM rec),
+steps AS (SELECT DISTINCT feed, snapshot, before FROM ev),
+pair AS (SELECT s.feed, s.snapshot, s.before, a.id FROM steps s JOIN ids a ON a.feed = s.feed AND a.snapshot = s.snapshot JOIN ids b ON b.feed = s.feed AND b.snapshot = s.before AND b.id = a.id),
+olds AS (SELECT b.feed, b.snapshot, b.id, r.path, r.val FROM pair b JOIN ev e ON e.feed = b.feed AND e.snapshot = b.snapshot AND e.change = 'removed' JOIN rec r ON r.feed = b.feed AND r.snapshot = b.before AND r.id = b.id AND r.path = e.path),
+news AS (SELECT b.feed, b.snapshot, b.id, r.path, r.val FROM pair b JOIN ev e ON e.feed = b.feed AND e.snapshot = b.snapshot AND e.change = 'added' JOIN rec r ON r.feed = b.feed AND r.snapshot = b.snapshot AND r.id = b.id AND r.path = e.path),
+sm AS (SELECT o.feed, o.snapshot, o.path old_field, n.path field, count(*) same FROM olds o JOIN news n ON o.feed = n.feed AND o.snapshot = n.snapshot AND o.id = n.id AND o.val = n.val GROUP BY 1, 2, 3, 4),
+sc AS (SELECT sm.*, same / greatest(no, nn)::DOUBLE share FROM sm JOIN (SELECT feed, snapshot, path old_field, count(*) no FROM olds GROUP BY 1, 2, 3) USING (feed, snapshot, old_field) JOIN (SELECT feed, snapshot, path field, count(*) nn FROM news GROUP BY 1, 2, 3) USING (feed, snapshot, field)),
+rn AS (SELECT feed, snapshot, old_field, field FROM (SELECT *, row_number() OVER (PARTITION BY feed, snapshot, old_field ORDER BY share DESC, same DESC, field) a, row_number() OVER (PARTITION BY feed, snapshot, field ORDER BY share DESC, same DESC, old_field) b FROM sc WHERE share >= 0.8 AND same >= 2) WHERE a = 1 AND b = 1)"""
+
+ORACLE = {
+    "p5_found": f"""WITH {_EVENTS} SELECT feed, snapshot, path AS field, '' AS old_field, change FROM ev WHERE NOT EXISTS (FROM rn WHERE rn.feed = ev.feed AND rn.snapshot = ev.snapshot AND (ev.change = 'removed' AND rn.old_field = ev.path OR ev.change = 'added' AND rn.field = ev.path))
+UNION ALL SELECT feed, snapshot, field, old_field, 'renamed' FROM rn""",
+    "p5_alternatives": f"""WITH {_LEAVES}, k AS (SELECT feed, snapshot, path field, n_all, unnest(['string', 'number', 'boolean', 'array']) alternative, unnest([ns, nn, nb, na]) n FROM ct), w AS (SELECT *, lag(n) OVER (PARTITION BY feed, field, alternative ORDER BY snapshot) was FROM k)
+SELECT feed, snapshot, field, alternative, n AS "values", n_all AS "of" FROM w WHERE n > 0 AND was = 0""",
+    "p1_found": _CHANGES
+    + """,
+hs AS (SELECT snapshot_id, lag(snapshot_id) OVER w before, lead(snapshot_id) OVER w after FROM (SELECT DISTINCT snapshot_id FROM h3_metric_history) WINDOW w AS (ORDER BY snapshot_id)),
+h AS (SELECT DISTINCT h3_index, metric, snapshot_id, before, after FROM h3_metric_history JOIN hs USING (snapshot_id))
+SELECT 'places' AS tbl, source || ':' || place_id AS record_id, snapshot, change FROM ch
+UNION ALL SELECT 'h3_metric_history', h3_index || ':' || metric, snapshot_id, 'added' FROM h a WHERE before IS NOT NULL AND NOT EXISTS (FROM h b WHERE b.h3_index = a.h3_index AND b.metric = a.metric AND b.snapshot_id = a.before)
+UNION ALL SELECT 'h3_metric_history', h3_index || ':' || metric, after, 'removed' FROM h a WHERE after IS NOT NULL AND NOT EXISTS (FROM h b WHERE b.h3_index = a.h3_index AND b.metric = a.metric AND b.snapshot_id = a.after)""",
+    "p1_values": _CHANGES + " SELECT * FROM ch",
+    "p2_found": _SPIKES + """
 SELECT h3_index, metric, snapshot_id FROM f WHERE known AND bad
 UNION SELECT h3_index, metric, t[a] FROM y UNION SELECT h3_index, metric, t[b] FROM y
 UNION SELECT h3_index, metric, snapshot_id FROM g JOIN q USING (h3_index, metric) WHERE len >= 5 AND n - len >= 5 AND (same - (len - 1)) / (n - len)::DOUBLE <= 0.34""",
+    "p2_reasons": _SPIKES + """, e AS (
+SELECT h3_index, metric, snapshot_id, 1 AS k FROM f WHERE known AND bad UNION ALL SELECT h3_index, metric, t[a], 3 FROM y UNION ALL SELECT h3_index, metric, t[b], 3 FROM y
+UNION ALL SELECT h3_index, metric, snapshot_id, 2 FROM g JOIN q USING (h3_index, metric) WHERE len >= 5 AND n - len >= 5 AND (same - (len - 1)) / (n - len)::DOUBLE <= 0.34)
+SELECT h3_index, metric, snapshot_id, CASE min(k) WHEN 1 THEN 'impossible' WHEN 2 THEN 'stuck' ELSE 'spike' END AS reason FROM e GROUP BY 1, 2, 3""",
     "p4_found": "SELECT h3_res9 FROM places WHERE h3_res9 IS NOT NULL GROUP BY 1 HAVING count(*) >= 0.025 * (SELECT count(*) FROM places)",
     "p4_cells": """SELECT h3_res9, count(*) n_rows, count(DISTINCT source || ':' || place_id) n_places, sum(dup_suspected::INT)::BIGINT n_suspected, sum((source = 'fsq')::INT)::BIGINT n_fsq, any_value(density_distorted) density_distorted
 FROM places LEFT JOIN (SELECT h3_index h3_res9, max(density_distorted) density_distorted FROM h3_cell GROUP BY 1) USING (h3_res9) WHERE h3_res9 IS NOT NULL GROUP BY 1""",
+    "p4_turns": """WITH o AS (SELECT *, row_number() OVER () AS n FROM places), t AS (SELECT h3_res9, snapshot IS DISTINCT FROM lag(snapshot) OVER w AS turn, row_number() OVER w AS k FROM o WHERE h3_res9 IS NOT NULL WINDOW w AS (PARTITION BY h3_res9 ORDER BY n))
+SELECT h3_res9, count(*) AS n_rows, count(*) FILTER (turn AND k > 1) AS n_turns FROM t GROUP BY 1""",
     "p7_found": f"""WITH last AS (SELECT source, max(snapshot) snapshot FROM places GROUP BY 1),
 p AS (SELECT * FROM (SELECT place_id, lat, lon, row_number() OVER (PARTITION BY source, place_id ORDER BY delivered_at DESC) rn FROM places JOIN last USING (source, snapshot)) WHERE rn = 1 AND lat IS NOT NULL AND lon IS NOT NULL),
 a AS (SELECT area_id, kind, lat alat, lon alon, radius_m, CASE WHEN kind = 'polygon' THEN {_RING} END edges FROM near_areas)

@@ -16,7 +16,7 @@ from hexloom.runtime import table
 _HAV = "2 * 6371000.0 * asin(least(1, sqrt(pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 
-@query(f"WITH {PLACES_SQL} SELECT source, place_id, {cat.SQL_NOT_STOREFRONT} AS not_storefront, coalesce(category IN ('real_estate_service', 'auto_repair'), false) OR regexp_matches(coalesce(name, 'None'), '(?i)\\b(real estate|properties|workshop|motors)\\b') AS not_storefront_plain FROM vp")
+@query(f"WITH {PLACES_SQL} SELECT source, place_id, {cat.SQL_NOT_STOREFRONT} AS not_storefront, {cat.SQL_NOT_STOREFRONT_PLAIN} AS not_storefront_plain FROM vp")
 def storefront_filter(spark: SparkSession, d: str) -> DataFrame:
     """FLT-05, FLT-06"""
     s, c, n = F.col("source"), F.col("category"), F.col("name")

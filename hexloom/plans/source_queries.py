@@ -101,7 +101,11 @@ def late_files(spark: SparkSession, d: str) -> DataFrame:
     return f.select("feed", "snapshot", "lines", F.coalesce(F.col("a") > F.min("a").over(w), F.lit(False)).alias("out_of_order"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts::DATE AS "day", epoch(date_trunc('second', ts))::DOUBLE AS s, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts) AS k FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+b AS (SELECT user_id, "day", k, s, 2.0::DOUBLE AS tokens, 0 AS refused FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e."day", e.k, e.s, CASE WHEN least(3.0, b.tokens + (e.s - b.s) / 3600.0) >= 1 THEN least(3.0, b.tokens + (e.s - b.s) / 3600.0) - 1 ELSE least(3.0, b.tokens + (e.s - b.s) / 3600.0) END,
+  b.refused + CASE WHEN least(3.0, b.tokens + (e.s - b.s) / 3600.0) >= 1 THEN 0 ELSE 1 END FROM b JOIN e ON e.user_id = b.user_id AND e."day" = b."day" AND e.k = b.k + 1)
+SELECT user_id, strftime("day", '%Y-%m-%d') AS "day", max(k)::INT AS events, round(arg_max(tokens, k), 6) AS tokens, arg_max(refused, k) AS refused FROM b GROUP BY 1, 2""")
 def token_bucket(spark: SparkSession, d: str) -> DataFrame:
     """SCL-22: tokens left after each user's events of a day, refilled at one an hour up to three, in order"""
     e = table(spark, d, "events").dropna(subset=["user_id", "ts"])
@@ -113,4 +117,4 @@ def token_bucket(spark: SparkSession, d: str) -> DataFrame:
         return F.struct(F.when(full >= 1, full - 1).otherwise(full).alias("tokens"), t.cast("double").alias("last"), (s["refused"] + F.when(full >= 1, 0).otherwise(1)).alias("refused"))
 
     out = e.withColumn("s", F.aggregate("at", start, step))
-    return out.select("user_id", "day", F.size("at").alias("events"), F.round("s.tokens", 6).alias("tokens"), F.col("s.refused").alias("refused"))
+    return out.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.size("at").alias("events"), F.round("s.tokens", 6).alias("tokens"), F.col("s.refused").alias("refused"))
