@@ -70,7 +70,7 @@ def parsed(name: str | None, aliases: Aliases) -> tuple[str, list[str]]:
     if given is None and len(words) == 3 and len(words[0]) == 1:
         given = 0
     if given is None and len(words) == 3:
-        near = sorted((distance(w, g, 2), k, g) for k, w in enumerate(words) if len(w) >= 4 for g in aliases.known if len(g) >= 4)
+        near = sorted((distance(w, g, 2), k, g) for k, w in enumerate(words) if len(w) >= 4 for g in aliases.known if len(g) >= 4 and abs(len(w) - len(g)) <= 2 and len({*w} ^ {*g}) <= 4)
         if near and near[0][0] <= (2 if len(near[0][2]) >= 6 else 1):
             given = near[0][1]
             words[given] = near[0][2]
@@ -151,21 +151,24 @@ def links(entries: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]
 
     rows = cut(names.mapInPandas(parse, "block bigint, id bigint, given string, words array<string>, grams array<string>"))
     total = rows.count()
-    near = prefix_pairs(rows, LEAST_JACCARD).unionByName(person_pairs(rows)).dropDuplicates()
-    # Rare words count more: inverse document frequency over all names.
-    words = rows.select("id", F.explode("words").alias("w"))
-    idf = words.join(words.dropDuplicates().groupBy("w").agg(F.count("*").alias("n")), "w").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("w", F.log1p(F.lit(float(total)) / F.col("n"))))).alias("idf"))
-    known_rows = rows.join(idf, "id").select("id", F.struct("given", "words", "idf").alias("x"))
+    # A person is never another thing, and persons that fit meet by their words.
+    near = prefix_pairs(rows.filter("given = ''"), LEAST_JACCARD).unionByName(person_pairs(rows))
+    # Rare words count more: inverse document frequency over all names, once for each name.
+    words = rows.select("id", F.posexplode("words").alias("k", "w"))
+    idf = words.select("id", "w").dropDuplicates().groupBy("w").agg(F.log1p(F.lit(float(total)) / F.count("*")).alias("v"))
+    weights = words.join(idf, "w").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).getField("v").alias("weights"))
+    known_rows = cut(rows.join(weights, "id").select("id", F.struct("given", "words", "weights").alias("x")))
     pairs_ = near.join(known_rows.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(known_rows.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b")
 
     @F.pandas_udf("double")
     def judge(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
         out = []
-        for ga, wa, ia, gb, wb, ib in zip(a["given"], a["words"], a["idf"], b["given"], b["words"], b["idf"]):
-            idf = {**dict(ia), **dict(ib)}
-            top = max(idf.values(), default=1.0)
-            out.append(likeness((ga, list(wa)), (gb, list(wb)), lambda w: idf.get(w, top)))
-        return pd.Series(out)
+        for ga, wa, va, gb, wb, vb in zip(a["given"], a["words"], a["weights"], b["given"], b["words"], b["weights"]):
+            wa, wb = wa.tolist(), wb.tolist()
+            weight = dict(zip(wa + wb, va.tolist() + vb.tolist()))
+            top = max(weight.values(), default=1.0)
+            out.append(likeness((ga, wa), (gb, wb), lambda w: weight.get(w, top)))  # noqa: B023
+        return pd.Series(out, dtype=float)
 
     ok = pairs_.withColumn("likeness", judge("xa", "xb")).filter(F.col("likeness") >= LEAST_LIKENESS)
     given = lambda p: F.col(f"x{p}.given")
