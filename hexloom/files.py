@@ -65,11 +65,25 @@ def temporary_folder() -> str:
     return path
 
 
+#: The folder of this application in the place all executors share, by application.
+_WORK: dict[str, str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder in spark.checkpoint.dir; a temporary one only on one machine, where none is named."""
+    app = spark.sparkContext.applicationId
+    if app not in _WORK:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            base = "file://" + temporary_folder()
+        _WORK[app] = f"{base}/hexloom-{app}"
+        if base.startswith("file://"):
+            atexit.register(shutil.rmtree, _WORK[app].removeprefix("file://"), ignore_errors=True)
+    return _WORK[app]
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the place all executors share; a temporary one only on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = "file://" + temporary_folder()
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder in the place all executors share."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"

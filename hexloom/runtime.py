@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexloom.files import temporary_folder
+from hexloom import files
 
 # Most driver-side rows of a dimension that is small by nature (snapshots of a
 # feed, schema paths, fixed query areas). Beyond it `bounded_collect` returns
@@ -32,17 +32,14 @@ def session(app: str = "hexloom", cpus: str = "*", **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the folder the session names.
+    """Cut lineage by a table written to the folder that all executors share.
 
-    Only where no folder is named (tests on one machine) a temporary one is used.
+    Unlike a checkpoint it is computed once (a checkpoint runs the last stage for its
+    count and again for its files), is compressed, and later steps read only the columns they need.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        sc.setCheckpointDir(named or temporary_folder())
-    return df.checkpoint()
+    path = files.shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def bounded_collect(df: DataFrame, bound: int = DIMENSION_BOUND) -> list | None:
