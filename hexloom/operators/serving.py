@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexloom import files
+from hexloom.schemas import held_to
 from hexloom.sources.sinks import write_sorted
 
 #: Folders of built tables by application, inputs and name.
@@ -15,12 +16,12 @@ _BUILT: dict[tuple[str, str, str], str] = {}
 ROWS_PER_FILE = 4_000_000
 
 
-def served(spark: SparkSession, d: str, name: str, build: Callable[[SparkSession, str], DataFrame], key: Sequence[str]) -> DataFrame:
-    """The table `name` of the inputs `d`, sorted by key: written by the first request, read by all."""
+def served(spark: SparkSession, d: str, name: str, build: Callable[[SparkSession, str], DataFrame], key: Sequence[str], schema: str) -> DataFrame:
+    """The table `name` of the inputs `d`, held to its schema and sorted by key: written by the first request, read by all."""
     at = spark.sparkContext.applicationId, d, name
     if at not in _BUILT:
         path = files.shared_folder(spark, f"served-{name}")
-        df = build(spark, d)
+        df = held_to(build(spark, d), schema)
         staged = f"{path}-staged"
         df.write.parquet(staged)  # built once; then dealt by range
         df = spark.read.parquet(staged)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexloom import schemas
 from hexloom.config import T
 from hexloom.functions import confidence as conf
 from hexloom.functions import grid
@@ -100,19 +101,19 @@ def built_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 def served_cells(spark: SparkSession, d: str) -> DataFrame:
-    return served(spark, d, "cells", built_cells, ["r", "q"])
+    return served(spark, d, "cells", built_cells, ["r", "q"], schemas.CELLS)
 
 
 def served_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return served(spark, d, "metrics", built_metrics, ["r", "q", "metric"])
+    return served(spark, d, "metrics", built_metrics, ["r", "q", "metric"], schemas.METRICS)
 
 
 def served_places(spark: SparkSession, d: str) -> DataFrame:
-    return served(spark, d, "places", points, ["r", "q"])
+    return served(spark, d, "places", points, ["r", "q"], schemas.PLACES)
 
 
 def served_history(spark: SparkSession, d: str) -> DataFrame:
-    return served(spark, d, "history", built_history, ["h3_index", "metric", "snapshot_id"])
+    return served(spark, d, "history", built_history, ["h3_index", "metric", "snapshot_id"], schemas.HISTORY)
 
 
 def served_counts(spark: SparkSession, d: str, ring: list | None = None) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hexloom.files import shared_folder
 from hexloom.functions import categories as cat
 from hexloom.functions import confidence as conf
-
 from hexloom.functions.geo import haversine_m, segment_m
 from hexloom.functions.text import date_shape, text_map
 from hexloom.operators import coverage as C
@@ -17,6 +17,7 @@ from hexloom.operators.search import inhabited
 from hexloom.operators.series import direction
 from hexloom.plans.base import CELLS_SQL, HISTORY_SQL, PLACES_SQL, PLAUSIBLE_SQL, POINTS_SQL, cells, history, plausible, points, query, valid_places
 from hexloom.runtime import table
+from hexloom.sources import sinks
 
 
 def _coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -47,11 +48,20 @@ def inhabited_by_region(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-05, GEO-04: one feature for each cell, as text"""
+    """GEO-04: one feature for each cell, as text"""
     c = _coverage(spark, d)
     return c.select("q", "r", C.feature(F.col("q"), F.col("r"), F.struct("governorate", "confidence", "population", "inhabited")).alias("feature"))
 
 
+@query(f"{_COVER} SELECT count(*) + 2 AS lines, count(*) AS features, 1 AS documents FROM cov")
+def geojson_document(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-05: all features as one collection, written by many tasks and read again"""
+    at = shared_folder(spark, "collection")
+    sinks.write_feature_collection(geojson_features(spark, d), at, key=["q", "r"])
+    lines = spark.read.text(at)
+    return lines.agg(F.count("*").alias("lines"), F.count_if(F.col("value").contains('"Feature"')).alias("features"), F.count_if(F.col("value").contains("FeatureCollection")).alias("documents"))
+
+
 _RING = "[{'a': ring[i], 'b': ring[CASE WHEN i = 1 THEN len(ring) ELSE i - 1 END]} for i in range(1, len(ring) + 1)]"
 _IN = "len([1 for e in edges if (e.a.lat > {y}) <> (e.b.lat > {y}) AND {x} < (e.b.lon - e.a.lon) * ({y} - e.a.lat) / nullif(e.b.lat - e.a.lat, 0) + e.a.lon]) % 2 = 1"
 
@@ -293,7 +303,7 @@ def loader_census(spark: SparkSession, d: str) -> DataFrame:
 s AS (SELECT h3_res8, count(*) FILTER (source = 'overture') o, count(*) FILTER (source = 'fsq') f FROM vp WHERE h3_res8 IS NOT NULL GROUP BY 1)
 SELECT h3_res8, total::BIGINT AS total, top, round(100.0 * top_n / total, 4) AS top_pct, round(o::DOUBLE / nullif(f, 0), 6) AS source_ratio FROM t JOIN s USING (h3_res8)""")
 def district_profile(spark: SparkSession, d: str) -> DataFrame:
-    """AG-38, AG-41, JN-23"""
+    """AG-38, JN-23"""
     c = valid_places(spark, d).dropna(subset=["h3_res8"]).groupBy("h3_res8", "category").agg(F.count("*").alias("n"), F.count_if(F.col("source") == "overture").alias("o"), F.count_if(F.col("source") == "fsq").alias("f"))
     known = F.col("category").isNotNull()
     t = c.groupBy("h3_res8").agg(F.sum("n").alias("total"), F.max(F.when(known, F.col("n"))).alias("top_n"), F.max_by("category", F.when(known, F.struct("n", "category"))).alias("top"), F.sum("o").alias("o"), F.sum("f").alias("f"))
@@ -302,7 +312,7 @@ def district_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {POINTS_SQL} SELECT source, count(*) AS inside FROM pt WHERE lon BETWEEN 24.9 AND 27.1 AND lat BETWEEN 24.0 AND 26.6 GROUP BY 1""")
 def box_clip(spark: SparkSession, d: str) -> DataFrame:
-    """SRC-03, FLT-01"""
+    """FLT-01"""
     from hexloom.functions.geo import in_box
 
     return points(spark, d).filter(in_box(F.col("lat"), F.col("lon"), 24.9, 24.0, 27.1, 26.6)).groupBy("source").agg(F.count("*").alias("inside"))

@@ -69,13 +69,6 @@ def categorised_share(spark: SparkSession, d: str) -> DataFrame:
     return g.agg(F.sum("total").alias("businesses"), F.sum("count").alias("in_category"), F.round(100 * F.sum("count") / F.sum("total"), 6).alias("pct"))
 
 
-@query("""SELECT 'population' AS sort, 'asc' AS default_order UNION ALL SELECT 'count', 'asc' UNION ALL SELECT 'people_per_competitor', 'desc' UNION ALL SELECT 'builtup_pct', 'asc'
-UNION ALL SELECT 'growth_pct', 'desc' UNION ALL SELECT 'population_per_km2', 'desc' UNION ALL SELECT 'competitors_per_km2', 'asc'""")
-def sort_directions(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ-09, SR-03"""
-    return spark.createDataFrame(list(S.SORTS.items()), "sort string, default_order string")
-
-
 def _listed(spark: SparkSession, d: str) -> DataFrame:
     pts = in_ring(built.served_places(spark, d), ring_cells(spark, *ORIGIN, K))
     at = Window.partitionBy(F.round("lat", 6), F.round("lon", 6))

@@ -71,14 +71,3 @@ def box_weights(spark: SparkSession, d: str) -> DataFrame:
     over = lambda lo, hi, a, b: F.greatest(F.lit(0), F.least(hi, F.lit(b)) - F.greatest(lo, F.lit(a)))
     m2 = over(x - grid.W // 2, x + grid.W // 2, _BOX[0], _BOX[2]) * over(y - grid.H // 2, y + grid.H // 2, _BOX[1], _BOX[3])
     return c.withColumn("m2", m2).filter("m2 > 0").withColumn("weight", F.round(F.col("m2") / float(grid.CELL_M2), 6))
-
-
-@query(f"""WITH {PLACES_SQL}, g AS (SELECT governorate, source, count(*) n FROM vp JOIN (SELECT h3_index h3_res9, governorate FROM h3_cell) USING (h3_res9) GROUP BY 1, 2),
-a AS (SELECT governorate, coalesce(sum(n) FILTER (source = 'overture'), 0) o, coalesce(sum(n) FILTER (source = 'fsq'), 0) f FROM g GROUP BY 1)
-SELECT governorate, (o * f)::BIGINT AS cross_pairs, (o * (o - 1) / 2 + f * (f - 1) / 2)::BIGINT AS intra_pairs, round(o / nullif(f, 0), 6) AS ratio FROM a""")
-def pair_space(spark: SparkSession, d: str) -> DataFrame:
-    """JN-23: how many pairs each region would have by type, counted and never made"""
-    cell = table(spark, d, "h3_cell").select(F.col("h3_index").alias("h3_res9"), "governorate")
-    n = valid_places(spark, d).join(cell, "h3_res9").groupBy("governorate").agg(F.count_if(F.col("source") == "overture").alias("o"), F.count_if(F.col("source") == "fsq").alias("f"))
-    o, f = F.col("o"), F.col("f")
-    return n.select("governorate", (o * f).alias("cross_pairs"), ((o * (o - 1) + f * (f - 1)) / 2).cast("bigint").alias("intra_pairs"), F.round(F.try_divide(o.cast("double"), f), 6).alias("ratio"))

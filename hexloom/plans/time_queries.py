@@ -78,7 +78,7 @@ def series_shape(spark: SparkSession, d: str) -> DataFrame:
 i AS (SELECT h3_index, metric, ord, ord - row_number() OVER (PARTITION BY h3_index, metric ORDER BY ord) g FROM hist JOIN o USING (snapshot_id))
 SELECT h3_index, metric, min(ord)::INT AS start, max(ord)::INT AS stop, count(*) AS length FROM i GROUP BY h3_index, metric, g""")
 def row_runs(spark: SparkSession, d: str) -> DataFrame:
-    """WN-16, SRC-17: unbroken stretches of snapshots"""
+    """WN-16: unbroken stretches of snapshots"""
     h = history(spark, d)
     o = h.select("snapshot_id").dropDuplicates().withColumn("ord", F.row_number().over(Window.orderBy("snapshot_id")))  # calendar-sized
     return S.runs(h.join(F.broadcast(o), "snapshot_id"), SERIES, "ord")
@@ -86,7 +86,7 @@ def row_runs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH s AS (SELECT snapshot_id, regexp_extract(snapshot_id, '^(\\d{4}-\\d{2}-\\d{2})', 1) AS snapshot_date, count(*) AS row_count FROM h3_metric_history GROUP BY ALL) SELECT snapshot_id, snapshot_date, row_count, lead(snapshot_id) OVER (ORDER BY snapshot_id) AS next_id, date_diff('day', snapshot_date::DATE, (lead(snapshot_date) OVER (ORDER BY snapshot_id))::DATE) AS gap_days FROM s")
 def release_calendar(spark: SparkSession, d: str) -> DataFrame:
-    """SCL-10, STM-03, SCL-32: the releases, their rows and the days to the next"""
+    """SCL-10: the releases, their rows and the days to the next"""
     s = table(spark, d, "h3_metric_history").groupBy("snapshot_id").agg(F.count("*").alias("row_count")).withColumn("snapshot_date", snapshot_date(F.col("snapshot_id")))
     w = Window.orderBy("snapshot_id")  # calendar-sized
     gap = F.datediff(F.to_date(F.lead("snapshot_date").over(w)), F.to_date("snapshot_date")).cast("bigint")

@@ -43,6 +43,19 @@ def write_geojson_lines(features: DataFrame, path: str, column: str = "feature")
     features.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
+def write_feature_collection(features: DataFrame, path: str, key: list[str], column: str = "feature") -> None:
+    """One FeatureCollection over many files: in the order of their names they are one document.
+
+    Features stand in the order of `key` (unique); all but the first begin with a comma.
+    """
+    first = features.agg(F.min(F.struct(*key)).alias("_first"))  # one row
+    rows = features.join(F.broadcast(first)).select(F.lit(1).alias("_part"), *key, F.concat(F.when(F.struct(*key) == F.col("_first"), "").otherwise(","), column).alias("value"))
+    frame = features.sparkSession.createDataFrame([(0, '{"type":"FeatureCollection","features":['), (2, "]}")], "_part int, value string")
+    whole = rows.unionByName(frame, allowMissingColumns=True)
+    parts = max(1, features.sparkSession.sparkContext.defaultParallelism)
+    whole.repartitionByRange(parts, "_part", *key).sortWithinPartitions("_part", *key).select("value").write.mode("overwrite").text(path)
+
+
 def missing(listing: DataFrame, have: DataFrame, key: str) -> DataFrame:
     """Entries of a listing that are not there yet."""
     return listing.join(have.select(key).dropDuplicates(), key, "left_anti")

@@ -49,11 +49,6 @@ def ingested(spark: SparkSession, out: str) -> DataFrame:
     return spark.read.option("basePath", out).parquet(*done)
 
 
-def counts_by_window(events: DataFrame, ts: str, kind: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Counts of a stream by event time; an extension beside the snapshot stream. Later than `late` is dropped by the watermark."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
-
-
 def with_gaps(series: DataFrame, gaps: DataFrame, key: str) -> DataFrame:
     """A series with the declared gaps' notes beside it; nothing is interpolated. gaps: key, missing_snapshot, reason."""
     note = F.concat_ws(" ", F.array_sort(F.collect_list(F.format_string("%s is missing: %s.", "missing_snapshot", "reason"))))

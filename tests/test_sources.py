@@ -114,6 +114,29 @@ def test_unfinished_snapshots_are_not_read(spark, tmp_path):
     assert "GreaterThanOrEqual(lon,1.0)" in text and "_source" not in text
 
 
+def test_one_collection_over_many_files(spark, tmp_path):
+    df = spark.range(50).select((F.col("id") % 7).alias("q"), F.col("id").alias("r"), F.format_string('{"type":"Feature","id":%d}', "id").alias("feature"))
+    for name, own in (("a", df), ("b", df.limit(0))):
+        sinks.write_feature_collection(own, f"file://{tmp_path}/{name}", ["q", "r"])
+        text = "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+        got = json.loads(text)
+        assert got["type"] == "FeatureCollection" and len(got["features"]) == own.count()
+    assert len(list((tmp_path / "a").glob("part-*"))) > 1
+    sinks.write_geojson_lines(df, f"file://{tmp_path}/lines")
+    assert spark.read.json(f"file://{tmp_path}/lines").count() == 50
+
+
+def test_tables_are_held_to_their_schema(spark):
+    from hexloom.schemas import held_to
+
+    df = spark.createDataFrame([(1, "a")], "a long, b string")
+    assert held_to(df, "a bigint, b string") is df
+    with pytest.raises(TypeError, match="b: string, not int"):
+        held_to(df, "a bigint, b int")
+    with pytest.raises(TypeError, match="c: missing"):
+        held_to(df, "a bigint, b string, c int")
+
+
 def test_tiles_and_hexagons(spark, tmp_path):
     (tmp_path / "t1.txt").write_text("1 2\nnan 4")
     (tmp_path / "t2.txt").write_text("")
