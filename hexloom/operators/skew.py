@@ -20,7 +20,8 @@ from hexloom.runtime import cut
 
 CHUNK_ROWS = 1 << 17
 UNIT_ROWS = 1 << 18
-_LANES = 64
+#: Lanes of keys for each shuffle partition of the session.
+_LANES = 4
 
 
 def with_unit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -39,14 +40,16 @@ def with_unit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def offsets(counts: DataFrame, key: str) -> DataFrame:
     """(_unit, key, _from): first position of each unit's rows of a key. counts: (_unit, key, n).
 
-    Two levels: keys are dealt to a fixed number of lanes, lanes are summed first,
-    so no window holds all keys. The window of a key has one row for each unit.
+    Two levels: keys are dealt to lanes, several for each shuffle partition, and lanes
+    are summed first, so no window holds more keys than a partition would. The window of
+    a key has one row for each unit.
     """
-    counts = counts.withColumn("_lane", F.pmod(F.xxhash64(key), F.lit(_LANES)))
+    lanes_ = _LANES * int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = counts.withColumn("_lane", F.pmod(F.xxhash64(key), F.lit(lanes_)))
     totals = counts.groupBy("_lane", key).agg(F.sum("n").alias("_t"))
     lanes = totals.groupBy("_lane").agg(F.sum("_t").alias("_lt"))
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    # _LANES rows at most
+    # a row for each lane
     lanes = lanes.select("_lane", F.coalesce(F.sum("_lt").over(before(Window.partitionBy(F.lit(0)).orderBy("_lane"))), F.lit(0)).alias("_lf"))
     keys = totals.select("_lane", key, F.coalesce(F.sum("_t").over(before(Window.partitionBy("_lane").orderBy(key))), F.lit(0)).alias("_kf"))
     keys = keys.join(F.broadcast(lanes), "_lane").select(key, (F.col("_kf") + F.col("_lf")).alias("_kf"))
