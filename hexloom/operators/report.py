@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from hexloom.config import T
 from hexloom.functions import confidence as conf
 from hexloom.functions import grid
-from hexloom.functions.categories import GROUPS
 
 
 def ring(spark: SparkSession, lat: float, lon: float, k: int) -> DataFrame:
@@ -30,31 +29,6 @@ def inside(catchment_: DataFrame) -> DataFrame:
     return catchment_.filter(F.col("land_fraction").isNotNull())
 
 
-def catchment_metrics(catchment_: DataFrame, facts: DataFrame, names: tuple = (*GROUPS, "total")) -> DataFrame:
-    """One row for each metric of the catchment.
-
-    Missing is not zero: a cell without any business has no data, a cell with
-    businesses but none of the metric has none present. Confidence is that of the
-    weakest link, agreement the upper median; figures by area divide by land.
-    """
-    spark = catchment_.sparkSession
-    own = inside(catchment_).select("q", "r", "land_fraction", "land_area_m2")
-    near = facts.join(F.broadcast(own.select("q", "r")), ["q", "r"])  # ring-sized
-    has = near.select("q", "r").dropDuplicates().withColumn("has", F.lit(True))
-    every = own.join(F.broadcast(spark.createDataFrame([(n,) for n in names], "metric string")), how="cross")
-    rows = every.join(has, ["q", "r"], "left").join(near, ["q", "r", "metric"], "left")
-    ratios = F.sort_array(F.collect_list("agreement_ratio"))
-    land = F.sum(F.when(F.col("land_fraction") >= T.land_fraction_floor, F.col("land_area_m2")))
-    none = F.col("value").isNull()
-    return rows.groupBy("metric").agg(
-        F.sum("value").alias("value"), conf.label(F.coalesce(F.min(F.when(~none, conf.rank(F.col("confidence")))), F.lit(0))).alias("confidence"),
-        F.sum("overture").alias("overture"), F.sum("fsq").alias("fsq"), F.try_element_at(ratios, (F.floor(F.size(ratios) / 2) + 1).cast("int")).alias("upper_median_agreement"),
-        F.count("*").alias("cells_total"), F.count_if(none & F.col("has").isNull()).alias("cells_no_data"), F.count_if(none & F.col("has").isNotNull()).alias("cells_none_present"),
-        F.count_if(F.col("confidence") == "corroborated").alias("cells_corroborated"), F.count_if(F.col("confidence") == "single_source").alias("cells_single_source"),
-        F.round(F.try_divide(F.sum("value"), land / 1e6), 4).alias("per_land_km2"),
-    )
-
-
 def ring_cells(spark: SparkSession, lat: float, lon: float, k: int) -> list[tuple[int, int]]:
     """The ring's cells, at most 469."""
     return sorted(tuple(r) for r in ring(spark, lat, lon, k).collect())

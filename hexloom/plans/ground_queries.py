@@ -11,8 +11,8 @@ from hexloom.operators import dedup as D
 from hexloom.operators import search as S
 from hexloom.operators import series
 from hexloom.plans import built_queries as built
-from hexloom.plans.base import CELLS_SQL, history, plausible, points, query
-from hexloom.plans.coverage_queries import _PIX, _pixels
+from hexloom.plans.base import CELLS_SQL, ORACLE, history, plausible, points, query
+from hexloom.plans.coverage_queries import _PIX, _pixels, polygon_to_cells
 from hexloom.plans.serving_queries import _GATED, SEARCH, _gated
 from hexloom.runtime import table
 from hexloom.streaming.snapshots import recomputed
@@ -93,6 +93,28 @@ def late_backfill(spark: SparkSession, d: str) -> DataFrame:
     return recomputed(history(spark, d), late, built.SERIES, build)
 
 
+@query("""SELECT feed, snapshot, count(*) AS lines, count(*) FILTER (json_valid(payload) AND json_array_length(json_extract(CASE WHEN json_valid(payload) THEN payload END, '$.unresolved_flags')) > 0) AS flagged FROM raw_place_files WHERE feed IS NOT NULL AND snapshot IS NOT NULL GROUP BY 1, 2""")
+def flagged_lines(spark: SparkSession, d: str) -> DataFrame:
+    """FLT-20: lines of a file with a non-empty array of flags"""
+    flags = F.from_json(F.get_json_object("payload", "$.unresolved_flags"), "array<string>")
+    n = F.size(F.coalesce(flags, F.array().cast("array<string>")))
+    return table(spark, d, "raw_place_files").dropna(subset=["feed", "snapshot"]).groupBy("feed", "snapshot").agg(F.count("*").alias("lines"), F.count_if(n > 0).alias("flagged"))
+
+
+@query(f"""WITH c AS ({ORACLE['polygon_to_cells']}), n AS (SELECT area_id, count(*) n FROM c GROUP BY 1), s AS (SELECT a.area_id a1, b.area_id a2, count(*) both_n FROM c a JOIN c b USING (q, r) WHERE a.area_id < b.area_id GROUP BY 1, 2)
+SELECT a1 AS area_1, a2 AS area_2, both_n AS intersection, x.n + y.n - both_n AS "union", round(both_n / (x.n + y.n - both_n)::DOUBLE, 6) AS overlap FROM s JOIN n x ON x.area_id = a1 JOIN n y ON y.area_id = a2""")
+def cell_sets(spark: SparkSession, d: str) -> DataFrame:
+    """GEO-06: intersection and union of areas as sets of cells; the table of areas is fixed"""
+    c = polygon_to_cells(spark, d)
+    n = c.groupBy("area_id").agg(F.count("*").alias("n"))
+    side = lambda p: c.select("q", "r", F.col("area_id").alias(f"area_{p}"))
+    both = side(1).join(side(2), ["q", "r"]).filter("area_1 < area_2").groupBy("area_1", "area_2").agg(F.count("*").alias("intersection"))
+    for p in (1, 2):
+        both = both.join(n.select(F.col("area_id").alias(f"area_{p}"), F.col("n").alias(f"n{p}")), f"area_{p}")
+    union = F.col("n1") + F.col("n2") - F.col("intersection")
+    return both.select("area_1", "area_2", "intersection", union.alias("union"), F.round(F.col("intersection") / union, 6).alias("overlap"))
+
+
 @query()
 def qa_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Q-15, JN-09: the gate's line for records of one source that are near each other and alike in name"""

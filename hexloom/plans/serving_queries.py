@@ -12,14 +12,13 @@ from hexloom.functions.text import plural, thousands
 from hexloom.functions.categories import delimited, has_group, short
 from hexloom.operators import metrics as M
 from hexloom.operators import search as S
-from hexloom.operators.report import catchment, catchment_metrics, ring, ring_cells
+from hexloom.operators.report import ring_cells
 from hexloom.operators.serving import in_ring
 from hexloom.plans import built_queries as built
 from hexloom.plans.base import CELLS_SQL, POINTS_SQL, PLACES_SQL, points, query, valid_places
 from hexloom.plans.built_queries import K, ORIGIN
 
 SEARCH = S.Search(category="pharmacy", ranges={"population": (50.0, None), "builtup_pct": (5.0, 95.0)}, min_confidence="single_source", sort="people_per_competitor")
-OTHER = (24.5, 27.0)
 HALF_EARTH = 6_371_000.0
 
 
@@ -88,10 +87,20 @@ def places_in_catchment(spark: SparkSession, d: str) -> DataFrame:
     return _listed(spark, d).select("source", "place_id", "name", "distance_m", "same_point")
 
 
+#: Rows of a page where none are asked for, and at most.
+PAGE, MOST = 200, 500
+
+
+def page(limit: int | None = None, offset: int | None = None) -> tuple[int, int]:
+    """(limit, offset) of a listing: without a positive limit PAGE, at most MOST; a negative offset is none."""
+    return min(limit, MOST) if limit and limit > 0 else PAGE, offset if offset and offset > 0 else 0
+
+
 @query(f"{_LISTED} SELECT source, place_id, distance_m FROM listed ORDER BY distance_m, name NULLS FIRST, source, place_id LIMIT 50 OFFSET 20")
 def places_paging(spark: SparkSession, d: str) -> DataFrame:
-    """SR-05, SR-06: the page is the feature"""
-    return _listed(spark, d).orderBy("distance_m", "name", "source", "place_id").offset(20).limit(50).select("source", "place_id", "distance_m")
+    """SR-04, SR-05, SR-06: the page is the feature"""
+    limit, offset = page(50, 20)
+    return _listed(spark, d).orderBy("distance_m", "name", "source", "place_id").offset(offset).limit(limit).select("source", "place_id", "distance_m")
 
 
 @query(f"{_LISTED} SELECT count(*) AS listed, count(*) FILTER (same_point > 1) AS stacked, count(*) FILTER (dup_suspected) AS flagged, count(*) FILTER (list_contains(groups, 'cafe')) AS cafes FROM listed")
@@ -137,27 +146,6 @@ def coverage_probe(spark: SparkSession, d: str) -> DataFrame:
     return c.join(F.broadcast(probe.select("lat", "lon", "q", "r")), ["q", "r"], "right").select("lat", "lon", F.coalesce("covered", F.lit(False)).alias("covered"), "governorate", "land_fraction")
 
 
-def _at(o: tuple[float, float], name: str) -> str:
-    return f"""{name} AS (SELECT metric, sum(value) v FROM m JOIN cell USING (q, r) WHERE (q, r) IN (SELECT (oq + da, orr + db) FROM (SELECT q oq, r orr FROM ({grid.sql_located(f'(SELECT {o[0]} lat, {o[1]} lon)')})), ({grid.sql_disk(K)})) GROUP BY 1)"""
-
-
-@query(f"""WITH {CELLS_SQL}, m AS ({M.sql_business_counts('q, r', 'pt')}), {_at(ORIGIN, 'a')}, {_at(OTHER, 'b')}
-SELECT n.metric, a.v AS value_a, b.v AS value_b, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'unknown' WHEN a.v = b.v THEN 'level' WHEN a.v > b.v THEN 'a' ELSE 'b' END AS leader,
-CASE WHEN least(a.v, b.v) >= 10 THEN round(100 * abs(a.v - b.v) / least(a.v, b.v), 4) END AS difference_pct
-FROM (SELECT unnest(['cafe', 'grocery', 'gym', 'pharmacy', 'restaurant', 'total']) metric) n LEFT JOIN a USING (metric) LEFT JOIN b USING (metric)""")
-def compare_points(spark: SparkSession, d: str) -> DataFrame:
-    """Q-08: JN-19, SCL-28; no percentage on a small base"""
-    def side(o: tuple[float, float], name: str) -> DataFrame:
-        near = ring_cells(spark, *o, K)
-        return catchment_metrics(catchment(ring(spark, *o, K), in_ring(built.served_cells(spark, d), near)), built.served_counts(spark, d, near)).select("metric", F.col("value").alias(name))
-
-    both = side(ORIGIN, "value_a").join(side(OTHER, "value_b"), "metric", "full_outer")
-    a, b = F.col("value_a"), F.col("value_b")
-    leader = F.when(a.isNull() | b.isNull(), "unknown").when(a == b, "level").when(a > b, "a").otherwise("b")
-    low = F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))
-    return both.select("metric", "value_a", "value_b", leader.alias("leader"), F.when(low >= 10, F.round(100 * F.abs(a - b) / low, 4)).alias("difference_pct"))
-
-
 @query(f"""WITH {PLACES_SQL} SELECT category, count(*) AS n, upper(substr(replace(split_part(category, ' > ', -1), '_', ' '), 1, 1)) || lower(substr(replace(split_part(category, ' > ', -1), '_', ' '), 2)) AS label,
 format('{{:,}}', count(*)) AS shown FROM vp WHERE category IS NOT NULL GROUP BY 1""")
 def short_category(spark: SparkSession, d: str) -> DataFrame:

@@ -86,3 +86,9 @@ def test_apportioning_keeps_the_sum(spark):
 def test_registered(spark):
     register_functions(spark)
     assert spark.sql("SELECT round(haversine_m(0, 0, 0, 1)), agreement_ratio(2, 4), name_likeness('a rashidi', 'a rashidi')").first()[1:] == (0.5, 1.0)
+
+
+def test_pages_are_clamped():
+    from hexloom.plans.serving_queries import page
+
+    assert [page(), page(0, -3), page(50, 20), page(9999, 1)] == [(200, 0), (200, 0), (50, 20), (500, 1)]
