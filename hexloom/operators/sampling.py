@@ -47,6 +47,25 @@ def proportional(df: DataFrame, region: str, id_: str, total: int, floor: int, s
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(region).orderBy("_d", id_))).filter(F.col("_k") <= F.col("_take")).drop("_r", "_take", "_d", "_l", "_k")
 
 
+def banded(df: DataFrame, region: str, band: str, id_: str, total: int, floor: int, seed: int = 1) -> DataFrame:
+    """Each region's share of `total` as in proportional() (but no more than it has), dealt to its bands by their size, one each at least; the bands come in order until the share is full.
+
+    Shares are rounded, halves to the even number.
+    """
+    n = df.groupBy(region, band).agg(F.count("*").alias("_nb"))
+    by = n.groupBy(region).agg(F.sum("_nb").alias("_n"))
+    all_ = by.agg(F.sum("_n").alias("_a"))
+    by = by.join(F.broadcast(all_), F.lit(True)).select(F.col(region).alias("_r"), "_n", F.least(F.col("_n"), F.greatest(F.lit(floor), F.bround(F.col("_n") * float(total) / F.col("_a")).cast("bigint"))).alias("_take"))
+    n = n.join(by, F.col(region).eqNullSafe(F.col("_r"))).select("_r", F.col(band).alias("_b"), "_take", F.greatest(F.lit(1), F.bround(F.col("_take") * F.col("_nb") / F.col("_n")).cast("bigint")).alias("_k"))
+    rows = df.join(n, F.col(region).eqNullSafe(F.col("_r")) & F.col(band).eqNullSafe(F.col("_b"))).withColumn("_d", draw(F.col(id_), seed))
+    # Lanes first, so that no window sorts a hot band's rows.
+    lane = Window.partitionBy("_r", "_b", F.pmod(F.col(id_), F.lit(64))).orderBy("_d", id_)
+    rows = rows.withColumn("_l", F.row_number().over(lane)).filter(F.col("_l") <= F.col("_k"))
+    rows = rows.withColumn("_l", F.row_number().over(Window.partitionBy("_r", "_b").orderBy("_d", id_))).filter(F.col("_l") <= F.col("_k"))
+    rows = rows.withColumn("_l", F.row_number().over(Window.partitionBy("_r").orderBy("_b", "_d", id_))).filter(F.col("_l") <= F.col("_take"))
+    return rows.drop("_r", "_b", "_take", "_k", "_d", "_l")
+
+
 def binned(c: Column, edges: Sequence[float], labels: Sequence[str], right: bool = False) -> Column:
     """Label of the bin: [a, b) or, with right, (a, b]; outside all bins null."""
     out = F.when(F.lit(False), "")

@@ -222,11 +222,21 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH s AS (SELECT DISTINCT pair_id, coalesce(governorate, '') governorate FROM dup_triage_sample), n AS (SELECT governorate, greatest(5, CAST(floor(count(*) * 300 / (SELECT count(*) FROM s)) AS BIGINT)) take FROM s GROUP BY 1)
 SELECT pair_id, governorate FROM (SELECT *, row_number() OVER (PARTITION BY governorate ORDER BY {SA.sql_draw('pair_id', 1)}, pair_id) k FROM s JOIN n USING (governorate)) WHERE k <= take""")
 def proportional_sample(spark: SparkSession, d: str) -> DataFrame:
-    """SR-10: the sample is the feature"""
+    """SR-10 by region only; the sample is the feature"""
     s = table(spark, d, "dup_triage_sample").select("pair_id", F.coalesce("governorate", F.lit("")).alias("governorate")).dropDuplicates()
     return SA.proportional(s, "governorate", "pair_id", total=300, floor=5)
 
 
+@query(f"""WITH s AS (SELECT DISTINCT pair_id, coalesce(governorate, '') governorate, coalesce(band, '') band FROM dup_triage_sample), nb AS (SELECT governorate, band, count(*) nb FROM s GROUP BY 1, 2),
+n AS (SELECT governorate, sum(nb) n, least(sum(nb), greatest(5, round_even(sum(nb) * 300.0 / (SELECT count(*) FROM s), 0))) take FROM nb GROUP BY 1), q AS (SELECT governorate, band, take, greatest(1, round_even(take * nb / n, 0)) k FROM nb JOIN n USING (governorate)),
+r AS (SELECT s.*, take, k, {SA.sql_draw('pair_id', 1)} d, row_number() OVER (PARTITION BY governorate, band ORDER BY {SA.sql_draw('pair_id', 1)}, pair_id) i FROM s JOIN q USING (governorate, band))
+SELECT pair_id, governorate, band FROM (SELECT *, row_number() OVER (PARTITION BY governorate ORDER BY band, d, pair_id) o FROM r WHERE i <= k) WHERE o <= take""")
+def banded_sample(spark: SparkSession, d: str) -> DataFrame:
+    """SR-10: by region, then by band; the sample is the feature"""
+    s = table(spark, d, "dup_triage_sample").select("pair_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("governorate", "band")]).dropDuplicates()
+    return SA.banded(s, "governorate", "band", "pair_id", total=300, floor=5)
+
+
 @query("""SELECT CASE WHEN name_sim >= 0 AND name_sim < 0.5 THEN 'low' WHEN name_sim >= 0.5 AND name_sim < 0.72 THEN 'middle' WHEN name_sim >= 0.72 AND name_sim < 1.01 THEN 'high' END AS bin, CASE WHEN distance_m > 0 AND distance_m <= 100 THEN 'near' WHEN distance_m > 100 AND distance_m <= 1000 THEN 'far' END AS reach, count(DISTINCT pair_id) AS pairs FROM dup_triage_sample GROUP BY 1, 2""")
 def binned_pairs(spark: SparkSession, d: str) -> DataFrame:
     """SR-11: half-open on either side"""

@@ -81,6 +81,14 @@ def tiles(spark: SparkSession, glob: str, decode, schema: str) -> DataFrame:
     return raw.mapInPandas(rows, schema)
 
 
+def tiles_meeting(spark: SparkSession, path: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """(name, xmin, ymin, xmax, ymax) of a manifest's tiles that meet a box. The manifest is JSON: an array of objects, or one object a line."""
+    m = spark.read.option("multiLine", True).json(path)
+    m = m.select("name", *[F.col(c).cast("double").alias(c) for c in BOX_FIELDS[0]]).dropna()
+    x0, y0, x1, y1 = box
+    return m.filter((F.col("xmin") <= x1) & (F.col("xmax") >= x0) & (F.col("ymin") <= y1) & (F.col("ymax") >= y0))
+
+
 def pixel_grid(path: str, content: bytes):
     """Rows (tile, row, col, value) of a plain-text grid: numbers in lines, blanks between them, `nan` for none."""
     tile = path.rsplit("/", 1)[-1]

@@ -142,6 +142,8 @@ def test_tiles_and_hexagons(spark, tmp_path):
     (tmp_path / "t2.txt").write_text("")
     got = readers.tiles(spark, f"file://{tmp_path}/t*.txt", readers.pixel_grid, "tile string, row int, col int, value double")
     assert sorted(map(tuple, got.collect())) == [("t1.txt", 0, 0, 1.0), ("t1.txt", 0, 1, 2.0), ("t1.txt", 1, 1, 4.0)]
+    (tmp_path / "m.json").write_text(json.dumps([{"name": n, "xmin": x, "ymin": 0, "xmax": x + 1, "ymax": 1} for n, x in (("a", 0), ("b", 1), ("c", 3))] + [{"name": "d"}]))
+    assert sorted(r.name for r in readers.tiles_meeting(spark, f"file://{tmp_path}/m.json", (0.5, 0.5, 1.0, 2.0)).collect()) == ["a", "b"]
     (tmp_path / "pop.csv").write_text("# note\nh3,population\n8928308280FFFFF,12.5\nxyz,3\n8928308280bffff,\n8928308280bfff1,x\n")
     assert [tuple(r) for r in readers.hex_populations(spark, f"file://{tmp_path}/pop.csv").collect()] == [(0x8928308280FFFFF, 12.5)]
 
