@@ -18,7 +18,7 @@ from hexloom.config import T
 from hexloom.functions.geo import haversine_m
 from hexloom.functions.text import HELD, bigrams, letters, likeness_from, may_be_alike, skeleton, spellings
 from hexloom.operators.graph import components
-from hexloom.runtime import cut
+from hexloom.runtime import cut, release
 
 #: Above the rounding of the plane that a band is.
 SLACK = 1.001
@@ -264,9 +264,11 @@ def greedy_deal(pairs: DataFrame, l: str, r: str, order: Sequence, nl: str, nr:
         best = mutual_best(left, l, r, order)
         best = cut(best.withColumn("n", F.least(F.col(nl) - F.col("l_from"), F.col(nr) - F.col("r_from"))))
         taken = best if taken is None else taken.unionByName(best)
+        was = left
         for end, had, at in ((l, nl, "l_from"), (r, nr, "r_from")):
             left = left.join(best.select(end, F.col("n").alias("_n")), end, "left").withColumn(at, F.col(at) + F.coalesce("_n", zero)).drop("_n").filter(F.col(at) < F.col(had))
         left = cut(left)
+        release(was)
     return pairs.withColumn("n", zero).limit(0) if taken is None else taken
 
 

@@ -39,7 +39,15 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = files.shared_folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Drop the table of a cut that nothing will read again, as rounds of a loop leave behind."""
+    if path := getattr(df, "_cut_at", None):
+        files.delete(df.sparkSession, path)
 
 
 def bounded_collect(df: DataFrame, bound: int = DIMENSION_BOUND) -> list | None:
