@@ -137,7 +137,8 @@ def close_vectors(left: DataFrame, right: DataFrame) -> DataFrame:
         made = vectors.mapInPandas(keys, f"{p}0 bigint, {p}1 bigint, cells array<bigint>, keys array<bigint>")
         return made.withColumn("cell", F.explode("cells")).select(f"{p}0", f"{p}1", "cell", F.explode("keys").alias("k")).select(f"{p}0", f"{p}1", "cell", F.xxhash64("cell", "k").alias("key"))
 
-    met = keyed(left, "l", False).join(keyed(right, "r", True), ["key", "cell"])
+    # Sizes are guessed before cells and keys multiply the rows: a guess must not send them all to the driver.
+    met = keyed(left, "l", False).join(keyed(right, "r", True).hint("merge"), ["key", "cell"])
     most = F.lit(RADIUS + 2)  # what lies a little further comes along for free; the words decide
     return met.filter(hamming("l", "r") <= most).select("cell", "l0", "l1", "r0", "r1").dropDuplicates()
 
@@ -146,7 +147,7 @@ def scored_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(l_id, r_id, l_cat, r_cat, metres, dice) of all close pairs within MAX_M, once each: a record of the left has one cell and one vector."""
     vectors = close_vectors(left, right)
     side = lambda df, p: df.select(F.explode("cells").alias("cell"), F.col("b0").alias(f"{p}0"), F.col("b1").alias(f"{p}1"), F.col("id").alias(f"{p}_id"), F.col("category").alias(f"{p}_cat"), F.radians("lat").alias(f"{p}_y"), F.radians("lon").alias(f"{p}_x"))
-    pairs = vectors.join(side(left, "l"), ["cell", "l0", "l1"]).join(side(right, "r"), ["cell", "r0", "r1"])
+    pairs = vectors.join(side(left, "l").hint("merge"), ["cell", "l0", "l1"]).join(side(right, "r").hint("merge"), ["cell", "r0", "r1"])
     a = F.pow(F.sin((F.col("r_y") - F.col("l_y")) / 2), 2) + F.cos("l_y") * F.cos("r_y") * F.pow(F.sin((F.col("r_x") - F.col("l_x")) / 2), 2)
     pairs = pairs.withColumn("metres", 2 * EARTH_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))).filter(F.col("metres") <= MAX_M)
     ones = lambda p: F.bit_count(F.col(f"{p}0")) + F.bit_count(F.col(f"{p}1"))
@@ -228,7 +229,7 @@ def sure_matches(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFra
 
     sure = pairs.filter(F.col("confidence") >= LEAST_CONFIDENCE)
     for p, words in (("l", left), ("r", right)):
-        sure = sure.join(words.select(F.col("id").alias(f"{p}_id"), F.col("words").alias(f"{p}_words")), f"{p}_id")
+        sure = sure.join(words.select(F.col("id").alias(f"{p}_id"), F.col("words").alias(f"{p}_words")).hint("merge"), f"{p}_id")
     return sure.withColumn("likeness", likeness("l_words", "r_words")).filter(F.col("likeness") >= LEAST_LIKENESS).drop("l_words", "r_words")
 
 

@@ -2,6 +2,7 @@ import random
 
 from hexloom.llm import matching as M
 from hexloom.llm import variants as V
+from hexloom.runtime import cut
 
 
 def near(seed=0):
@@ -117,3 +118,13 @@ def test_one_vector_in_many_cells(spark):
     schema = "id long, b0 long, b1 long, cells array<long>"
     got = M.close_vectors(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()
     assert sorted(r.cell for r in got) == list(range(n))
+
+
+def test_multiplied_rows_are_not_broadcast(spark):
+    """However small the tables look before cells and keys are made of them: nothing of theirs goes through the driver."""
+    left = cut(spark.createDataFrame([(i, f"w{i}", "cafe", 25.0, 25.0, i, i, [1]) for i in range(1, 41)], "id long, words string, category string, lat double, lon double, b0 long, b1 long, cells array<long>"))
+    right = cut(left.withColumn("id", left.id + 100))
+    pairs = M.scored_pairs(left, right)
+    assert pairs.count() >= 40 and "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    sure = M.sure_matches(cut(pairs).selectExpr("l_id", "r_id", "metres", "dice", "1.0D confidence"), left.select("id", "words"), right.select("id", "words"))
+    assert "Broadcast" not in sure._jdf.queryExecution().executedPlan().toString()
