@@ -179,3 +179,32 @@ def test_matches_by_name_alone(spark):
     assert len(want) > 5 and got == want
     with pytest.raises(ValueError):
         D.matched_by_name(df, "overture", "fsq", "area", 0.5)
+
+
+def test_bounds_of_many_pairs_at_once():
+    """Are those of two names, long ones too; the likeness behind them is likeness() where it counts."""
+    import pandas as pd
+
+    from hexloom.functions.text import likeness_beyond, may_be_alike_all
+
+    pool = [x for x in names(random.Random(3), 70) if x]
+    a, b = zip(*[(x, y) for x in pool for y in pool])
+    for least in (0.5, 0.72, 0.9):
+        want = [_may_be_alike(x, y, least) for x, y in zip(a, b)]
+        assert may_be_alike_all(pd.Series(a), pd.Series(b), least).tolist() == want and 0 < sum(want) < len(want)
+        for x, y in zip(a, b):
+            got, is_ = likeness_beyond(x, y, least), likeness(x, y)
+            assert got == is_ if is_ >= least else got < least
+
+
+def test_squares_over_many_batches(spark):
+    """A square that goes on over batches and blocks of pairs gives all its pairs; pairs are not rows of a join."""
+    own = [("fsq", i, f"Rashidi Zumoto {'abcdefghij'[i % 10]}", 25.0 + i * 1e-6, 27.0) for i in range(90)]
+    df = grid.located(spark.createDataFrame(own, PLACE))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+        pairs = D.alike_pairs(df, 60.0, 0.72, False)
+        assert pairs.count() == 90 * 89 // 2 and "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
