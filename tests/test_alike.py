@@ -197,6 +197,59 @@ def test_bounds_of_many_pairs_at_once():
             assert got == is_ if is_ >= least else got < least
 
 
+def test_region_pairs_in_one_pass(spark):
+    """Against brute force, of one source and of two at once, in squares that are told by matrices."""
+    rnd = random.Random(21)
+    pool = [n for n in names(rnd, 90) if len(n) > 2]
+    own = [(rnd.choice(["fsq", "overture", "x"]), i, rnd.choice(pool), 25 + rnd.random() * 0.0007, 27 + rnd.random() * 0.0007, rnd.choice("AAAB")) for i in range(260)]
+    df = spark.createDataFrame(own, "source string, place_id long, name string, lat double, lon double, region string")
+    from pyspark.sql import functions as F
+
+    from hexloom.functions.text import spellings
+
+    spelt = {r.name: r.s for r in df.select("name", spellings(F.col("name")).alias("s")).distinct().collect()}
+    bones = {k: "".join(c for c in v if c not in "aeiou |") for k, v in spelt.items()}
+    grams = {k: {v[i : i + 2] for i in range(max(1, len(v) - 1))} for k, v in bones.items()}
+    found = {}
+    for least in (0.6, 0.72):
+        want = set()
+        for a in own:
+            for b in own:
+                # The left one is of the later source; which of one source it is, a hash tells.
+                if a[1] != b[1] and a[0] >= b[0] and a[5] == b[5] and metres((0, 0, 0, *a[3:5]), (0, 0, 0, *b[3:5])) <= 40 and grams[a[2]] & grams[b[2]]:
+                    if likeness(spelt[a[2]], spelt[b[2]]) >= least:
+                        want.add((a[5], a[0] == b[0], *sorted((a[1], b[1]))))
+        pairs = D.region_pairs(df, "region", 40.0, least)
+        assert pairs._jdf.queryExecution().toString().split("== Physical Plan ==")[0].count("MapInPandas") == 3  # one in each logical plan
+        got = {(r.region, r.pair_type == "intra_source", r.place_id_1, r.place_id_2) for r in pairs.collect()}
+        assert got <= want and all(x[1] for x in want - got)  # an order of two may be alike where the other is not
+        found[least] = len(got)
+    assert found[0.6] > found[0.72] > 50
+
+
+def test_matrices_leave_out_no_pair():
+    """Whatever the bound by letters accepts is among the pairs of the matrices; runs are those of difflib."""
+    from difflib import SequenceMatcher
+
+    import numpy as np
+
+    from hexloom.functions.text import Held, letters, ratio
+
+    pool = [x for x in names(random.Random(31), 120) if x] + ["", "aeiou", "aa cafe", "bbbbbb", "bbbb bbbb", "a" * 80, "xyz" * 40]
+    held = Held(letters.func(__import__("pandas").Series(pool)))
+    i, j = (x.ravel() for x in np.indices((len(pool), len(pool))))
+    at = np.arange(len(pool))
+    for least in (0.3, 0.72, 0.9):
+        want = set(np.flatnonzero(held.may_be_alike(i, j, least)).tolist())
+        m = held.matrices(at, least)
+        x, y = Held.meeting(m, m)
+        got = set((x * len(pool) + y).tolist())
+        assert want <= got and len(got) < 0.9 * len(i)
+    for a in pool[:90]:
+        for b in pool[-90:] + ["ab" * 120]:
+            assert ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
 def test_squares_over_many_batches(spark):
     """A square that goes on over batches and blocks of pairs gives all its pairs; pairs are not rows of a join."""
     own = [("fsq", i, f"Rashidi Zumoto {'abcdefghij'[i % 10]}", 25.0 + i * 1e-6, 27.0) for i in range(90)]
