@@ -118,8 +118,8 @@ def cell_sets(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def qa_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Q-15, JN-09: the gate's line for records of one source that are near each other and alike in name"""
-    n = D.flagged_records(points(spark, d), T.intra_m, T.duplicate_similarity, across=False)
-    return n.agg(F.count("*").alias("hits")).select(F.lit("C2 likely duplicates").alias("check"), "hits")
+    n = D.duplicated(points(spark, d), T.intra_m, T.duplicate_similarity)
+    return n.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("hits")).select(F.lit("C2 likely duplicates").alias("check"), "hits")
 
 
 def history_manifest(spark: SparkSession, d: str, gaps: dict[str, str] | None = None) -> dict:

@@ -227,6 +227,22 @@ def test_region_pairs_in_one_pass(spark):
     assert found[0.6] > found[0.72] > 50
 
 
+def test_records_that_have_one_alike(spark):
+    """Those of flagged_records(), while most pairs of a full square are not compared."""
+    rnd = random.Random(17)
+    pool = [n for n in names(rnd, 60) if len(n) > 2]
+    own = [(rnd.choice(["fsq", "overture", None]), i, rnd.choice(pool), 25 + rnd.random() * 0.003, 27 + rnd.random() * 0.003) for i in range(500)]
+    own += [("fsq", 1000 + i, "Rashidi Zumoto", 25.02 + i * 1e-6, 27.0) for i in range(150)] + [("x", 2000 + i, "Far Away", 25.05, 27.0) for i in range(3)]
+    df = grid.located(spark.createDataFrame(own, PLACE))
+    want = {r.place_id for r in D.flagged_records(df, 60.0, 0.72, False).collect()}
+    got = D.duplicated(df, 60.0, 0.72)
+    assert {(r.source, r.n) for r in got.collect()} >= {("x", 3)} and sum(r.n for r in got.collect()) == len(want) > 200
+    crowd = D.spots(D.named(df.filter("place_id between 1000 and 1999")), ["source", "norm"]).drop("n")
+    assert D._met(crowd, 60.0, 0.72, False).count() == 150 * 149 // 2
+    met = D._met(crowd, 60.0, 0.72, False, ends=True)
+    assert met.count() < 300 and met.selectExpr("explode(array(l_rep, r_rep)) r").distinct().count() == 150
+
+
 def test_matrices_leave_out_no_pair():
     """Whatever the bound by letters accepts is among the pairs of the matrices; runs are those of difflib."""
     from difflib import SequenceMatcher
